@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovekit.llm.canon import canonical_entries, unmatched_texts
+from grovekit.llm.leakage import leaked_items
 from grovekit.llm.linkage import link_points
 from grovekit.llm.linkrows import merge_groups
+from grovekit.llm.mixing import mix
+from grovekit.llm.splitting import split_documents
 from grovekit.llm.survivors import claims, fuse, instant, survivors_by_trust
 from grovekit.session import bounded_collect, cut, plain_id, table
 
@@ -69,6 +72,30 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return merge_groups(spark, d)
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_documents(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_pieces(spark, d).where("piece_no = 0").select("doc_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_fused": p1_fused,
@@ -77,6 +104,12 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_links": p5_links,
     "p6_found": p6_found,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_pieces": p10_pieces,
 }
 
 _PLAIN = "nullif(lower(trim({}, ' ' || chr(9))), '')"
