@@ -45,7 +45,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, total_tokens:
     max_repeats; with it, a source that cannot stays short. A source without documents is reported with 0.
     Documents of other sources, without source or without tokens are not used; a document in two rows counts as
     two. Of each source whole epochs are taken while the budget holds, then the documents in random order up to
-    the budget, which is missed by less than the next document's tokens. Ties of the random key go by doc_id.
+    the budget, which is missed by at most half of one document's tokens. Ties of the random key go by doc_id.
     """
     aim = {}
     for r in bounded_collect(targets, SOURCES_MOST, "targets"):
@@ -79,7 +79,8 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, total_tokens:
                 end = start + g["n_tokens"].to_numpy().cumsum()
                 run[s] = int(end[-1])
                 epochs, rest = plan[s]
-                copies = epochs + (end <= rest + 1e-6).astype(np.int64)
+                # the document across the budget is taken if that comes nearer to it
+                copies = epochs + (2 * end - g["n_tokens"].to_numpy() <= 2 * rest + 1e-6).astype(np.int64)
                 g = g.assign(copies=copies)[copies > 0]
                 if len(g):
                     yield g[["doc_id", "source", "n_tokens", "copies"]]

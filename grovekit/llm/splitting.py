@@ -32,7 +32,7 @@ def boundaries(data: bytes, ends: np.ndarray) -> np.ndarray:
     for level, pattern in ((1, SPACE), (2, SENTENCE), (3, PARAGRAPH)):
         for m in pattern.finditer(data):
             # a token takes the blank before its word: the cut may stand on either side of the white space
-            for at in (m.end(), m.end() - 1, m.start() if level == 1 else m.end()):
+            for at in (m.end(), m.end() - (data[m.end() - 1] == 32), m.start() if level == 1 else m.end()):
                 if strength[at] >= 0:
                     strength[at] = max(strength[at], level)
     return strength[ends]
