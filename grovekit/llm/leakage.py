@@ -14,7 +14,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from grovekit.session import bounded_collect, union_all
 
 ITEMS_MOST = 1_000_000
-ITEMS_AT_ONCE = 5_000
+ITEMS_AT_ONCE = 2_000
 K1, B = 1.2, 0.75
 POSTINGS_BLOCK = 16
 #: share of an item that must be there, and of its score that mistyped words may take away
@@ -34,6 +34,7 @@ TYPO_LOSS = 0.35
 PAIRS = 0.4
 TOKEN = re.compile(r"[^\W_]+")
 INLINE = re.compile(r"</?(?:i|b|em|strong|u|span|a|code|mark|sub|sup|small|font|s|tt)\b[^<>]*>", re.I)
+MARKS = re.compile("[\u0300-\u036f]+")
 TAG = re.compile(r"<[^<>]{1,200}>")
 #: fixed values: characters that typesetting puts into words
 DROPPED = dict.fromkeys(map(ord, "'’‘`´*_~­​‌‍﻿"))
@@ -46,7 +47,7 @@ def normal_words(text: str) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+        text = MARKS.sub("", unicodedata.normalize("NFKD", text))
     return TOKEN.findall(text.translate(DROPPED).casefold())
 
 
@@ -84,9 +85,14 @@ class Item:
             self.unit += [n] * len(w)
             n += bool(w)
         self.n_units = n
-        self.pairs: dict[tuple[str, str], list[int]] = {}
-        for j, pair in enumerate(zip(self.words, self.words[1:])):
-            self.pairs.setdefault(pair, []).append(j)
+        self.pairs: dict[int, list[int]] = {}
+        self.pairs_least = 0.0
+
+    def number(self, term: dict[str, int]) -> None:
+        """Places of its pairs of neighbouring words, a pair being one number."""
+        ids = [term[w] for w in self.words]
+        for j, (a, b) in enumerate(zip(ids, ids[1:])):
+            self.pairs.setdefault(a << 32 | b, []).append(j)
         self.pairs_least = PAIRS * SHARE * len(self.pairs)
 
 
@@ -108,15 +114,19 @@ class ItemIndex:
             theta = self._least(item, impact)
             for w, v in impact.items():
                 post.setdefault(w, []).append((k, v / theta))
-        # postings in item order, and per block of items the largest impact of each term
-        self.post, self.block, self.top = {}, {}, {}
-        for w, ps in post.items():
-            who, v = np.array([p[0] for p in ps]), np.array([p[1] for p in ps])
-            blocks, starts = np.unique(who // POSTINGS_BLOCK, return_index=True)
-            self.post[w] = (who, v)
-            self.block[w] = (blocks, np.maximum.reduceat(v, starts))
-            self.top[w] = float(v.max())
+        # term 0 is every word that no item holds; postings in item order, and per block of items the largest
+        # impact of each term
+        self.term = {w: k for k, w in enumerate(sorted(post), 1)}
+        for item in self.items:
+            item.number(self.term)
         self.n_blocks = len(self.items) // POSTINGS_BLOCK + 1
+        self.block = np.zeros((len(post) + 1, self.n_blocks), dtype=np.float32)
+        self.post: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, dtype=np.int64), np.empty(0))]
+        for w in sorted(post):
+            who, v = np.array([p[0] for p in post[w]]), np.array([p[1] for p in post[w]])
+            np.maximum.at(self.block[len(self.post)], who // POSTINGS_BLOCK, v.astype(np.float32) * 1.00001)
+            self.post.append((who, v))
+        self.top = self.block.max(axis=1).astype(np.float64)
         # a stretch of half the longest item lies whole inside some passage
         half = int(math.ceil(self.longest * SHARE)) + 16
         self.stride = max(32, half)
@@ -129,28 +139,23 @@ class ItemIndex:
         best = min(sum(impact[w] for w in set(item.words[s : s + need])) for s in range(n - need + 1))
         return max(1e-9, best * (1 - TYPO_LOSS))
 
-    def retrieve(self, terms: list[str]) -> list[tuple[int, float]]:
-        """(item number, score) of all items with a score of at least 1.
+    def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
+        """(item number, score) of all items with a score of at least 1 for distinct terms.
 
         Block-max pruning: the maxima of the terms' blocks are added up first, and postings are scored only in the
         blocks of items whose bound reaches the threshold.
         """
-        if sum(self.top[t] for t in terms) < 1:
-            return []
-        ids = np.concatenate([self.block[t][0] for t in terms])
-        bound = np.bincount(ids, np.concatenate([self.block[t][1] for t in terms]), self.n_blocks)
-        alive = bound >= 1
+        alive = self.block[terms].sum(axis=0) >= 1
         if not alive.any():
             return []
         who = np.concatenate([self.post[t][0] for t in terms])
         v = np.concatenate([self.post[t][1] for t in terms])
         keep = alive[who // POSTINGS_BLOCK]
         score = np.bincount(who[keep], v[keep], len(self.items))
-        hit = np.flatnonzero(score >= 1)
-        return [(int(i), float(score[i])) for i in hit]
+        return [(int(i), float(score[i])) for i in np.flatnonzero(score >= 1)]
 
 
-def overlap(item: Item, words: list[str], lo: int, hi: int) -> float:
+def overlap(item: Item, words: list[str], pairs: list[int], lo: int, hi: int) -> float:
     """Largest share of the item's words found as one unbroken stretch of words[lo:hi], single mistyped words and
     words split or run together by layout allowed. A stretch is grown from each pair of neighbouring words."""
     w, n, best, seen = item.words, len(item.words), 0, set()
@@ -173,7 +178,9 @@ def overlap(item: Item, words: list[str], lo: int, hi: int) -> float:
         return p, q
 
     for p in range(lo, hi - 1):
-        for q in item.pairs.get((words[p], words[p + 1]), ()):
+        if pairs[p] not in item.pairs:
+            continue
+        for q in item.pairs[pairs[p]]:
             if (p - q, q) in seen:
                 continue
             p1, q1 = extend(p, q, 1)
@@ -189,24 +196,27 @@ def overlap(item: Item, words: list[str], lo: int, hi: int) -> float:
 def find_leaks(index: ItemIndex, text: str) -> list[tuple[int, float, float]]:
     """(item id, share, score) of the items that leaked into one text."""
     words = normal_words(text)
-    top = index.top
-    if sum(top[w] for w in top.keys() & set(words)) < 1:
-        return []
-    weight = np.fromiter((top.get(w, 0.0) for w in words), dtype=np.float64, count=len(words))
-    total = np.concatenate([[0.0], np.cumsum(weight)])
+    n = len(words)
+    ids = np.fromiter(map(index.term.get, words, repeat(0)), dtype=np.int32, count=n)
+    total = np.concatenate([[0.0], np.cumsum(index.top[ids])])
+    starts = np.arange(0, max(1, n - index.passage + index.stride), index.stride)
+    ends = np.minimum(n, starts + index.passage)
+    some = total[ends] - total[starts] >= 1
     found: dict[int, tuple[float, float]] = {}
-    for lo in range(0, max(1, len(words) - index.passage + index.stride), index.stride):
-        hi = min(len(words), lo + index.passage)
-        if total[hi] - total[lo] < 1:
+    pairs: list[int] = []
+    for lo, hi in zip(starts[some].tolist(), ends[some].tolist()):
+        # a set is faster than sorting for so few terms
+        hits = index.retrieve(np.fromiter(set(ids[lo:hi].tolist()), dtype=np.int64))
+        if not hits:
             continue
-        hits = index.retrieve([w for w in set(words[lo:hi]) if w in top])
-        pairs = set(zip(words[lo : hi - 1], words[lo + 1 : hi])) if hits else set()
+        pairs = pairs or (ids[:-1].astype(np.int64) << 32 | ids[1:]).tolist()
+        here = set(pairs[lo : hi - 1])
         for k, score in hits:
             item = index.items[k]
-            if found.get(item.id, (0.0, 0.0))[0] >= 1 or len(item.pairs.keys() & pairs) < item.pairs_least:
+            if found.get(item.id, (0.0, 0.0))[0] >= 1 or len(item.pairs.keys() & here) < item.pairs_least:
                 continue
             reach = len(item.words) + 8
-            share = overlap(item, words, max(0, lo - reach), min(len(words), hi + reach))
+            share = overlap(item, words, pairs, max(0, lo - reach), min(n, hi + reach))
             if share >= SHARE:
                 found[item.id] = max(found.get(item.id, (0.0, 0.0)), (share, score))
     return [(i, s, c) for i, (s, c) in sorted(found.items())]
