@@ -48,7 +48,7 @@ def to_grid(lon: Column, lat: Column) -> Column:
     return let(F.struct(F.radians(lat).alias("phi"), F.radians(lon - LON0).alias("lam")), trig)
 
 
-def from_grid(x: Column, y: Column, steps: int = 3) -> Column:
+def from_grid(x: Column, y: Column, steps: int = 6) -> Column:
     """struct(lon, lat): Newton steps on the forward series, from a spherical start."""
     lat0 = (y - FN) / (K0 * 111132.95)
     at = F.struct(((x - FE) / (F.cos(F.radians(lat0)) * (K0 * 111320.0)) + LON0).alias("lon"), lat0.alias("lat"))

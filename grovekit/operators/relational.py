@@ -121,7 +121,9 @@ def diversity(df: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
 def error_summary(df: DataFrame, keys: Sequence[str], truth: Column, guess: Column, least: int = 30) -> DataFrame:
     """RMSE, MAE, bias and Pearson r per band of at least `least` rows."""
     d = guess - truth
-    g = df.groupBy(*keys).agg(F.count(d).alias("n"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias"), F.corr(truth, guess).alias("r"))
+    # null where either side is constant, which corr() answers with an error under ANSI rules
+    r = F.covar_pop(truth, guess) / F.nullif(F.stddev_pop(truth) * F.stddev_pop(guess), F.lit(0.0))
+    g = df.groupBy(*keys).agg(F.count(d).alias("n"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias"), r.alias("r"))
     return g.where(c("n") >= least)
 
 
