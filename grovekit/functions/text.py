@@ -25,6 +25,11 @@ MARKED = "àáâãäåāăąçćčďèéêëēĕėęěìíîïīĭįñńňòóô
 PLAIN = "aaaaaaaaacccdeeeeeeeeeiiiiiiinnnooooooooorrsstuuuuuuuuyyzAAAAAAAAACCCDEEEEEEEEEIIIIIIINNNOOOOOOOORRSSTUUUUUUUUYZ"
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def clean_text(c: Column) -> Column:
     """White space collapsed and trimmed; null for words that mean unknown."""
     t = F.btrim(F.regexp_replace(c.cast("string"), r"\s+", " "))
@@ -168,12 +173,15 @@ def _mapped(c: Column, m: dict[str, str]) -> Column:
 
 def norm_street(c: Column) -> Column:
     """Street name with its type and a leading short word spelled out."""
-    w = words(norm_text(c))
-    n = F.size(w)
-    tail = F.concat(F.slice(w, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(_mapped(F.get(w, n - 1), STREET_TYPES)))
-    w2 = F.when(n > 1, tail).otherwise(w)
-    head = F.concat(F.array(_mapped(F.get(w2, F.lit(0)), STREET_HEADS)), F.slice(w2, F.lit(2), F.greatest(n - 1, F.lit(0))))
-    return F.array_join(F.when(n > 1, head).otherwise(w2), " ")
+
+    def spelled(w: Column) -> Column:
+        n = F.size(w)
+        last = _mapped(F.get(w, n - 1), STREET_TYPES)
+        head = _mapped(F.get(w, F.lit(0)), STREET_HEADS)
+        middle = F.slice(w, F.lit(2), F.greatest(n - 2, F.lit(0)))
+        return F.array_join(F.when(n > 1, F.concat(F.array(head), middle, F.array(last))).otherwise(w), " ")
+
+    return let(words(norm_text(c)), spelled)
 
 
 def prefix_key(c: Column) -> Column:
@@ -201,21 +209,24 @@ def number_of(c: Column) -> Column:
 
 def address_query(c: Column) -> Column:
     """struct(unit, number, street, suburb) of '[unit/]number street[, suburb]' or 'Unit 2, 15 ...'."""
-    s = F.btrim(F.coalesce(c, F.lit("")))
     word = r"(?i)^(?:unit|flat|apartment|apt)\.?\s*([a-z0-9]+)\s*[,\s]\s*"
-    u1 = F.nullif(F.regexp_extract(s, word, 1), F.lit(""))
-    s = F.when(u1.isNotNull(), F.regexp_replace(s, word, "")).otherwise(s)
     slash, plain = r"(?i)^([a-z0-9]+)\s*/\s*(\d+[a-z]?)(?![a-z0-9])\s*,?\s*", r"(?i)^(\d+[a-z]?)(?![a-z0-9])\s*,?\s*"
-    n2, n1 = F.nullif(F.regexp_extract(s, slash, 2), F.lit("")), F.nullif(F.regexp_extract(s, plain, 1), F.lit(""))
-    u2 = F.when(n2.isNotNull(), F.regexp_extract(s, slash, 1))
-    rest = F.when(n2.isNotNull(), F.regexp_replace(s, slash, "")).when(n1.isNotNull(), F.regexp_replace(s, plain, "")).otherwise(s)
-    parts = F.split(rest, ",")
-    return F.struct(
-        F.upper(F.coalesce(u2, u1)).alias("unit"),
-        F.upper(F.coalesce(n2, n1)).alias("number"),
-        F.btrim(F.get(parts, F.lit(0))).alias("street"),
-        F.btrim(F.array_join(F.slice(parts, 2, 10), " ")).alias("suburb"),
-    )
+    part = lambda s, p, i: F.nullif(F.regexp_extract(s, p, i), F.lit(""))
+
+    def numbered(v: Column) -> Column:
+        n2, n1 = part(v["s"], slash, 2), part(v["s"], plain, 1)
+        rest = F.when(n2.isNotNull(), F.regexp_replace(v["s"], slash, "")).when(n1.isNotNull(), F.regexp_replace(v["s"], plain, "")).otherwise(v["s"])
+        u2 = F.when(n2.isNotNull(), F.regexp_extract(v["s"], slash, 1))
+        return F.struct(F.upper(F.coalesce(u2, v["u"])).alias("unit"), F.upper(F.coalesce(n2, n1)).alias("number"), F.split(rest, ",").alias("p"))
+
+    def united(s: Column) -> Column:
+        u = part(s, word, 1)
+        return F.struct(u.alias("u"), F.when(u.isNotNull(), F.regexp_replace(s, word, "")).otherwise(s).alias("s"))
+
+    def named(v: Column) -> Column:
+        return F.struct(v["unit"].alias("unit"), v["number"].alias("number"), F.btrim(F.get(v["p"], F.lit(0))).alias("street"), F.btrim(F.array_join(F.slice(v["p"], 2, 10), " ")).alias("suburb"))
+
+    return let(let(let(F.btrim(F.coalesce(c, F.lit(""))), united), numbered), named)
 
 
 def search_text(c: Column) -> Column:
@@ -244,11 +255,6 @@ def one_edit(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 1) | ((F.length(a) == F.length(b)) & (F.length(a) > 1) & F.array_contains(swaps, b))
 
 
-def let(value: Column, f) -> Column:
-    """f(value) with the value computed once however often f names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def phrase_score(q: Column, phrase: Column) -> Column:
     """0..100: how well the tokens q match a phrase: equal, prefix, words in order, in any order, inside, mistyped."""
     both = F.struct(q.alias("q"), F.filter(words(search_text(phrase)), lambda x: ~x.isin(SEARCH_STOP)).alias("p"))
