@@ -53,10 +53,10 @@ def name_parts(c: Column) -> Column:
     return F.struct(F.when(tells, g).alias("genus"), F.when(tells & (F.length(e) >= 3) & ~e.isin(NO_EPITHET), e).alias("epithet"))
 
 
-def _near_word(a: Column, b: Column) -> Column:
+def _near_word(a: Column, b: Column, more: int = 0) -> Column:
     """Equal but for a few typing errors."""
     n = F.least(F.length(a), F.length(b))
-    most = F.when(n >= 12, 3).when(n >= 6, 2).otherwise(1)
+    most = F.when(n >= 12, 3 + more).when(n >= 6, 2 + more).otherwise(1)
     return (a == b) | (F.levenshtein(a, b) <= most)
 
 
@@ -96,8 +96,11 @@ def agreement(pairs: DataFrame, reach_m: float = REACH_M) -> DataFrame:
     d = F.col("distance_m")
     dist = F.when(d < reach_m * 0.2, 0).when(d < reach_m * 0.4, 1).when(d < reach_m * 0.7, 2).when(d < reach_m, 3).otherwise(4)
     ga, gb, ea, eb = (F.col(c) for c in ("na.genus", "nb.genus", "na.epithet", "nb.epithet"))
-    genus = F.when((F.length(ga) == 1) | (F.length(gb) == 1), F.substring(ga, 1, 1) == F.substring(gb, 1, 1)).otherwise(_near_word(ga, gb))
-    name = F.when(ea.isNull() | eb.isNull(), 1).when(_near_word(ea, eb) & genus, 0).otherwise(2)
+    short = (F.length(ga) == 1) | (F.length(gb) == 1)
+    genus = lambda more: F.when(short, F.substring(ga, 1, 1) == F.substring(gb, 1, 1)).otherwise(_near_word(ga, gb, more))
+    # where one part is written alike, the other may hold errors of both writers
+    same = (_near_word(ea, eb) & genus(0)) | ((ea == eb) & genus(2)) | ((ga == gb) & ~short & _near_word(ea, eb, 2))
+    name = F.when(ea.isNull() | eb.isNull(), 1).when(same, 0).otherwise(2)
     return pairs.withColumn("l_dist", dist).withColumn("l_name", name)
 
 

@@ -121,4 +121,12 @@ f as (select a, b from e where a is not null and b is not null and a <> b), g as
 r(v, w) as (select a, a from g union select r.v, g.b from r join g on r.w = g.a),
 h as (select v, min(w) w, count(*) n from r where v not like '#%' and w not like '#%' group by v)
 select v tree_id, w group_tree_id from h where n > 1"""
-SQL = {"p6_found": _P6}
+_MISSING = "('', '-', '?', 'n/a', 'na', 'nil', 'none', 'null', 'not recorded', 'tba', 'tbc', 'unidentified', 'unk', 'unknown', '<blank>')"
+_P1 = f"""
+with g as ({_P6}), t as (select {_PLAIN.format('tree_id')} tree_id, source_primary s, species_confidence c, try_cast(as_of_utc as timestamptz) a,
+  unnest(['species_latin', 'species_common', 'owner_class', 'notable_point_name']) field_name, unnest([species_latin, species_common, owner_class, notable_point_name]) v from trees),
+u as (select group_tree_id, t.field_name, tree_id, coalesce(x.trust_rank, 2147483647) rs, coalesce(y.trust_rank, 2147483647) rc, a from t join g using (tree_id)
+  left join trust_ranks x on x.field_name = 'source_primary' and x.field_value = s left join trust_ranks y on y.field_name = 'species_confidence' and y.field_value = c
+  where lower(trim(v, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) not in {_MISSING})
+select group_tree_id, field_name, tree_id from u qualify row_number() over (partition by group_tree_id, field_name order by rs, rc, a desc nulls last, tree_id) = 1"""
+SQL = {"p1_found": _P1, "p6_found": _P6}
