@@ -78,8 +78,8 @@ def candidate_pairs(df: DataFrame, id_col: str, source_col: str, name_col: str,
     y = F.col("x_lat") * per_deg
     side_x, side_y = 2 * wide, 2 * reach_m * 1.01
     cells = []
-    for ox, oy in ((0, 0), (1, 0), (0, 1), (1, 1)):
-        cells.append(F.struct(F.lit(2 * ox + oy).alias("g"), F.floor((x + ox * wide) / side_x).alias("cx"), F.floor((y + oy * reach_m * 1.01) / side_y).alias("cy")))
+    for g, (ox, oy) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1))):
+        cells.append(F.struct(F.lit(g).alias("g"), F.floor((x + ox * wide) / side_x).alias("cx"), F.floor((y + oy * reach_m * 1.01) / side_y).alias("cy")))
     p = p.withColumn("cells", F.array(*cells))
     side = p.select("id", "src", "nm", "x_lon", "x_lat", "cells", F.explode("cells").alias("cell")).select("*", "cell.g", "cell.cx", "cell.cy").drop("cell")
     a, b = side.alias("a"), side.alias("b")
