@@ -35,11 +35,15 @@ def instant(c: Column) -> Column:
 
 
 def claims(records: DataFrame, groups: DataFrame, fields: list[str], keep: list[Column]) -> DataFrame:
-    """(group_tree_id, field_name, tree_id, value, *keep): one row per member's record and usable field."""
-    r = records.join(groups, "tree_id")
+    """(group_tree_id, field_name, tree_id, value, *keep): one row per member's record and usable field.
+
+    Members without a record, and records in no group, give no claim; a repeated record claims repeatedly.
+    """
     pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), usable_value(F.col(f)).alias("value")) for f in fields])
-    out = r.select("group_tree_id", "tree_id", *keep, F.explode(pairs).alias("f"))
-    return out.where(F.col("f.value").isNotNull()).select("group_tree_id", "f.field_name", "tree_id", "f.value", *[c for c in out.columns if c not in ("group_tree_id", "tree_id", "f")])
+    mine = records.select(F.col("tree_id").alias("__t"), *keep, F.explode(pairs).alias("__f")).where(F.col("__f.value").isNotNull())
+    kept = [x for x in mine.columns if x not in ("__t", "__f")]
+    out = mine.join(groups.select(F.col("tree_id").alias("__t"), "group_tree_id"), "__t")
+    return out.select("group_tree_id", "__f.field_name", F.col("__t").alias("tree_id"), "__f.value", *kept)
 
 
 def survivors_by_trust(c: DataFrame, order: list[Column]) -> DataFrame:
@@ -86,6 +90,8 @@ def fuse(c: DataFrame, source: str = "source", rounds: int = ROUNDS) -> tuple[Da
     if not names:
         empty = votes.select(*obj, "value", F.lit(0.0).alias("posterior"), F.lit(0).alias("n_sources"))
         return empty, accuracy, copies
+    # before any value is believed, two sources are compared by how often they agree
+    copies = _dependence(votes.withColumn("p", F.lit(1.0)), obj, names, accuracy, believed=False)
     result = votes
     for k in range(rounds):
         scored = _vote(votes, accuracy, copies)
@@ -105,8 +111,9 @@ def fuse(c: DataFrame, source: str = "source", rounds: int = ROUNDS) -> tuple[Da
     return result, accuracy, copies
 
 
-def _dependence(p: DataFrame, obj: list[str], names: list[str], accuracy: dict[str, float]) -> dict[tuple[str, str], float]:
-    """Probability that two sources depend, from how often they share true values, share false ones, or differ."""
+def _dependence(p: DataFrame, obj: list[str], names: list[str], accuracy: dict[str, float], believed: bool = True) -> dict[tuple[str, str], float]:
+    """Probability that two sources depend, from how often they share true values, share false ones, or differ;
+    where nothing is believed yet, from how often they agree or differ."""
     pairs = list(combinations(names, 2))
     if not pairs:
         return {}
@@ -125,7 +132,10 @@ def _dependence(p: DataFrame, obj: list[str], names: list[str], accuracy: dict[s
         e = 1 - acc
         pt, pf = acc * acc, e * e / FALSE_VALUES
         pd_ = max(1e-9, 1 - pt - pf)
-        dt, df = COPY_SHARE * acc + (1 - COPY_SHARE) * pt, COPY_SHARE * e + (1 - COPY_SHARE) * pf
+        if not believed:
+            pt = pt + pf * FALSE_VALUES
+            pd_ = max(1e-9, 1 - pt)
+        dt, df = COPY_SHARE * (acc if believed else 1.0) + (1 - COPY_SHARE) * pt, COPY_SHARE * e + (1 - COPY_SHARE) * pf
         dd = max(1e-9, (1 - COPY_SHARE) * pd_)
         lr = kt * math.log(pt / dt) + kf * math.log(pf / df) + kd * math.log(pd_ / dd) + math.log((1 - COPY_PRIOR) / COPY_PRIOR)
         out[pairs[i]] = 1 / (1 + math.exp(min(50.0, max(-50.0, lr))))
