@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,17 +61,17 @@ def region_triangles(df: DataFrame, id_col: str, rings: str) -> DataFrame:
     """(id_col, part, tri) of regions given as arrays of rings of (x, y) structs; the first ring is the outline,
     others are holes or further outlines (odd-even rule). Null regions and degenerate rings give no triangle."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for rid, rr in zip(pdf[id_col], pdf[rings]):
-                for k, ring in enumerate(rr if rr is not None else ()):
-                    xy = [(q["x"], q["y"]) for q in ring] if ring is not None else []
-                    out += [(rid, k, t.ravel().tolist()) for t in ear_clip(xy)]
-            yield pd.DataFrame(out, columns=[id_col, "part", "tri"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            who, part, tri = [], [], []
+            for row in batch.to_pylist():
+                for k, ring in enumerate(row[rings] or ()):
+                    for t in ear_clip([(q["x"], q["y"]) for q in ring or ()]):
+                        who.append(row[id_col]), part.append(k), tri.append(t.ravel().tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(who, batch.schema.field(0).type), pa.array(part, pa.int32()), pa.array(tri, pa.list_(pa.float64()))], names=[id_col, "part", "tri"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, rings).mapInPandas(cut, f"`{id_col}` {kind}, part int, tri array<double>")
+    return df.select(id_col, rings).mapInArrow(cut, f"`{id_col}` {kind}, part int, tri array<double>")
 
 
 def _sample(df: DataFrame, x: Column, y: Column, n: int) -> np.ndarray:

@@ -14,6 +14,16 @@ c = F.col
 
 
 # joins
+def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join in which a null key meets a null key; the keys of b are dropped."""
+    right = b.select(*[c(k).alias(f"__r_{k}") for k in keys], *[x for x in b.columns if x not in keys])
+    cond = None
+    for k in keys:
+        eq = a[k].eqNullSafe(right[f"__r_{k}"])
+        cond = eq if cond is None else cond & eq
+    return a.join(right, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def star_join(fact: DataFrame, sides: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     """Left equi-joins of side tables, each unique in its key; a clashing side column gets the key's suffix order."""
     out, seen = fact, set(fact.columns)
@@ -95,8 +105,8 @@ def quantile_table(df: DataFrame, keys: Sequence[str], value: str, probabilities
     d = df.where(c(value).isNotNull())
     big = d.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities])).alias("q"))
     sizes = big.where(c("n") <= small).select(*keys)
-    exact = d.join(sizes, list(keys), "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(c(value).cast("double"))).alias("exact"))
-    return big.join(exact, list(keys), "left").select(*keys, "n", F.when(c("n") > small, c("q")).alias("q"), "exact")
+    exact = null_safe_join(d, sizes, keys, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(c(value).cast("double"))).alias("exact"))
+    return null_safe_join(big, exact, keys, "left").select(*keys, "n", F.when(c("n") > small, c("q")).alias("q"), "exact")
 
 
 def keyed_counts(df: DataFrame, keys: Sequence[str], column: str, values: Sequence[str]) -> DataFrame:
@@ -113,9 +123,9 @@ def members_json(df: DataFrame, keys: Sequence[str], fields: Sequence[str], orde
 
 def diversity(df: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
     """Shannon and Simpson diversity per key from a two-level count; null kinds are left out."""
-    n = df.where(c(kind).isNotNull()).groupBy(*keys, kind).agg(F.count("*").alias("k"))
-    t = n.groupBy(*keys).agg(F.sum("k").alias("n"), F.count("*").alias("n_kinds"), F.sum(c("k") * F.ln("k")).alias("a"), F.sum(c("k") * c("k")).alias("b"))
-    return t.select(*keys, "n", "n_kinds", (F.ln("n") - c("a") / c("n")).alias("shannon"), (1 - c("b") / (c("n") * c("n"))).alias("simpson"))
+    n = df.where(c(kind).isNotNull()).groupBy(*keys, kind).agg(F.count("*").alias("__k"))
+    t = n.groupBy(*keys).agg(F.sum("__k").alias("__n"), F.count("*").alias("n_kinds"), F.sum(c("__k") * F.ln("__k")).alias("__a"), F.sum(c("__k") * c("__k")).alias("__b"))
+    return t.select(*keys, c("__n").alias("n"), "n_kinds", (F.ln("__n") - c("__a") / c("__n")).alias("shannon"), (1 - c("__b") / (c("__n") * c("__n"))).alias("simpson"))
 
 
 def error_summary(df: DataFrame, keys: Sequence[str], truth: Column, guess: Column, least: int = 30) -> DataFrame:
@@ -133,7 +143,8 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> Column:
     p = k / n1
     mid = (p + z * z / (n1 * 2)) / (F.lit(1.0) + z * z / n1)
     half = F.sqrt(p * (1 - p) / n1 + z * z / (n1 * n1 * 4)) * z / (F.lit(1.0) + z * z / n1)
-    return F.struct(F.greatest(mid - half, F.lit(0.0)).alias("lo"), F.least(mid + half, F.lit(1.0)).alias("hi"))
+    told = lambda v: F.when(n1.isNotNull(), v)
+    return F.struct(told(F.greatest(mid - half, F.lit(0.0))).alias("lo"), told(F.least(mid + half, F.lit(1.0))).alias("hi"))
 
 
 def cohort_quantiles(df: DataFrame, band: str, value: str, probabilities: Sequence[float], least: int = 50) -> DataFrame:
@@ -223,9 +234,9 @@ def block_bootstrap(df: DataFrame, block: str, value: str, rounds: int = 200, se
 
     Each block gets a Poisson(1) weight per round from its hash, so all rounds are one pass over the block sums.
     """
-    b = df.groupBy(block).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    b = df.groupBy(c(block).alias("__b")).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
     r = b.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-    u = (F.pmod(F.xxhash64(c(block), c("round"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    u = (F.pmod(F.xxhash64("__b", c("round"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     cut, total, term = [], 0.0, math.exp(-1)
     for k in range(8):
         total += term
@@ -236,7 +247,7 @@ def block_bootstrap(df: DataFrame, block: str, value: str, rounds: int = 200, se
         weight = F.when(u < cut[k], k).otherwise(weight)
     # round 0 is the plain mean
     w = F.when(c("round") == 0, 1).otherwise(weight)
-    m = r.groupBy("round").agg((F.sum(w * c("s")) / F.nullif(F.sum(w * c("n")).cast("double"), F.lit(0.0))).alias("m"), F.count("*").alias("k"))
+    m = r.groupBy("round").agg((F.sum(w * c("__s")) / F.nullif(F.sum(w * c("__n")).cast("double"), F.lit(0.0))).alias("m"), F.count("*").alias("k"))
     return m.agg(F.max("k").alias("n_blocks"), F.max(F.when(c("round") == 0, c("m"))).alias("mean"), F.percentile(F.when(c("round") > 0, c("m")), 0.025).alias("lo"), F.percentile(F.when(c("round") > 0, c("m")), 0.975).alias("hi"))
 
 

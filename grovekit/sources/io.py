@@ -18,7 +18,8 @@ def read_geojson(spark: SparkSession, path: str, properties: T.StructType, geome
 
     Files are parsed whole, one task each; convert files of many GB to lines with `features_of_text` first.
     """
-    schema = T.StructType().add("features", T.ArrayType(T.StructType().add("properties", properties).add("geometry", f"struct<type:string,coordinates:{geometry}>")))
+    place = T.StructType.fromDDL(f"geometry struct<type:string,coordinates:{geometry}>")
+    schema = T.StructType([T.StructField("features", T.ArrayType(T.StructType([T.StructField("properties", properties), *place.fields])))])
     f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     return f.select("f.properties.*", c("f.geometry.type").alias("geometry_type"), c("f.geometry.coordinates").alias("coordinates"))
 
@@ -79,7 +80,8 @@ def features_of_text(spark: SparkSession, path: str, size: int = 1 << 20) -> Dat
 
 
 def read_geojson_lines(spark: SparkSession, path: str, properties: T.StructType) -> DataFrame:
-    schema = T.StructType().add("properties", properties).add("geometry", "struct<type:string,coordinates:array<double>>")
+    place = T.StructType.fromDDL("geometry struct<type:string,coordinates:array<double>>")
+    schema = T.StructType([T.StructField("properties", properties), *place.fields])
     f = spark.read.schema(schema).json(path)
     return f.select("properties.*", c("geometry.coordinates")[0].alias("lon"), c("geometry.coordinates")[1].alias("lat"))
 
