@@ -88,7 +88,8 @@ def points_in_triangles(points: DataFrame, x: str, y: str, p_cols: list[str], tr
     """
     n_p, n_t = points.count(), triangles.count()
     if n_p == 0 or n_t == 0:
-        return points.limit(0).select(*p_cols).crossJoin(triangles.limit(0).select(*t_cols, "part"))
+        kinds = {f.name: f.dataType.simpleString() for f in [*points.schema, *triangles.schema]}
+        return points.sparkSession.createDataFrame([], ", ".join(f"`{x}` {kinds[x]}" for x in [*p_cols, *t_cols, "part"]))
     t0 = F.col("tri")
     sp = _sample(points, F.col(x), F.col(y), n_p)
     st = _sample(triangles, t0[0], t0[1], n_t)

@@ -151,9 +151,8 @@ def cohort_quantiles(df: DataFrame, band: str, value: str, probabilities: Sequen
     """Quantiles per band, those of all rows where a band has fewer than `least`: (band, n, q, from_all)."""
     p = F.array(*[F.lit(float(x)) for x in probabilities])
     g = df.groupBy(band).agg(F.count(value).alias("n"), F.percentile(value, p).alias("q"))
-    every = df.agg(F.percentile(value, p).alias("qa"))  # one row
-    j = g.join(F.broadcast(every))
-    return j.select(band, "n", F.when(c("n") >= least, c("q")).otherwise(c("qa")).alias("q"), (c("n") < least).alias("from_all"))
+    every = df.agg(F.percentile(value, p).alias("qa")).scalar()
+    return g.select(band, "n", F.when(c("n") >= least, c("q")).otherwise(every).alias("q"), (c("n") < least).alias("from_all"))
 
 
 def robust_spread(df: DataFrame, key: str, value: str, floor: float = 0.15, least: int = 15) -> DataFrame:

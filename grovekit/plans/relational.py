@@ -171,16 +171,16 @@ def upper_median_offset(s, d):
 def reconcile_totals(s, d):
     t = table(s, d, "trees").select(F.when(c("approx_x_m").isNull() | c("approx_y_m").isNull(), "unassigned").otherwise("assigned").alias("part"))
     g = t.groupBy("part").agg(F.count("*").alias("n"))
-    every = table(s, d, "trees").agg(F.count("*").alias("total"))
+    every = table(s, d, "trees").agg(F.count("*").alias("total")).scalar()
     p = g.agg(F.sum(F.when(c("part") == "assigned", c("n"))).alias("assigned"), F.sum(F.when(c("part") == "unassigned", c("n"))).alias("unassigned"))
-    return p.join(F.broadcast(every)).select("assigned", "unassigned", "total", (c("total") - c("assigned") - c("unassigned")).alias("difference"))
+    return p.withColumn("total", every).select("assigned", "unassigned", "total", (c("total") - c("assigned") - c("unassigned")).alias("difference"))
 
 
 def vector_percentiles(s, d):
     o = table(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     p = [i / 20 for i in range(21)]
     q = o.groupBy("o_orderpriority").agg(F.percentile("o_totalprice", F.array(*[F.lit(x) for x in p])).alias("q"))
-    j = o.join(F.broadcast(q), "o_orderpriority")  # a row per priority
+    j = o.join(q, "o_orderpriority")
     return j.select("o_orderkey", F.round(op.percentile_in(c("o_totalprice"), c("q"), F.array(*[F.lit(x) for x in p])), 6).alias("pct"))
 
 
@@ -244,7 +244,7 @@ def gaps_islands_runs(s, d):
 def group_transform(s, d):
     t = table(s, d, "nz_tree_points")
     g = t.groupBy("source_slug").agg(F.count("*").alias("size"), F.count_distinct("scientific_name").alias("n_names"), F.max("height_m").alias("max_h"))
-    return t.select("point_id", "source_slug").join(F.broadcast(g), "source_slug")  # a row per source
+    return t.select("point_id", "source_slug").join(g, "source_slug")
 
 
 def top_k_per_parcel(s, d):

@@ -203,8 +203,8 @@ def components_radius(s, d):
 def duplicate_inflation(s, d):
     comp = components_radius(s, d).groupBy("component").agg(F.count("*").alias("n"))
     n = comp.agg(F.count("*").alias("clusters"), F.sum("n").alias("members"), F.max("n").alias("largest"))
-    every = points(s, d).agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(every)).select("clusters", "members", "largest", F.round((c("members") - c("clusters")) / c("n"), 9).alias("inflation"))
+    every = points(s, d).agg(F.count("*").alias("n")).scalar()
+    return n.select("clusters", "members", "largest", F.round((c("members") - c("clusters")) / every, 9).alias("inflation"))
 
 
 def optimal_links(s, d):

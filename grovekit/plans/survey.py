@@ -152,7 +152,7 @@ def height_forecast(s, d):
     own = (c("h24") - c("h16")) / 8
     e = e.withColumn("own", own).withColumn("band", F.floor(c("h24") / 5))
     q = e.where("own is not null").groupBy("band").agg(F.percentile("own", 0.5).alias("cohort"))
-    j = e.join(F.broadcast(q), "band")  # a row per height band
+    j = e.join(q, "band")
     return j.select("l_orderkey", F.round(op.height_forecast(c("h24"), c("cohort"), c("own"), 6.0), 6).alias("h2030"), F.round(op.height_forecast(c("h24"), c("cohort"), c("own"), 16.0), 6).alias("h2040"))
 
 

@@ -34,11 +34,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
 
-    Only where no folder is named (tests, a laptop) a temporary one is set.
+    Only where no folder is named and all runs in one process (tests, a laptop) a temporary one is set.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="grovekit-"))
     return df.checkpoint(eager=True)
 
