@@ -90,8 +90,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, total_tokens:
     rows = [(s, w, m, have[s], float(min(w * total, 9e18))) for s, (w, m) in sorted(aim.items())]
     base = documents.sparkSession.createDataFrame(rows, "source string, target_share double, max_repeats int, tokens_there long, tokens_aimed double")
     report = base.join(used, "source", "left").fillna(0, ["n_documents", "tokens_used", "most_copies"])
-    every = report.agg(F.sum("tokens_used").alias("t"))
-    report = report.join(F.broadcast(every))  # one row
+    report = report.withColumn("t", used.agg(F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("t")).scalar())
     share = F.when(F.col("t") > 0, F.col("tokens_used") / F.col("t")).otherwise(0.0)
     return chosen, report.select(*base.columns, "n_documents", "tokens_used", "most_copies", share.alias("share_reached"))
 

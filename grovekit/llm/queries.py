@@ -11,7 +11,7 @@ from grovekit.llm.linkage import link_points
 from grovekit.llm.linkrows import merge_groups
 from grovekit.llm.mixing import mix
 from grovekit.llm.splitting import split_documents
-from grovekit.llm.survivors import claims, fuse, instant, survivors_by_trust
+from grovekit.llm.survivors import fuse, group_claims, instant, record_claims, survivors_by_trust
 from grovekit.session import bounded_collect, cut, plain_id, table
 
 FIELDS = ["species_latin", "species_common", "owner_class", "notable_point_name"]
@@ -36,16 +36,16 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
         _rank(ranks, "species_confidence", F.col("species_confidence")).alias("r_conf"),
         instant(F.col("as_of_utc")).alias("seen"),
     )
-    return claims(rows, merge_groups(spark, d), FIELDS, [F.col(c) for c in ("source", "r_source", "r_conf", "seen")])
+    return record_claims(rows, FIELDS, [F.col(c) for c in ("source", "r_source", "r_conf", "seen")])
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     late = F.coalesce(-F.unix_micros("seen"), F.lit(2**63 - 1))
-    return survivors_by_trust(_claims(spark, d), [F.col("r_source"), F.col("r_conf"), late]).select("group_tree_id", "field_name", "tree_id")
+    return survivors_by_trust(_claims(spark, d), merge_groups(spark, d), [F.col("r_source"), F.col("r_conf"), late]).select("group_tree_id", "field_name", "tree_id")
 
 
 def p1_fused(spark: SparkSession, d: str) -> DataFrame:
-    return fuse(_claims(spark, d))[0]
+    return fuse(group_claims(_claims(spark, d), merge_groups(spark, d)))[0]
 
 
 def _taxa(spark: SparkSession, d: str) -> DataFrame:

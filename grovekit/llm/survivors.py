@@ -34,26 +34,33 @@ def instant(c: Column) -> Column:
     return F.try_to_timestamp(F.btrim(c))
 
 
-def claims(records: DataFrame, groups: DataFrame, fields: list[str], keep: list[Column]) -> DataFrame:
-    """(group_tree_id, field_name, tree_id, value, *keep): one row per member's record and usable field.
-
-    Members without a record, and records in no group, give no claim; a repeated record claims repeatedly.
-    """
+def record_claims(records: DataFrame, fields: list[str], keep: list[Column]) -> DataFrame:
+    """(tree_id, field_name, value, *keep): one row per record and usable field; records without id give none."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), usable_value(F.col(f)).alias("value")) for f in fields])
-    mine = records.select(F.col("tree_id").alias("__t"), *keep, F.explode(pairs).alias("__f")).where(F.col("__f.value").isNotNull())
+    mine = records.where(F.col("tree_id").isNotNull()).select(F.col("tree_id").alias("__t"), *keep, F.explode(pairs).alias("__f")).where(F.col("__f.value").isNotNull())
     kept = [x for x in mine.columns if x not in ("__t", "__f")]
-    out = mine.join(groups.select(F.col("tree_id").alias("__t"), "group_tree_id"), "__t")
-    return out.select("group_tree_id", "__f.field_name", F.col("__t").alias("tree_id"), "__f.value", *kept)
+    return mine.select(F.col("__t").alias("tree_id"), "__f.field_name", "__f.value", *kept)
 
 
-def survivors_by_trust(c: DataFrame, order: list[Column]) -> DataFrame:
-    """(group_tree_id, field_name, tree_id, value): the claim first in `order`, then the smallest tree id and value.
+def survivors_by_trust(claims: DataFrame, groups: DataFrame, order: list[Column]) -> DataFrame:
+    """(group_tree_id, field_name, tree_id, value): of a group's claims the first in `order`, then by smallest tree id
+    and value.
 
-    An aggregate with map-side combining: a group of any size never meets in one task.
+    The best claim of each record id is taken before the groups are joined, and both steps are aggregates with
+    map-side combining, so neither a record delivered without end nor a huge group meets in one task. Members
+    without a record and records in no group give no row; an empty side gives none.
     """
-    key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col("tree_id").alias("tree_id"), F.col("value").alias("value"))
-    best = c.groupBy("group_tree_id", "field_name").agg(F.min(key).alias("b"))
-    return best.select("group_tree_id", "field_name", "b.tree_id", "b.value")
+    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    own = claims.groupBy("tree_id", "field_name").agg(F.min(F.struct(rank.alias("r"), "value")).alias("b"))
+    mine = own.join(groups.select("tree_id", "group_tree_id"), "tree_id")
+    best = mine.groupBy("group_tree_id", "field_name").agg(F.min(F.struct(F.col("b.r").alias("r"), "tree_id", F.col("b.value").alias("value"))).alias("m"))
+    return best.select("group_tree_id", "field_name", "m.tree_id", "m.value")
+
+
+def group_claims(claims: DataFrame, groups: DataFrame, source: str = "source") -> DataFrame:
+    """(group_tree_id, field_name, value, source): what each source claims in each group, once."""
+    own = claims.select("tree_id", "field_name", "value", F.col(source).alias("source")).distinct()
+    return own.join(groups.select("tree_id", "group_tree_id"), "tree_id").select("group_tree_id", "field_name", "value", "source")
 
 
 def _vote(c: DataFrame, accuracy: dict[str, float], copies: dict[tuple[str, str], float]) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from grovekit.llm.components import connected_components, grouped_ids
 from grovekit.llm.linkrows import HELPER, merge_edges
-from grovekit.llm.survivors import claims, fuse, instant, survivors_by_trust, usable_value
+from grovekit.llm.survivors import fuse, group_claims, instant, record_claims, survivors_by_trust, usable_value
 
 
 def brute(edges):
@@ -84,10 +84,11 @@ def test_survivor_order_and_ties(spark):
     g = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("z", "y")], "tree_id string, group_tree_id string")
     rows = [("a", "x", 2, 5), ("b", "w", 1, 1), ("b", "w", 1, 1), ("c", "v", 1, 1), ("z", "n/a", 1, 1), (None, "u", 0, 0)]
     r = spark.createDataFrame(rows, "tree_id string, f string, k int, t int").withColumn("group_tree_id", F.lit("clash"))
-    c = claims(r, g, ["f"], [F.col("k"), F.col("t")])
-    got = survivors_by_trust(c, [F.col("k"), -F.col("t")]).collect()
+    c = record_claims(r, ["f"], [F.col("k"), F.col("t")])
+    got = survivors_by_trust(c, g, [F.col("k"), -F.col("t")]).collect()
     assert [(x["group_tree_id"], x["tree_id"], x["value"]) for x in got] == [("a", "b", "w")]
-    assert survivors_by_trust(c.limit(0), [F.col("k")]).count() == 0
+    assert survivors_by_trust(c.limit(0), g, [F.col("k")]).count() == survivors_by_trust(c, g.limit(0), [F.col("k")]).count() == 0
+    assert sorted((x["group_tree_id"], x["value"]) for x in group_claims(c.withColumn("source", F.lit("s")), g).collect()) == [("a", "v"), ("a", "w"), ("a", "x")]
 
 
 def test_fusion_discounts_copies(spark):
