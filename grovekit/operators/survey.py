@@ -407,3 +407,77 @@ def binary_scores(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
     g = df.agg(F.count("*").alias("n"), F.count(F.when(truth & guess, 1)).alias("tp"), F.count(F.when(guess, 1)).alias("p"), F.count(F.when(truth, 1)).alias("t"))
     d = lambda a, b: c(a) / F.nullif(c(b).cast("double"), F.lit(0.0))
     return g.select("n", d("tp", "p").alias("precision"), d("tp", "t").alias("recall"), (c("tp") * 2.0 / F.nullif((c("p") + c("t")).cast("double"), F.lit(0.0))).alias("f1"))
+
+
+def smooth(cells: DataFrame, reach: int = 1) -> DataFrame:
+    """Mean of the cells around each cell, of those that are there."""
+    return cells.select("i", "j").join(_spread(cells, reach, F.avg), ["i", "j"])
+
+
+def despike(cells: DataFrame, reach: int = 1, most: float = 5.0) -> DataFrame:
+    """Cells higher than the median of their surroundings by more than `most` take that median."""
+    m = _spread(cells, reach, F.median).withColumnRenamed("h", "__m")
+    return cells.join(m, ["i", "j"]).select("i", "j", F.when(c("h") - c("__m") > most, c("__m")).otherwise(c("h")).alias("h"))
+
+
+def otsu(df: DataFrame, keys: Sequence[str], v: str, bin_size: float = 1.0) -> DataFrame:
+    """(keys, n, threshold): upper edge of the histogram bin that splits the values with most between-class variance."""
+    h = df.where(c(v).isNotNull()).groupBy(*keys, F.floor(c(v) / bin_size).alias("__bin")).agg(F.count("*").alias("__k"))
+    w = Window.partitionBy(*keys)
+    up = w.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    x = c("__bin") * bin_size
+    t = h.select(*keys, "__bin", F.sum("__k").over(up).alias("__n0"), F.sum(x * c("__k")).over(up).alias("__s0"), F.sum("__k").over(w).alias("__n"), F.sum(x * c("__k")).over(w).alias("__s"))
+    n1 = F.nullif((c("__n") - c("__n0")).cast("double"), F.lit(0.0))
+    diff = c("__s0") / c("__n0") - (c("__s") - c("__s0")) / n1
+    between = F.coalesce(c("__n0") * n1 * diff * diff, F.lit(-1.0))
+    best = t.groupBy(*keys).agg(F.max("__n").alias("n"), F.max(F.struct(between.alias("b"), (-c("__bin")).alias("m"))).alias("__b"))
+    return best.select(*keys, "n", ((-c("__b.m") + 1) * bin_size).alias("threshold"))
+
+
+def saddle_share(pairs: DataFrame, a: tuple[str, str, str], b: tuple[str, str, str], cells: DataFrame, size: float, steps: int = 10) -> DataFrame:
+    """pairs with `saddle`: lowest cell on the line between two tops over the lower of their heights.
+
+    a and b name the (x, y, height) columns of the tops; cells that are missing count as 0.
+    """
+    p = pairs.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    at = lambda k: F.floor((c(a[k]) + (c(b[k]) - c(a[k])) * c("__k") / steps) / size)
+    j = p.withColumn("i", at(0)).withColumn("j", at(1)).join(cells.select("i", "j", c("h").alias("__h")), ["i", "j"], "left")
+    g = j.groupBy(*pairs.columns).agg(F.min(F.coalesce("__h", F.lit(0.0))).alias("__low"))
+    return g.select(*pairs.columns, (c("__low") / F.nullif(F.least(c(a[2]), c(b[2])), F.lit(0.0))).alias("saddle"))
+
+
+def segmentation_scores(overlaps: DataFrame, truth: str, found: str, area: str, truth_share: str, found_share: str, least: float = 0.5) -> DataFrame:
+    """One row: number of true crowns, recall, split, merge, median IoU and a harmonic objective.
+
+    A true crown is recalled if a found one covers `least` of it; split if two found ones each cover a fifth of it;
+    merged if its best found crown is best for others too. Crowns' areas follow from overlap and share.
+    """
+    o = overlaps.where(c(area).isNotNull() & (c(truth_share) > 0) & (c(found_share) > 0))
+    iou = c(area) / (c(area) / c(truth_share) + c(area) / c(found_share) - c(area))
+    g = o.groupBy(truth).agg(F.max(truth_share).alias("__c"), F.count(F.when(c(truth_share) >= 0.2, 1)).alias("__s"), F.max(iou).alias("__i"), F.max(F.struct(c(area), c(found)))[found].alias("__f"))
+    m = g.groupBy("__f").agg(F.count("*").alias("__m"))
+    t = g.join(m, "__f")
+    r = t.agg(F.count("*").alias("n"), F.avg((c("__c") >= least).cast("double")).alias("recall"), F.avg((c("__s") >= 2).cast("double")).alias("split"), F.avg((c("__m") > 1).cast("double")).alias("merge"), F.median("__i").alias("iou"))
+    good = F.lit(3.0) / (F.lit(1.0) / F.nullif(c("recall"), F.lit(0.0)) + F.lit(1.0) / F.nullif(1 - c("split"), F.lit(0.0)) + F.lit(1.0) / F.nullif(c("iou"), F.lit(0.0)))
+    return r.withColumn("objective", good)
+
+
+def merge_clusters(df: DataFrame, cols: tuple[str, str, str], height: str, rank: Column, area: str, radius: float, share: float = 0.6, least: float = 3.0, auto_most: int = 5) -> DataFrame:
+    """(id, cluster, size, merge_class, is_primary): items near one another of like height, taken as one crown.
+
+    A pair is confirmed if the shorter reaches `share` of the taller and `least`; clusters up to auto_most merge by
+    themselves, larger ones are for review. The primary comes first by rank, then area, then id.
+    """
+    s = df.select(c(cols[0]).alias("id"), c(cols[1]).alias("x"), c(cols[2]).alias("y"), c(height).alias("h"), rank.alias("rk"), c(area).alias("ar"))
+    p = near_join(s, s, ("id", "x", "y"), ("id", "x", "y"), radius).where(c("a_id") < c("b_id"))
+    p = p.join(s.select(c("id").alias("a_id"), c("h").alias("ha")), "a_id").join(s.select(c("id").alias("b_id"), c("h").alias("hb")), "b_id")
+    p = p.where((F.least("ha", "hb") >= F.greatest("ha", "hb") * share) & (F.least("ha", "hb") >= least))
+    k = components(p).join(s.select("id", "rk", "ar"), "id")
+    g = k.groupBy("component").agg(F.count("*").alias("size"), F.min(F.struct("rk", (-F.coalesce("ar", F.lit(0.0))).alias("na"), "id"))["id"].alias("first"))
+    return k.join(g, "component").select("id", c("component").alias("cluster"), "size", F.when(c("size") <= auto_most, "auto").otherwise("review_large").alias("merge_class"), (c("id") == c("first")).alias("is_primary"))
+
+
+def prior_adjusted(p: Column, trained: float, target: float) -> Column:
+    """Probability re-weighted from the share of positives in training to that expected."""
+    a, b = p * (target / trained), (1 - p) * ((1 - target) / (1 - trained))
+    return a / F.nullif(a + b, F.lit(0.0))

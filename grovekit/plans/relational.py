@@ -358,7 +358,7 @@ def validated_population(s, d):
     return table(s, d, name).where(F.expr(cond)).groupBy("owner_class").agg(F.count("*").alias("n"))
 
 
-def bridge_heads(s, d):
+def lineage_history(s, d):
     """Lineage history: the list of changes of each key over the snapshots."""
     v = table(s, d, "v5_lineage_new_summary").select("new_seg_key", "snapshot_no", "old_overlapping_crowns").distinct()
     g = v.groupBy("new_seg_key").agg(F.sort_array(F.collect_list(F.struct("snapshot_no", "old_overlapping_crowns"))).alias("h"))
@@ -372,7 +372,7 @@ QUERIES = {f.__name__: f for f in (
     vector_percentiles, stratified_sample_rows, spaced_sample, five_number_summary, running_totals, bootstrap_interval, area_summary, primary_selection, winners_losers_rows,
     softmax_rank, gaps_islands_runs, group_transform, top_k_per_parcel, tallest_id, newest_first, next_leader_margin, modal_value, union_current_legacy, except_both_ways,
     upsert_replace, insert_ignore, replace_source_slice, concat_sources, difference_keys, cascade_delete_counts, bbox_filter, tile_owner, flag_reasons, rule_cascade,
-    evidence_tier, validated_population, bridge_heads,
+    evidence_tier, validated_population, lineage_history,
 )}
 
 _P103 = "[" + ", ".join(str(x) for x in op.quantile_probabilities()) + "]"
@@ -431,5 +431,5 @@ SQL = {
     "rule_cascade": "select case when retired_at is not null then 'retired' when is_protected_notable = 1 then 'protected' when starts_with(source_primary, 'lidar') then 'detected' when species_confidence = 'confirmed' then 'certain' end as value, case when retired_at is not null then 'retired_at' when is_protected_notable = 1 then 'notable' when starts_with(source_primary, 'lidar') then 'source' when species_confidence = 'confirmed' then 'confidence' else 'none' end basis, count(*) n from trees group by 1, 2",
     "evidence_tier": "with g as (select new_seg_key, max(new_fraction) f, max(old_fraction) o, count(*) n from tree_crown_lineage_v5 where snapshot_no = 4 group by 1) select case when f >= 0.8 and o >= 0.5 then 'A' when f >= 0.5 then 'B' when f > 0 then 'C' else 'D' end tier, concat_ws('; ', case when f < 0.5 then 'small share' end, case when o < 0.5 then 'old crown split' end, case when n > 3 then 'many parents' end) reasons, count(*) n from g group by 1, 2",
     "validated_population": "select owner_class, count(*) n from trees where source_primary = 'tree_register' and lon is not null group by 1",
-    "bridge_heads": "with v as (select distinct new_seg_key, snapshot_no, old_overlapping_crowns from v5_lineage_new_summary) select new_seg_key, string_agg(snapshot_no || ':' || old_overlapping_crowns, ',' order by snapshot_no) history from v group by 1",
+    "lineage_history": "with v as (select distinct new_seg_key, snapshot_no, old_overlapping_crowns from v5_lineage_new_summary) select new_seg_key, string_agg(snapshot_no || ':' || old_overlapping_crowns, ',' order by snapshot_no) history from v group by 1",
 }

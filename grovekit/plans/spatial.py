@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grovekit.functions import geo, growth
 from grovekit.operators import graph, spatial
+from grovekit.operators import relational as rel
 from grovekit.session import plain_id, table
 
 c = F.col
@@ -237,10 +238,12 @@ def link_roles(s, d):
 def continuity_repair(s, d):
     """Unique dominant candidate of each old crown: enough overlap and a clear margin over the next."""
     l = table(s, d, "tree_crown_lineage_v5").where("snapshot_no = 4").groupBy("old_seg_key", "new_seg_key").agg(F.max("old_fraction").alias("f"), F.max("new_fraction").alias("g"))
-    a = l.where("f is not null and g is not null").groupBy("old_seg_key").agg(F.sort_array(F.collect_list(F.struct("f", "new_seg_key", "g")), False).alias("o"))
-    first, second = F.get(c("o"), F.lit(0)), F.get(c("o"), F.lit(1))
-    verdict = F.when(first["f"] < 0.5, "too_small").when(second.isNotNull() & (first["f"] - second["f"] < 0.2), "competitor").when(first["g"] < 0.1, "tiny_share").otherwise("accept")
-    return a.select("old_seg_key", first["new_seg_key"].alias("new_seg_key"), verdict.alias("verdict"))
+    # only the two best options of a crown travel, however many it has
+    r = rel.top_k(l.where("f is not null and g is not null"), ["old_seg_key"], [c("f").desc(), c("new_seg_key").desc()], 2)
+    at = lambda k, x: F.max(F.when(c("rank") == k, c(x)))
+    a = r.groupBy("old_seg_key").agg(at(1, "f").alias("f1"), at(2, "f").alias("f2"), at(1, "g").alias("g1"), at(1, "new_seg_key").alias("new_seg_key"))
+    verdict = F.when(c("f1") < 0.5, "too_small").when(c("f1") - c("f2") < 0.2, "competitor").when(c("g1") < 0.1, "tiny_share").otherwise("accept")
+    return a.select("old_seg_key", "new_seg_key", verdict.alias("verdict"))
 
 
 QUERIES = {f.__name__: f for f in (

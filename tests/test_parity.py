@@ -7,7 +7,7 @@ import pytest
 from parity import compare, views
 
 FOLDER = "/root/testdata/sf0.001"
-MODULES = ["data_quality", "scalars", "relational", "spatial", "survey", "publish"]
+MODULES = ["data_quality", "scalars", "relational", "spatial", "survey", "publish", "composed"]
 ALL = [(m, q) for m in MODULES for q in importlib.import_module(f"grovekit.plans.{m}").QUERIES]
 
 
