@@ -60,35 +60,44 @@ def _near_word(a: Column, b: Column, more: int = 0) -> Column:
     return (a == b) | (F.levenshtein(a, b) <= most)
 
 
-def candidate_pairs(df: DataFrame, id_col: str, source_col: str, name_col: str, reach_m: float = REACH_M) -> DataFrame:
-    """Pairs of different sources in a common block, with distance and names.
+def copy_classes(df: DataFrame, id_col: str, source_col: str, name_col: str) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): records of a source with the same place and name parts form one class.
+
+    classes (cls, n, src, nm, x_lon, x_lat), members (cls, id); cls is a 128-bit hash, so no group is gathered.
+    Rows with a null id or source or no usable position are left out, a repeated id counts once.
+    """
+    p = meant_position(df).where(F.col("x_lon").isNotNull() & F.col(id_col).isNotNull() & F.col(source_col).isNotNull())
+    p = p.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), name_parts(F.col(name_col)).alias("nm"), "x_lon", "x_lat")
+    what = ["src", "nm.genus", "nm.epithet", "x_lon", "x_lat"]
+    p = p.withColumn("cls", F.struct(F.xxhash64(*what).alias("a"), F.xxhash64(F.lit(1), *what).alias("b")))
+    classes = p.groupBy("cls").agg(F.count_distinct("id").alias("n"), *[F.first(x).alias(x) for x in ("src", "nm", "x_lon", "x_lat")])
+    return classes, p.select("cls", "id").distinct()
+
+
+def candidate_pairs(classes: DataFrame, reach_m: float = REACH_M) -> DataFrame:
+    """Pairs of classes of different sources in a common block, with distance, names and number of record pairs.
 
     Blocks are cells of twice the reach on four grids, each laid off by the reach in one, the other or both
     directions: two points nearer than the reach share a cell of at least one. A pair comes out of the first grid
-    that holds it, so none is repeated. Cells are of latitude bands in which the length of a degree is fixed.
+    that holds it, so none is repeated.
     """
     per_deg = math.radians(1) * EARTH_M
-    p = meant_position(df).where(F.col("x_lon").isNotNull() & F.col(id_col).isNotNull() & F.col(source_col).isNotNull())
-    p = p.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), name_parts(F.col(name_col)).alias("nm"), "x_lon", "x_lat")
-    # 180 W is laid next to 180 E; one scale for all keeps cells at least as wide as asked everywhere in the box
-    x = (F.pmod(F.col("x_lon"), F.lit(360.0))) * (per_deg * math.cos(math.radians(min(abs(BOX[2]), abs(BOX[3])))))
+    # one scale for the whole box keeps cells at least as wide as asked; 180 W is laid next to 180 E
     scale = math.cos(math.radians(min(abs(BOX[2]), abs(BOX[3]))))
-    narrow = math.cos(math.radians(max(abs(BOX[2]), abs(BOX[3]))))
-    wide = reach_m * scale / narrow
+    wide = reach_m * scale / math.cos(math.radians(max(abs(BOX[2]), abs(BOX[3]))))
+    x = F.pmod(F.col("x_lon"), F.lit(360.0)) * (per_deg * scale)
     y = F.col("x_lat") * per_deg
-    side_x, side_y = 2 * wide, 2 * reach_m * 1.01
+    high = reach_m * 1.01
     cells = []
     for g, (ox, oy) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1))):
-        cells.append(F.struct(F.lit(g).alias("g"), F.floor((x + ox * wide) / side_x).alias("cx"), F.floor((y + oy * reach_m * 1.01) / side_y).alias("cy")))
-    p = p.withColumn("cells", F.array(*cells))
-    side = p.select("id", "src", "nm", "x_lon", "x_lat", "cells", F.explode("cells").alias("cell")).select("*", "cell.g", "cell.cx", "cell.cy").drop("cell")
+        cells.append(F.struct(F.lit(g).alias("g"), F.floor((x + ox * wide) / (2 * wide)).alias("cx"), F.floor((y + oy * high) / (2 * high)).alias("cy")))
+    side = classes.withColumn("cells", F.array(*cells)).withColumn("cell", F.explode("cells")).select("*", "cell.g", "cell.cx", "cell.cy").drop("cell")
     a, b = side.alias("a"), side.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("g", "cx", "cy")] + [F.col("a.id") < F.col("b.id"), F.col("a.src") != F.col("b.src")]
-    pair = a.join(b, on)
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("g", "cx", "cy")] + [F.col("a.cls") < F.col("b.cls"), F.col("a.src") != F.col("b.src")]
     earlier = [(F.col("a.g") > i) & (F.col("a.cells")[i] == F.col("b.cells")[i]) for i in range(3)]
-    pair = pair.where(~(earlier[0] | earlier[1] | earlier[2]))
+    pair = a.join(b, on).where(~(earlier[0] | earlier[1] | earlier[2]))
     d = metres(F.col("a.x_lon"), F.col("a.x_lat"), F.col("b.x_lon"), F.col("b.x_lat"))
-    return pair.select(F.col("a.id").alias("point_id_a"), F.col("b.id").alias("point_id_b"), F.col("a.nm").alias("na"), F.col("b.nm").alias("nb"), d.alias("distance_m"))
+    return pair.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"), F.col("a.nm").alias("na"), F.col("b.nm").alias("nb"), (F.col("a.n") * F.col("b.n")).alias("n_pairs"), d.alias("distance_m"))
 
 
 def agreement(pairs: DataFrame, reach_m: float = REACH_M) -> DataFrame:
@@ -124,21 +133,33 @@ def em(counts: np.ndarray, levels: tuple[int, int], rounds: int = EM_ROUNDS) ->
     return post, share
 
 
-def link_points(df: DataFrame, id_col: str = "point_id", source_col: str = "source_slug", name_col: str = "scientific_name", reach_m: float = REACH_M) -> DataFrame:
-    """(point_id_a, point_id_b, confidence, distance_m, l_dist, l_name) of the pairs that can be the same thing:
-    nearer than reach_m and no two different species told.
+def link_classes(classes: DataFrame, reach_m: float = REACH_M) -> DataFrame:
+    """(cls_a, cls_b, confidence, distance_m, l_dist, l_name) of classes that can be the same thing: nearer than
+    reach_m and no two different species told.
 
-    Every pair of a block takes part in the estimation, only the 15 pattern counts reach the driver. Rows with a
-    null id or source or no usable position take no part; repeated ids pair as often as they occur; an empty table
-    gives no rows. A name that is null, blank or vague agrees with any.
+    Every pair of a block takes part in the estimation with its number of record pairs; only the 15 pattern counts
+    reach the driver. A name that is null, blank or vague agrees with any.
     """
-    pairs = cut(agreement(candidate_pairs(df, id_col, source_col, name_col, reach_m), reach_m).drop("na", "nb"))
+    pairs = cut(agreement(candidate_pairs(classes, reach_m), reach_m).drop("na", "nb"))
     counts = np.zeros((5, 3))
-    for r in pairs.groupBy("l_dist", "l_name").count().collect():  # 15 patterns at most
-        counts[r["l_dist"], r["l_name"]] = r["count"]
+    for r in pairs.groupBy("l_dist", "l_name").agg(F.sum("n_pairs").alias("n")).collect():  # 15 patterns at most
+        counts[r["l_dist"], r["l_name"]] = r["n"]
     post, _ = em(counts, (5, 3))
     conf = F.lit(0.0)
     for i in range(5):
         for j in range(3):
             conf = F.when((F.col("l_dist") == i) & (F.col("l_name") == j), F.lit(float(post[i, j]))).otherwise(conf)
-    return pairs.withColumn("confidence", conf).where((F.col("distance_m") < reach_m) & (F.col("l_name") < 2))
+    return pairs.withColumn("confidence", conf).where((F.col("distance_m") < reach_m) & (F.col("l_name") < 2)).drop("n_pairs")
+
+
+def link_points(df: DataFrame, id_col: str = "point_id", source_col: str = "source_slug", name_col: str = "scientific_name", reach_m: float = REACH_M) -> DataFrame:
+    """(point_id_a, point_id_b, confidence, distance_m, l_dist, l_name), the smaller id first, each pair once.
+
+    Copies within a source are compared as one class and only the pairs found are spread over their ids. Rows with
+    a null id or source or no usable position take no part; an empty table gives no rows.
+    """
+    classes, members = copy_classes(df, id_col, source_col, name_col)
+    links = link_classes(classes, reach_m)
+    a, b = (members.select(F.col("cls").alias(f"cls_{k}"), F.col("id").alias(f"id_{k}")) for k in "ab")
+    out = links.join(a, "cls_a").join(b, "cls_b").where("id_a <> id_b")
+    return out.select(F.least("id_a", "id_b").alias("point_id_a"), F.greatest("id_a", "id_b").alias("point_id_b"), "confidence", "distance_m", "l_dist", "l_name")

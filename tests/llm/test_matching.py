@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from grovekit.llm.canon import Trie, canonical_entries, match_text, reference_trie
-from grovekit.llm.linkage import agreement, candidate_pairs, em, link_points, meant_position, name_parts
+from grovekit.llm.linkage import agreement, candidate_pairs, copy_classes, em, link_points, meant_position, name_parts
 
 REF = [
     (1, "Alunia serrata", "Alunia", "silver bunting", "whārūke; Doria prima", "species"),
@@ -98,10 +98,14 @@ def test_links_equal_brute_force(spark):
 
 def test_pairs_come_once_and_edges(spark):
     rows = [(1, "a", None, 171.6, -44.3), (2, "b", None, 171.6, -44.3), (3, "a", None, 171.6, -44.3), (4, None, None, 171.6, -44.3), (5, "b", None, None, None)]
-    p = candidate_pairs(points(spark, rows), "point_id", "source_slug", "scientific_name")
-    assert sorted((r[0], r[1]) for r in p.select("point_id_a", "point_id_b").collect()) == [(1, 2), (2, 3)]
+    classes, members = copy_classes(points(spark, rows + rows[:1]), "point_id", "source_slug", "scientific_name")
+    assert sorted((r["src"], r["n"]) for r in classes.collect()) == [("a", 2), ("b", 1)] and members.count() == 3
+    p = candidate_pairs(classes)
+    assert [r["n_pairs"] for r in p.collect()] == [2]
+    got = link_points(points(spark, rows + rows[:1]))
+    assert sorted((r[0], r[1]) for r in got.select("point_id_a", "point_id_b").collect()) == [(1, 2), (2, 3)]
     assert link_points(points(spark, [])).count() == 0
-    assert agreement(p).where("l_name = 1 and l_dist = 0").count() == 2
+    assert agreement(p).where("l_name = 1 and l_dist = 0").agg(F.sum("n_pairs")).first()[0] == 2
 
 
 def test_em_separates():
