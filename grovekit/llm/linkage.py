@@ -64,14 +64,15 @@ def copy_classes(df: DataFrame, id_col: str, source_col: str, name_col: str) ->
     """(classes, members): records of a source with the same place and name parts form one class.
 
     classes (cls, n, src, nm, x_lon, x_lat), members (cls, id); cls is a 128-bit hash, so no group is gathered.
-    Rows with a null id or source or no usable position are left out, a repeated id counts once.
+    Rows with a null id or source or no usable position are left out; n counts rows, members hold an id once.
     """
     p = meant_position(df).where(F.col("x_lon").isNotNull() & F.col(id_col).isNotNull() & F.col(source_col).isNotNull())
     p = p.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), name_parts(F.col(name_col)).alias("nm"), "x_lon", "x_lat")
-    what = ["src", "nm.genus", "nm.epithet", "x_lon", "x_lat"]
-    p = p.withColumn("cls", F.struct(F.xxhash64(*what).alias("a"), F.xxhash64(F.lit(1), *what).alias("b")))
-    classes = p.groupBy("cls").agg(F.count_distinct("id").alias("n"), *[F.first(x).alias(x) for x in ("src", "nm", "x_lon", "x_lat")])
-    return classes, p.select("cls", "id").distinct()
+    what = ["src", "genus", "epithet", "x_lon", "x_lat"]
+    cls = F.struct(F.xxhash64(*what).alias("a"), F.xxhash64(F.lit(1), *what).alias("b")).alias("cls")
+    p = p.select("id", "src", "nm.genus", "nm.epithet", "x_lon", "x_lat")
+    classes = p.groupBy(*what).agg(F.count("*").alias("n")).select(cls, "n", "src", F.struct("genus", "epithet").alias("nm"), "x_lon", "x_lat")
+    return classes, p.select(cls, "id").distinct()
 
 
 def candidate_pairs(classes: DataFrame, reach_m: float = REACH_M) -> DataFrame:
