@@ -89,13 +89,21 @@ def candidate_pairs(classes: DataFrame, reach_m: float = REACH_M) -> DataFrame:
     x = F.pmod(F.col("x_lon"), F.lit(360.0)) * (per_deg * scale)
     y = F.col("x_lat") * per_deg
     high = reach_m * 1.01
-    cells = []
-    for g, (ox, oy) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1))):
-        cells.append(F.struct(F.lit(g).alias("g"), F.floor((x + ox * wide) / (2 * wide)).alias("cx"), F.floor((y + oy * high) / (2 * high)).alias("cy")))
-    side = classes.withColumn("cells", F.array(*cells)).withColumn("cell", F.explode("cells")).select("*", "cell.g", "cell.cx", "cell.cy").drop("cell")
+    offsets = [(0.0, 0.0), (wide, 0.0), (0.0, high), (wide, high)]
+
+    def cell(side: str, g: int) -> tuple[Column, Column]:
+        """The cell of a point in grid g."""
+        ox, oy = offsets[g]
+        return F.floor((F.col(f"{side}x") + ox) / (2 * wide)), F.floor((F.col(f"{side}y") + oy) / (2 * high))
+
+    flat = classes.withColumn("x", x).withColumn("y", y)
+    grids = F.array(*[F.struct(F.lit(g).alias("g"), cell("", g)[0].alias("cx"), cell("", g)[1].alias("cy")) for g in range(4)])
+    side = flat.select("*", F.explode(grids).alias("cell")).select("*", "cell.g", "cell.cx", "cell.cy").drop("cell")
     a, b = side.alias("a"), side.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("g", "cx", "cy")] + [F.col("a.cls") < F.col("b.cls"), F.col("a.src") != F.col("b.src")]
-    earlier = [(F.col("a.g") > i) & (F.col("a.cells")[i] == F.col("b.cells")[i]) for i in range(3)]
+    # a pair that an earlier grid holds too came out there
+    same = lambda g: (cell("a.", g)[0] == cell("b.", g)[0]) & (cell("a.", g)[1] == cell("b.", g)[1])
+    earlier = [(F.col("a.g") > g) & same(g) for g in range(3)]
     pair = a.join(b, on).where(~(earlier[0] | earlier[1] | earlier[2]))
     d = metres(F.col("a.x_lon"), F.col("a.x_lat"), F.col("b.x_lon"), F.col("b.x_lat"))
     return pair.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"), F.col("a.nm").alias("na"), F.col("b.nm").alias("nb"), (F.col("a.n") * F.col("b.n")).alias("n_pairs"), d.alias("distance_m"))
