@@ -43,47 +43,56 @@ def distance_for(n: int) -> int:
 
 
 class Trie:
-    """Names with their entry and kind; a node is a dict of characters, '' holds the names that end there."""
+    """Names with their entry and kind. A node holds its children, the names that end there, and the lengths of all
+    names below as bits, so that a search leaves branches without a name of fitting length at once."""
 
     def __init__(self):
-        self.root: dict = {}
+        self.root: list = [{}, (), 0]
         self.exact: dict[str, set] = {}
 
     def add(self, name: str, entry, kind: str = "") -> None:
         if not name:
             return
         node = self.root
+        node[2] |= 1 << len(name)
         for ch in name:
-            node = node.setdefault(ch, {})
-        node.setdefault("", set()).add((entry, kind, name))
+            node = node[0].setdefault(ch, [{}, (), 0])
+            node[2] |= 1 << len(name)
+        if (entry, kind, name) not in node[1]:
+            node[1] += ((entry, kind, name),)
         self.exact.setdefault(name, set()).add((entry, kind, name))
 
     def search(self, text: str, most: int) -> list[tuple[int, object, str, str]]:
         """(distance, entry, kind, name) of all names within `most` edits."""
         n, found = len(text), []
         full, goal = (1 << (n + 1)) - 1, 1 << n
+        fits = ((1 << (2 * most + 1)) - 1) << n >> most
+        if not self.root[2] & fits:
+            return found
         mask: dict[str, int] = {}
         for i, ch in enumerate(text):
             mask[ch] = mask.get(ch, 0) | (1 << i)
-        todo = [(self.root, tuple((1 << (d + 1)) - 1 for d in range(most + 1)))]
+        todo = [(self.root, [(1 << (d + 1)) - 1 for d in range(most + 1)])]
+        levels = range(1, most + 1)
         while todo:
-            node, state = todo.pop()
-            for ch, child in node.items():
-                if ch == "":
-                    for d in range(most + 1):
-                        if state[d] & goal:
-                            found += [(d, e, k, w) for e, k, w in child]
-                            break
+            (children, ends, _), state = todo.pop()
+            if ends:
+                for d, bits in enumerate(state):
+                    if bits & goal:
+                        found += [(d, e, k, w) for e, k, w in ends]
+                        break
+            for ch, child in children.items():
+                if not child[2] & fits:
                     continue
                 m = mask.get(ch, 0)
-                last = ((state[0] & m) << 1) & full
+                last = (state[0] & m) << 1
                 new = [last]
-                for d in range(1, most + 1):
+                for d in levels:
                     below = state[d - 1]
-                    last = (((state[d] & m) << 1) | below | (below << 1) | (last << 1)) & full
+                    last = ((((state[d] & m) | below | last) << 1) | below) & full
                     new.append(last)
                 if last:
-                    todo.append((child, tuple(new)))
+                    todo.append((child, new))
         return sorted(found, key=lambda f: (f[0], str(f[1]), f[2], f[3]))
 
 
