@@ -129,4 +129,22 @@ u as (select group_tree_id, t.field_name, tree_id, coalesce(x.trust_rank, 214748
   left join trust_ranks x on x.field_name = 'source_primary' and x.field_value = s left join trust_ranks y on y.field_name = 'species_confidence' and y.field_value = c
   where lower(trim(v, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) not in {_MISSING})
 select group_tree_id, field_name, tree_id from u qualify row_number() over (partition by group_tree_id, field_name order by rs, rc, a desc nulls last, tree_id) = 1"""
-SQL = {"p1_found": _P1, "p6_found": _P6}
+_NOTHING = "('unknown', 'unidentified', 'none', 'nil', 'null', 'na', 'tba', 'tbc', 'not', 'tree', 'other', 'various', 'mixed', 'exotic', 'native')"
+_NO_EPITHET = "('sp', 'spp', 'species', 'indet', 'unknown', 'unclear', 'hybrid', 'hort', 'cultivar')"
+_WORD = "({0}.{2} = {1}.{2} or levenshtein({0}.{2}, {1}.{2}) <= case when least(length({0}.{2}), length({1}.{2})) >= 12 then 3 + {3} when least(length({0}.{2}), length({1}.{2})) >= 6 then 2 + {3} else 1 end)"
+_GENUS = "case when length(a.g) = 1 or length(b.g) = 1 then substr(a.g, 1, 1) = substr(b.g, 1, 1) else {} end"
+_P5 = f"""
+with n as (select point_id id, source_slug s, lon x0, lat y0, trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(scientific_name)), '''[^'']*''|"[^"]*"|\\([^)]*\\)|×', ' ', 'g'),
+  '^\\s*([a-z]{{4,}})\\s*,\\s*([a-z]+)\\b', '\\2 \\1'), '[^a-z]+', ' ', 'g')) t from nz_tree_points where point_id is not null and source_slug is not null),
+m as (select *, replace(regexp_replace(t, '^((prob|poss|cf|aff|nr|probably|possibly|maybe) )+', ''), ' x ', ' ') u from n),
+w as (select *, split_part(u, ' ', 1) a, split_part(u, ' ', 2) b, coalesce(u not in ('n a', 'not recorded') and split_part(u, ' ', 1) not in {_NOTHING} and u <> '', false) k from m),
+p as (select id, s, case when k then a end g, case when k and length(b) >= 3 and b not in {_NO_EPITHET} then b end e,
+  case when x0 between 160 and 180 and y0 between -55 and -25 then x0 when y0 between 160 and 180 and x0 between -55 and -25 then y0 when x0 between 160 and 180 and y0 between 25 and 55 then x0 end x,
+  case when x0 between 160 and 180 and y0 between -55 and -25 then y0 when y0 between 160 and 180 and x0 between -55 and -25 then x0 when x0 between 160 and 180 and y0 between 25 and 55 then -y0 end y from w),
+c as (select distinct * from p where x is not null),
+j as (select a.id point_id_a, b.id point_id_b, a.g ga, a.e ea, b.g gb, b.e eb,
+  a.e is null or b.e is null or ({_WORD.format('a', 'b', 'e', 0)} and {_GENUS.format(_WORD.format('a', 'b', 'g', 0))}) or (a.e = b.e and {_GENUS.format(_WORD.format('a', 'b', 'g', 2))})
+    or (a.g = b.g and length(a.g) > 1 and {_WORD.format('a', 'b', 'e', 2)}) fits
+  from c a join c b on a.id < b.id and a.s <> b.s and abs(a.y - b.y) < 0.0001 and 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2)))) < 5)
+select distinct point_id_a, point_id_b from j where fits"""
+SQL = {"p1_found": _P1, "p5_found": _P5, "p6_found": _P6}
