@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from grovekit.functions.triangles import TopTree, ear_clip, hits
 
 EARTH_M = 6_371_008.8
-SAMPLE_MOST = 60_000
+SAMPLE_LEAST, SAMPLE_MOST, SAMPLE_PER_LEAF = 20_000, 1_000_000, 8
 LEAF_ROWS = 16_000
-LEAVES_MOST = 20_000
+LEAVES_MOST = 125_000
 SIDES = 6
 
 
@@ -74,9 +74,10 @@ def region_triangles(df: DataFrame, id_col: str, rings: str) -> DataFrame:
     return df.select(id_col, rings).mapInArrow(cut, f"`{id_col}` {kind}, part int, tri array<double>")
 
 
-def _sample(df: DataFrame, x: Column, y: Column, n: int) -> np.ndarray:
-    part = min(1.0, 1.2 * SAMPLE_MOST / max(n, 1))
-    got = (df if part == 1.0 else df.sample(fraction=part, seed=7)).select(x.alias("x"), y.alias("y")).limit(2 * SAMPLE_MOST).toPandas()
+def _sample(df: DataFrame, x: Column, y: Column, n: int, want: int) -> np.ndarray:
+    """About `want` positions, twice as many at most."""
+    part = min(1.0, want / max(n, 1))
+    got = (df if part == 1.0 else df.sample(fraction=part, seed=7)).select(x.alias("x"), y.alias("y")).limit(2 * want).toPandas()
     return got.to_numpy(np.float64).reshape(-1, 2)
 
 
@@ -91,11 +92,13 @@ def points_in_triangles(points: DataFrame, x: str, y: str, p_cols: list[str], tr
         kinds = {f.name: f.dataType.simpleString() for f in [*points.schema, *triangles.schema]}
         return points.sparkSession.createDataFrame([], ", ".join(f"`{x}` {kinds[x]}" for x in [*p_cols, *t_cols, "part"]))
     t0 = F.col("tri")
-    sp = _sample(points, F.col(x), F.col(y), n_p)
-    st = _sample(triangles, t0[0], t0[1], n_t)
     leaf_rows = max(leaf_rows, (n_p + n_t) // LEAVES_MOST)
+    want = min(SAMPLE_MOST, max(SAMPLE_LEAST, SAMPLE_PER_LEAF * (n_p + n_t) // leaf_rows))
+    sp = _sample(points, F.col(x), F.col(y), n_p, want)
+    st = _sample(triangles, t0[0], t0[1], n_t, want)
+    # the side that was sampled more thinly sets how many samples a leaf may hold
     both = np.concatenate([sp, st])
-    share = len(both) / (n_p + n_t)
+    share = min(max(len(sp), 1) / n_p, max(len(st), 1) / n_t)
     tree = TopTree(both, max(1, int(leaf_rows * share)))
     blocks_p = np.ones(len(tree.weight), dtype=np.int64)
     blocks_t = blocks_p.copy()
