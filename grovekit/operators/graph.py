@@ -44,11 +44,18 @@ def greedy_suppress(df: DataFrame, cols: tuple[str, str, str], priority: list[Co
     return ids if dropped is None else ids.join(dropped, "id", "left_anti")
 
 
+def _state(e: DataFrame) -> tuple:
+    """Count and two checksums of a set of edges; equal for equal sets, whatever their order."""
+    h = F.xxhash64("u", "v")
+    return tuple(e.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first())
+
+
 def components(edges: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
     """(id, component): smallest id linked directly or not, by alternating large and small stars until nothing
     changes. Loops and null ends are left out."""
     e = edges.select(c(a).alias("u"), c(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    last = _state(e)
     for _ in range(ROUNDS_MOST):
         both = e.unionByName(e.select(c("v").alias("u"), c("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), c("u")).alias("m"))
@@ -56,9 +63,10 @@ def components(edges: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
         m2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m2, "u").select(F.explode(F.array(F.struct(c("u").alias("u"), c("m").alias("v")), F.struct(c("v").alias("u"), c("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         small = cut(small)
-        if small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty():
+        now = _state(small)
+        if now == last:
             break
-        e = small
+        e, last = small, now
     else:
         raise RuntimeError("components did not settle")
     return e.select(c("u").alias("id"), c("v").alias("component")).unionByName(e.select(c("v").alias("id"), c("v").alias("component"))).distinct()
