@@ -51,7 +51,7 @@ def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     first = np.zeros(len(names), dtype=np.int64)
     first[code] = rank
     names = np.asarray(names, dtype=object)
-    order = np.lexsort((names.astype(str), first))
+    order = np.argsort(first, kind="stable")
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
     n = len(e)
