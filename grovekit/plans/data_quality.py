@@ -34,11 +34,15 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).withColumn("distance_m", F.round("distance_m", 6))
+
+
+def _near(spark: SparkSession, d: str) -> DataFrame:
     return near_points(table(spark, d, "tree_low_canopy_candidates"), F.col("candidate_id"), table(spark, d, "trees"), plain_id("tree_id"), 5.0)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_near(spark, d).select(F.col("centre_id").alias("candidate_id"), F.col("other_id").alias("tree_id"))
+    return _near(spark, d).select(F.col("centre_id").alias("candidate_id"), F.col("other_id").alias("tree_id"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found, "p7_near": p7_near}
@@ -96,4 +100,5 @@ SQL = {
     "p4_found": _P4,
     "p4_report": _P4_REPORT,
     "p7_found": _NEAR + "select distinct candidate_id, tree_id from p where dist <= 5",
+    "p7_near": _NEAR + "select candidate_id centre_id, tree_id other_id, round(min(dist), 6) distance_m from p where dist <= 5 group by 1, 2",
 }

@@ -432,4 +432,8 @@ SQL = {
     "evidence_tier": "with g as (select new_seg_key, max(new_fraction) f, max(old_fraction) o, count(*) n from tree_crown_lineage_v5 where snapshot_no = 4 group by 1) select case when f >= 0.8 and o >= 0.5 then 'A' when f >= 0.5 then 'B' when f > 0 then 'C' else 'D' end tier, concat_ws('; ', case when f < 0.5 then 'small share' end, case when o < 0.5 then 'old crown split' end, case when n > 3 then 'many parents' end) reasons, count(*) n from g group by 1, 2",
     "validated_population": "select owner_class, count(*) n from trees where source_primary = 'tree_register' and lon is not null group by 1",
     "lineage_history": "with v as (select distinct new_seg_key, snapshot_no, old_overlapping_crowns from v5_lineage_new_summary) select new_seg_key, string_agg(snapshot_no || ':' || old_overlapping_crowns, ',' order by snapshot_no) history from v group by 1",
+    "members_json": "with m as (select distinct cluster_id, created_at_utc, nullif(lower(trim(member_tree_id, ' ' || chr(9))), '') m, member_source s from tree_crown_merge_pilot where cluster_id is not null) select cluster_id, created_at_utc::varchar created_at_utc, '[' || string_agg('{\"member\":\"' || m || '\"' || coalesce(',\"member_source\":\"' || s || '\"', '') || '}', ',' order by m, s nulls first) || ']' members, count(*) n from m group by 1, 2",
+    "vector_percentiles": "with q as (select o_orderpriority, unnest(quantile_cont(o_totalprice, [i / 20.0 for i in range(21)]::double[])) q, unnest([i / 20.0 for i in range(21)]) p from orders group by 1), j as (select o_orderkey, o_totalprice v, q.q, p from orders join q using (o_orderpriority)), g as (select o_orderkey, v, min(p) filter (q = v) e0, max(p) filter (q = v) e1, max(q) filter (q < v) qa, max(p) filter (q < v) pa, min(q) filter (q > v) qb, min(p) filter (q > v) pb from j group by 1, 2) select o_orderkey, round((case when e0 is not null then (e0 + e1) * 50 when qa is null then 0 when qb is null then 100 else (pa + (pb - pa) * (v - qa) / (qb - qa)) * 100 end)::double, 6) pct from g",
+    "signature_reconcile": "with l as (select snapshot_no s, coalesce(nullif(lower(trim(old_tree_id, ' ' || chr(9))), ''), '-') || coalesce('|' || case when intersection_m2 is not null then printf('%.1f', round(intersection_m2, 1)) end, '') sig, new_seg_key k from tree_crown_lineage_v5 where snapshot_no in (1, 2) group by all), o as (select sig, count(*) n, min(k) k from l where s = 1 group by 1), n as (select sig, count(*) n, min(k) k from l where s = 2 group by 1) select case when greatest(coalesce(o.n, 0), coalesce(n.n, 0)) > 1 then 'ambiguous' when n.n is null then 'gone' when o.n is null then 'added' when o.k = n.k then 'same' else 'renumbered' end state, count(*) n from o full join n using (sig) group by 1",
+    "spaced_sample": "with r as (select o_orderpriority, o_totalprice, o_orderkey, row_number() over (partition by o_orderpriority order by o_totalprice, o_orderkey) - 1 r, count(*) over (partition by o_orderpriority) n from orders) select o_orderpriority, o_totalprice, o_orderkey from r where n <= 11 or exists (select 1 from (select unnest(range(11)) i) where floor(i * (n - 1) / 10 + 0.5) = r)",
 }

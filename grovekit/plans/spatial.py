@@ -284,4 +284,6 @@ select p.tree_id id, round(nearest, 6) nearest, coalesce(n_near, 0) n_near, coal
     "identity_map": f"with l as ({_L4}), b as (select * from l qualify row_number() over (partition by old_seg_key order by intersection_m2 desc, new_seg_key desc) = 1) select old_seg_key, new_seg_key, case when count(*) over (partition by new_seg_key) = 1 then 'matched' else 'merged' end state, row_number() over (partition by new_seg_key order by intersection_m2 desc, old_seg_key desc) = 1 is_primary from b",
     "link_roles": f"with l as (select new_seg_key, {ID.replace('tree_id', 'old_tree_id')} t, max(intersection_m2) a from tree_crown_lineage_v5 where snapshot_no = 4 and old_tree_id is not null and intersection_m2 is not null group by 1, 2), m as (select *, row_number() over (partition by new_seg_key order by a desc, t desc) i, max(a) over (partition by new_seg_key) top from l) select case when i = 1 then 'primary' when a >= top * 0.8 then 'possible_duplicate' else 'shares_crown' end role, count(*) n from m group by 1",
     "continuity_repair": "with l as (select old_seg_key, new_seg_key, max(old_fraction) f, max(new_fraction) g from tree_crown_lineage_v5 where snapshot_no = 4 group by 1, 2), r as (select *, row_number() over w i, lead(f) over w f2 from l where f is not null and g is not null window w as (partition by old_seg_key order by f desc, new_seg_key desc)) select old_seg_key, new_seg_key, case when f < 0.5 then 'too_small' when f2 is not null and f - f2 < 0.2 then 'competitor' when g < 0.1 then 'tiny_share' else 'accept' end verdict from r where i = 1",
+    "contained_else_nearest": f"with {PIP}, a as (select p_id, min(region_id) region_id from hit group by 1), n as (select k p_id, rid region_id, sqrt(pow(x - x0 - 500 / 3, 2) + pow(y - y0 - 500 / 3, 2)) d from cust, reg where k not in (select p_id from a)) select p_id, region_id, 0.0::double d from a union all select p_id, region_id, round(d, 4) d from (select * from n where d <= 700 qualify row_number() over (partition by p_id order by d, region_id) = 1)",
+    "duplicate_inflation": f"with recursive {XY_SQL}, e as (select a.tree_id u, b.tree_id v from xy a join xy b on a.tree_id <> b.tree_id and {_XD} <= 1.5), r(u, v) as (select u, u from e union select r.u, e.v from r join e on r.v = e.u), c as (select u, min(v) c from r group by 1), g as (select c, count(*) n from c group by 1) select count(*) clusters, sum(n)::bigint members, max(n) largest, round((sum(n) - count(*)) / (select count(*) from xy), 9)::double inflation from g",
 }

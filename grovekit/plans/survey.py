@@ -246,4 +246,6 @@ select k, n, nv n_veg, nb n_building, round(nm / n, 6) multi_share, round(nfv /
     "removal_confidence": f"with {_EP}, f as (select (h13 is not null)::int + (h16 is not null)::int + case when h16 >= 12 then 2 when h16 >= 8 then 1 else 0 end + case when coalesce(h16 - h13 > 4, false) then 0 else 1 end s from ep) select case when s >= 4 then 'high' when s >= 2 then 'medium' else 'low' end confidence, count(*) n from f group by 1",
     "height_forecast": f"with {_EP}, e as (select *, (h24 - h16) / 8 own, floor(h24 / 5) band from ep where h24 is not null), q as (select band, quantile_cont(own, 0.5) k from e where own is not null group by 1), j as (select *, case when own is null then k else k * 0.5 + own * 0.5 end r from e join q using (band)) select l_orderkey, round(greatest(h24 + r * 6, 0), 6) h2030, round(greatest(h24 + r * 16, 0), 6) h2040 from j",
     "crown_radius_check": f"select distinct {ID} tree_id, round(greatest(least(-pow((crown_radius_m - 4.0) / 1.5, 2) / 2 - ln(1.5 * sqrt(2 * pi())) - ln(0.05), 3.0), -6.0), 6) llr from tree_root_zone_pilot where crown_radius_m is not null and dbh_cm is not null",
+    "promoted_candidates": f"with t as (select candidate_id, min(x_2193) x, min(y_2193) y, max({_SC}) s from tree_low_canopy_candidates where lon is not null and height_m is not null and gli is not null group by 1), k as (select * from t where s >= 0.4) select candidate_id from k where not exists (select 1 from k o where o.candidate_id < k.candidate_id and sqrt((o.x - k.x) * (o.x - k.x) + (o.y - k.y) * (o.y - k.y)) <= 3)",
+    "row_runs": f"with t as (select {ID} id, min(approx_x_m) x, min(approx_y_m) y, min(source_primary) src, min(source_object_id) q from trees where approx_x_m is not null and source_object_id is not null group by 1), b as (select *, case when q - lag(q) over w <= 400 and sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) <= 200 then 0 else 1 end b from t window w as (partition by src order by q, id)), k as (select *, sum(b) over (partition by src order by q, id rows unbounded preceding)::bigint chain from b), p as (select *, row_number() over (partition by src, chain order by q, id) - 1 pos, count(*) over (partition by src, chain) n from k) select id, src || '_' || chain || '_' || floor(pos / ceil(n / ceil(n / 12)))::bigint run from p where n >= 3",
 }
