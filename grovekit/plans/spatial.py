@@ -256,6 +256,14 @@ QUERIES = {f.__name__: f for f in (
 _D = "sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2))"
 _NEAR = lambda r: f"nn as (select c.k a_id, s.k b_id, {_D} d from cust c, supp s where {_D} <= {r} qualify row_number() over (partition by c.k order by {_D}, s.k) = 1)"
 _XD = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+def _sequential(test: str) -> str:
+    """Greedy suppression as a loop over the items in priority order that carries the kept ones."""
+    return f"""with recursive {CUST}, o as (select k, x, y, least(greatest((k * 31 % 97) / 4.0 + 10, 12), 40)::double r, row_number() over (order by (k * 31 % 97) desc, k) n from cust),
+s(n, kept) as (select 0::bigint, []::struct(k bigint, x double, y double, r double)[] union all select o.n, case when len(list_filter(s.kept, lambda q: {test})) > 0 then s.kept else list_append(s.kept, struct_pack(k := o.k, x := o.x::double, y := o.y::double, r := o.r)) end from s join o on o.n = s.n + 1)
+select unnest(kept).k id from (select kept from s order by n desc limit 1)"""
+
+
+_QD = "sqrt((q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y))"
 _L4 = "select distinct old_seg_key, new_seg_key, intersection_m2 from tree_crown_lineage_v5 where snapshot_no = 4 and intersection_m2 is not null"
 SQL = {
     "nearest_within_radius": f"with {CUST}, {SUPP}, {_NEAR(60)} select * from nn",
@@ -286,4 +294,7 @@ select p.tree_id id, round(nearest, 6) nearest, coalesce(n_near, 0) n_near, coal
     "continuity_repair": "with l as (select old_seg_key, new_seg_key, max(old_fraction) f, max(new_fraction) g from tree_crown_lineage_v5 where snapshot_no = 4 group by 1, 2), r as (select *, row_number() over w i, lead(f) over w f2 from l where f is not null and g is not null window w as (partition by old_seg_key order by f desc, new_seg_key desc)) select old_seg_key, new_seg_key, case when f < 0.5 then 'too_small' when f2 is not null and f - f2 < 0.2 then 'competitor' when g < 0.1 then 'tiny_share' else 'accept' end verdict from r where i = 1",
     "contained_else_nearest": f"with {PIP}, a as (select p_id, min(region_id) region_id from hit group by 1), n as (select k p_id, rid region_id, sqrt(pow(x - x0 - 500 / 3, 2) + pow(y - y0 - 500 / 3, 2)) d from cust, reg where k not in (select p_id from a)) select p_id, region_id, 0.0::double d from a union all select p_id, region_id, round(d, 4) d from (select * from n where d <= 700 qualify row_number() over (partition by p_id order by d, region_id) = 1)",
     "duplicate_inflation": f"with recursive {XY_SQL}, e as (select a.tree_id u, b.tree_id v from xy a join xy b on a.tree_id <> b.tree_id and {_XD} <= 1.5), r(u, v) as (select u, u from e union select r.u, e.v from r join e on r.v = e.u), c as (select u, min(v) c from r group by 1), g as (select c, count(*) n from c group by 1) select count(*) clusters, sum(n)::bigint members, max(n) largest, round((sum(n) - count(*)) / (select count(*) from xy), 9)::double inflation from g",
+    "greedy_suppress_a": _sequential(f"{_QD} <= q.r"),
+    "greedy_suppress_b": _sequential(f"{_QD} <= o.r"),
+    "greedy_suppress_d": _sequential(f"{_QD} < o.r"),
 }

@@ -248,4 +248,10 @@ select k, n, nv n_veg, nb n_building, round(nm / n, 6) multi_share, round(nfv /
     "crown_radius_check": f"select distinct {ID} tree_id, round(greatest(least(-pow((crown_radius_m - 4.0) / 1.5, 2) / 2 - ln(1.5 * sqrt(2 * pi())) - ln(0.05), 3.0), -6.0), 6) llr from tree_root_zone_pilot where crown_radius_m is not null and dbh_cm is not null",
     "promoted_candidates": f"with t as (select candidate_id, min(x_2193) x, min(y_2193) y, max({_SC}) s from tree_low_canopy_candidates where lon is not null and height_m is not null and gli is not null group by 1), k as (select * from t where s >= 0.4) select candidate_id from k where not exists (select 1 from k o where o.candidate_id < k.candidate_id and sqrt((o.x - k.x) * (o.x - k.x) + (o.y - k.y) * (o.y - k.y)) <= 3)",
     "row_runs": f"with t as (select {ID} id, min(approx_x_m) x, min(approx_y_m) y, min(source_primary) src, min(source_object_id) q from trees where approx_x_m is not null and source_object_id is not null group by 1), b as (select *, case when q - lag(q) over w <= 400 and sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) <= 200 then 0 else 1 end b from t window w as (partition by src order by q, id)), k as (select *, sum(b) over (partition by src order by q, id rows unbounded preceding)::bigint chain from b), p as (select *, row_number() over (partition by src, chain order by q, id) - 1 pos, count(*) over (partition by src, chain) n from k) select id, src || '_' || chain || '_' || floor(pos / ceil(n / ceil(n / 12)))::bigint run from p where n >= 3",
+    "foliage_histogram": """with n as (select l_suppkey k, floor(l_quantity)::int bin, count(*) c from lineitem where l_quantity >= 0 group by 1, 2), g as (select k, sum(c)::bigint n, max(bin) top, max(c) peak from n group by 1),
+b as (select k, n, top, peak, unnest(range(0, top + 1))::int bin from g), p as (select b.*, coalesce(c, 0) c from b left join n using (k, bin)),
+q as (select *, coalesce(lead(c) over w, 0) nx, (c + coalesce(lead(c) over w, 0) + coalesce(lag(c) over w, 0)) / 3.0 sm from p window w as (partition by k order by bin)),
+t as (select *, case when sm >= 0.25 * max(sm) over (partition by k) then 1 when sm < 0.1 * max(sm) over (partition by k) then 0 end st from q),
+u as (select *, last_value(st ignore nulls) over (partition by k order by bin rows between unbounded preceding and 1 preceding) pr from t)
+select k, n, case when n >= 8 then list(c order by bin) end profile, case when n >= 8 then (min(bin) filter (bin >= 2 and bin < top and c >= 0.25 * peak and nx >= 0.25 * peak))::double end crown_base, case when n >= 8 then greatest(count(*) filter (st = 1 and coalesce(pr, 0) <> 1), 1)::int end layers from u group by k, n""",
 }
