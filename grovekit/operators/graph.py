@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -134,32 +136,142 @@ def optimal_pairs(edges: DataFrame, left: str, right: str, cost: str) -> DataFra
     return e.groupBy("component").applyInPandas(lambda pdf: _assign(pdf), "l string, r string, cost double, exact boolean")
 
 
+class Sparse:
+    """Rows to columns at least cost over edges only: a column takes up to `slots` rows, the k-th at k * penalty more,
+    and a row without a column costs `out`. Rows enter one by one along shortest augmenting paths, so the result is
+    optimal at every size; u and v are its prices, by which each row has its cheapest choice."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, slots: int, penalty: float, out: float):
+        n, m = int(rows.max()) + 1, int(cols.max()) + 1
+        self.adj: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        for i, j, x in zip(rows.tolist(), cols.tolist(), cost.tolist()):
+            self.adj[i].append((j, x))
+        self.slots, self.penalty, self.out = slots, float(penalty), float(out)
+        self.v, self.u, self.at, self.paid = [0.0] * m, [self.out] * n, [-1] * n, [self.out] * n
+        self.held: list[set[int]] = [set() for _ in range(m)]
+        for i in range(n):
+            self._enter(i)
+
+    def _room(self, j: int) -> float:
+        """What a further row adds to column j over its price."""
+        return self.penalty * len(self.held[j]) - self.v[j] if len(self.held[j]) < self.slots else np.inf
+
+    def _relax(self, i: int, d: float, most: float, dist: dict, way: dict, heap: list) -> None:
+        u, v = self.u[i], self.v
+        for j, x in self.adj[i]:
+            if (e := d + max(x + v[j] - u, 0.0)) < most and e < dist.get(j, np.inf) and j != self.at[i]:
+                dist[j], way[j] = e, (i, x)
+                heapq.heappush(heap, (e, j))
+
+    def _enter(self, i: int) -> None:
+        v, u = self.v, self.u
+        u[i] = min(self.out, min((x + v[j] for j, x in self.adj[i]), default=self.out))
+        dist, way, heap, seen = {}, {}, [], []
+        best, end, last = self.out - u[i], i, -1  # the row that goes out, or the column that takes one more
+        self._relax(i, 0.0, best, dist, way, heap)
+        while heap:
+            d, j = heapq.heappop(heap)
+            if d > dist[j]:
+                continue
+            if d >= best:
+                break
+            seen.append((d, j))
+            if (e := d + max(self._room(j), 0.0)) < best:
+                best, end, last = e, -1, j
+            for k in sorted(self.held[j]):
+                if (e := d + max(self.out - u[k], 0.0)) < best:
+                    best, end, last = e, k, j
+            for k in self.held[j]:
+                self._relax(k, d, best, dist, way, heap)
+        u[i] += best
+        for d, j in seen:
+            if d < best:
+                v[j] += best - d
+                for k in self.held[j]:
+                    u[k] += best - d
+        if end == i:
+            return
+        if end >= 0:
+            self.held[last].discard(end)
+            self.at[end], self.paid[end] = -1, self.out
+        while True:
+            k, x = way[last]
+            before = self.at[k]
+            if before >= 0:
+                self.held[before].discard(k)
+            self.held[last].add(k)
+            self.at[k], self.paid[k] = last, x
+            if k == i:
+                return
+            last = before
+
+    def margins(self) -> list[float]:
+        """What the best solution without its choice costs more, of each row: the shortest way in the residual graph
+        from the row back to its column, either over a place that becomes free elsewhere or by an exchange."""
+        n, m, inf = len(self.adj), len(self.v), np.inf
+        out, free, back = [inf] * n, [inf] * m, [[] for _ in range(m)]
+        for i, edges in enumerate(self.adj):
+            for j, x in edges:
+                if j != self.at[i]:
+                    back[j].append((i, max(x + self.v[j] - self.u[i], 0.0)))
+        # out: from a row to any end; the rows of a column share its value from there on
+        full = [inf] * m
+        heap = [(max(self._room(j), 0.0), j) for j in range(m) if len(self.held[j]) < self.slots]
+        heap += [(max(self.out - self.u[i], 0.0), self.at[i]) for i in range(n) if self.at[i] >= 0]
+        for i in range(n):
+            if self.at[i] >= 0:
+                out[i] = max(self.out - self.u[i], 0.0)
+        heapq.heapify(heap)
+        while heap:
+            d, j = heapq.heappop(heap)
+            if d >= full[j]:
+                continue
+            full[j] = d
+            for i, r in back[j]:
+                if d + r < out[i]:
+                    out[i] = d + r
+                    if self.at[i] >= 0:
+                        heapq.heappush(heap, (d + r, self.at[i]))
+        # free: from any end to a column, by a place given up there or by rows that move
+        heap = [(max(self.v[j] - self.penalty * (len(h) - 1), 0.0), j) for j, h in enumerate(self.held) if h]
+        heap += [(max(x + self.v[j] - self.u[i], 0.0), j) for i in range(n) if self.at[i] < 0 for j, x in self.adj[i]]
+        heapq.heapify(heap)
+        while heap:
+            d, j = heapq.heappop(heap)
+            if d >= free[j]:
+                continue
+            free[j] = d
+            for i in self.held[j]:
+                for k, x in self.adj[i]:
+                    if k != j and (e := d + max(x + self.v[k] - self.u[i], 0.0)) < free[k]:
+                        heapq.heappush(heap, (e, k))
+        return [out[i] if self.at[i] < 0 else self._exchange(i, out[i] + free[self.at[i]]) for i in range(n)]
+
+    def _exchange(self, i: int, most: float) -> float:
+        goal, dist, heap = self.at[i], {}, []
+        self._relax(i, 0.0, most, dist, {}, heap)
+        while heap:
+            d, j = heapq.heappop(heap)
+            if j == goal:
+                return d
+            if d > dist[j]:
+                continue
+            for k in self.held[j]:
+                self._relax(k, d, most, dist, {}, heap)
+        return most
+
+
+def _sparse(pdf: pd.DataFrame, rows: str, cols: str, slots: int, penalty: float, out: float) -> tuple[list, list, Sparse]:
+    e = pdf.groupby([rows, cols], as_index=False)["cost"].min()
+    i, row = pd.factorize(e[rows], sort=True)
+    j, col = pd.factorize(e[cols], sort=True)
+    return list(row), list(col), Sparse(i, j, e["cost"].to_numpy(), slots, penalty, out)
+
+
 def _capacity(slots: int, penalty: float, null: float):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rec, crown = sorted(pdf["l"].unique()), sorted(pdf["r"].unique())
-        li, ri = {x: k for k, x in enumerate(rec)}, {x: k for k, x in enumerate(crown)}
-        n, k = len(rec), min(slots, len(rec))
-        big = 1e9
-        m = np.full((n, len(crown) * k + n), big)
-        for cost, l, r in zip(pdf["cost"], pdf["l"], pdf["r"]):
-            for s in range(k):
-                m[li[l], ri[r] * k + s] = min(m[li[l], ri[r] * k + s], cost + penalty * s)
-        m[np.arange(n), len(crown) * k + np.arange(n)] = null  # a private way out for each record
-        if n > COMPONENT_MOST:
-            got = m.argmin(axis=1)
-            rows = [(rec[i], crown[j // k] if j < len(crown) * k else None, float("nan")) for i, j in enumerate(got)]
-            return pd.DataFrame(rows, columns=["l", "r", "margin"])
-        got = hungarian(m)
-        total = m[np.arange(n), got].sum()
-        rows = []
-        for i, j in enumerate(got):
-            margin = float("nan")
-            if n <= 150:  # what it costs to forbid the choice
-                other = m.copy()
-                cols = slice(j // k * k, j // k * k + k) if j < len(crown) * k else slice(j, j + 1)
-                other[i, cols] = big
-                margin = float(other[np.arange(n), hungarian(other)].sum() - total)
-            rows.append((rec[i], crown[j // k] if j < len(crown) * k else None, margin))
+        rec, crown, s = _sparse(pdf, "l", "r", slots, penalty, null)
+        rows = [(rec[i], crown[j] if j >= 0 else None, margin) for i, (j, margin) in enumerate(zip(s.at, s.margins()))]
         return pd.DataFrame(rows, columns=["l", "r", "margin"])
 
     return solve
@@ -167,7 +279,8 @@ def _capacity(slots: int, penalty: float, null: float):
 
 def capacity_pairs(edges: DataFrame, left: str, right: str, cost: str, slots: int = 8, penalty: float = 1.0, null: float = 10.0) -> DataFrame:
     """(l, r, margin): each left item to one right item or none (r null); a right item takes up to `slots`, each
-    further one at a higher penalty. margin is what the next best solution without the choice costs more."""
+    further one at a higher penalty. margin is what the next best solution without the choice costs more. Both are
+    exact at every size; a component is solved in one task, over its edges only."""
     e = cut(edges.select(c(left).cast("string").alias("l"), c(right).cast("string").alias("r"), c(cost).cast("double").alias("cost")).where(c("cost") < null))
     comp = components(e.select(F.concat(F.lit("L"), "l").alias("a_id"), F.concat(F.lit("R"), "r").alias("b_id")))
     e = e.join(comp.where(c("id").startswith("L")).select(F.substring("id", 2, 1000).alias("l"), "component"), "l")

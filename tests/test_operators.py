@@ -126,6 +126,26 @@ def test_capacity(spark):
     assert {k: v[0] for k, v in got.items()} == {"a": "X", "b": "X", "c": "Y"} and all(v[1] > 0 for v in got.values())
 
 
+def test_capacity_of_a_large_component(spark):
+    rnd = np.random.default_rng(4)
+    n, crowns, slots, penalty, null = 430, 70, 3, 1.0, 9.0  # more records than places, all linked along a line
+    rows = [(float(rnd.uniform(0, 8)), i, j) for i in range(n) for j in sorted({i % crowns, (i + 1) % crowns, int(rnd.integers(crowns))})]
+    got = graph.capacity_pairs(spark.createDataFrame(rows, "cost double, l int, r int"), "l", "r", "cost", slots=slots, penalty=penalty, null=null).collect()
+    m = np.full((n, crowns * slots + n), 1e6)
+    for x, i, j in rows:
+        m[i, j * slots : j * slots + slots] = x + penalty * np.arange(slots)
+    m[np.arange(n), crowns * slots + np.arange(n)] = null
+    least = lambda k: k[np.arange(n), graph.hungarian(k)].sum()
+    cost, taken = {(i, j): x for x, i, j in rows}, [r["r"] for r in got if r["r"] is not None]
+    held = [taken.count(str(j)) for j in range(crowns)]
+    total = sum(null if r["r"] is None else cost[int(r["l"]), int(r["r"])] for r in got) + sum(penalty * k * (k - 1) / 2 for k in held)
+    assert len(got) == n and max(held) <= slots and math.isclose(total, least(m)) and all(r["margin"] >= 0 for r in got)
+    for r in [next(r for r in got if r["r"] is None), *[r for r in got if r["r"] is not None][:3]]:
+        other, i = m.copy(), int(r["l"])
+        other[i, slice(crowns * slots + i, crowns * slots + i + 1) if r["r"] is None else slice(int(r["r"]) * slots, int(r["r"]) * slots + slots)] = 1e6
+        assert math.isclose(r["margin"], least(other) - total, abs_tol=1e-6)
+
+
 def test_nearest_and_k_nearest(spark):
     rnd = random.Random(2)
     a = [(f"a{i}", rnd.uniform(0, 100), rnd.uniform(0, 100)) for i in range(60)] + [("n", None, 1.0)]
