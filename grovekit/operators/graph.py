@@ -14,7 +14,6 @@ from grovekit.session import cut
 
 c = F.col
 ROUNDS_MOST = 200
-COMPONENT_MOST = 400
 
 
 def greedy_suppress(df: DataFrame, cols: tuple[str, str, str], priority: list[Column], radius: Column, most: float, by: str = "self", strict: bool = False, always: Column | None = None) -> DataFrame:
@@ -107,35 +106,6 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
-    left, right = sorted(pdf["l"].unique()), sorted(pdf["r"].unique())
-    if max(len(left), len(right)) > COMPONENT_MOST:  # too large for a dense matrix: greedy, and flagged
-        rows, a, b = [], set(), set()
-        for cost, l, r in sorted(zip(pdf["cost"], pdf["l"], pdf["r"])):
-            if l not in a and r not in b:
-                a.add(l), b.add(r), rows.append((l, r, cost, False))
-        return pd.DataFrame(rows, columns=["l", "r", "cost", "exact"])
-    big = float(pdf["cost"].abs().sum()) * 2 + 1
-    li, ri = {x: k for k, x in enumerate(left)}, {x: k for k, x in enumerate(right)}
-    m = np.full((len(left), len(right) + len(left)), big)
-    for cost, l, r in zip(pdf["cost"], pdf["l"], pdf["r"]):
-        m[li[l], ri[r]] = min(m[li[l], ri[r]], cost)
-    got = hungarian(m)
-    rows = [(left[i], right[j], float(m[i, j]), True) for i, j in enumerate(got) if j < len(right) and m[i, j] < big]
-    return pd.DataFrame(rows, columns=["l", "r", "cost", "exact"])
-
-
-def optimal_pairs(edges: DataFrame, left: str, right: str, cost: str) -> DataFrame:
-    """(l, r, cost, exact): one-to-one pairs, as many as possible, then of least total cost.
-
-    Solved per component of the bipartite graph; components above COMPONENT_MOST are paired greedily and flagged.
-    """
-    e = cut(edges.select(c(left).cast("string").alias("l"), c(right).cast("string").alias("r"), c(cost).cast("double").alias("cost")).where("l is not null and r is not null and cost is not null"))
-    comp = components(e.select(F.concat(F.lit("L"), "l").alias("a_id"), F.concat(F.lit("R"), "r").alias("b_id")))
-    e = e.join(comp.select(F.substring("id", 2, 1000).alias("l"), "component", F.substring("id", 1, 1).alias("side")).where("side = 'L'").drop("side"), "l")
-    return e.groupBy("component").applyInPandas(lambda pdf: _assign(pdf), "l string, r string, cost double, exact boolean")
-
-
 class Sparse:
     """Rows to columns at least cost over edges only: a column takes up to `slots` rows, the k-th at k * penalty more,
     and a row without a column costs `out`. Rows enter one by one along shortest augmenting paths, so the result is
@@ -261,16 +231,39 @@ class Sparse:
         return most
 
 
-def _sparse(pdf: pd.DataFrame, rows: str, cols: str, slots: int, penalty: float, out: float) -> tuple[list, list, Sparse]:
-    e = pdf.groupby([rows, cols], as_index=False)["cost"].min()
-    i, row = pd.factorize(e[rows], sort=True)
-    j, col = pd.factorize(e[cols], sort=True)
-    return list(row), list(col), Sparse(i, j, e["cost"].to_numpy(), slots, penalty, out)
+def _sides(pdf: pd.DataFrame) -> tuple[list, np.ndarray, list, np.ndarray, np.ndarray]:
+    (left, l), (right, r) = (np.unique(pdf[k].to_numpy(), return_inverse=True) for k in ("l", "r"))
+    return left.tolist(), l, right.tolist(), r, pdf["cost"].to_numpy()
+
+
+def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
+    left, l, right, r, cost = _sides(pdf)
+    # no row stays out for the sake of cost: that is dearer than all that one more pair can change
+    out = 2 * (min(len(left), len(right)) + 1) * float(np.abs(cost).max()) + 1
+    if len(left) <= len(right):
+        s = Sparse(l, r, cost, 1, 0.0, out)
+        rows = [(left[i], right[j], s.paid[i], True) for i, j in enumerate(s.at) if j >= 0]
+    else:
+        s = Sparse(r, l, cost, 1, 0.0, out)
+        rows = [(left[j], right[i], s.paid[i], True) for i, j in enumerate(s.at) if j >= 0]
+    return pd.DataFrame(rows, columns=["l", "r", "cost", "exact"])
+
+
+def optimal_pairs(edges: DataFrame, left: str, right: str, cost: str) -> DataFrame:
+    """(l, r, cost, exact): one-to-one pairs, as many as possible, then of least total cost.
+
+    Solved per component of the bipartite graph in one task, over its edges only; exact at every size.
+    """
+    e = cut(edges.select(c(left).cast("string").alias("l"), c(right).cast("string").alias("r"), c(cost).cast("double").alias("cost")).where("l is not null and r is not null and cost is not null"))
+    comp = components(e.select(F.concat(F.lit("L"), "l").alias("a_id"), F.concat(F.lit("R"), "r").alias("b_id")))
+    e = e.join(comp.select(F.substring("id", 2, 1000).alias("l"), "component", F.substring("id", 1, 1).alias("side")).where("side = 'L'").drop("side"), "l")
+    return e.groupBy("component").applyInPandas(lambda pdf: _assign(pdf), "l string, r string, cost double, exact boolean")
 
 
 def _capacity(slots: int, penalty: float, null: float):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rec, crown, s = _sparse(pdf, "l", "r", slots, penalty, null)
+        rec, l, crown, r, cost = _sides(pdf)
+        s = Sparse(l, r, cost, slots, penalty, null)
         rows = [(rec[i], crown[j] if j >= 0 else None, margin) for i, (j, margin) in enumerate(zip(s.at, s.margins()))]
         return pd.DataFrame(rows, columns=["l", "r", "margin"])
 
@@ -281,7 +274,7 @@ def capacity_pairs(edges: DataFrame, left: str, right: str, cost: str, slots: in
     """(l, r, margin): each left item to one right item or none (r null); a right item takes up to `slots`, each
     further one at a higher penalty. margin is what the next best solution without the choice costs more. Both are
     exact at every size; a component is solved in one task, over its edges only."""
-    e = cut(edges.select(c(left).cast("string").alias("l"), c(right).cast("string").alias("r"), c(cost).cast("double").alias("cost")).where(c("cost") < null))
+    e = cut(edges.select(c(left).cast("string").alias("l"), c(right).cast("string").alias("r"), c(cost).cast("double").alias("cost")).where(c("cost") < null).where("l is not null and r is not null"))
     comp = components(e.select(F.concat(F.lit("L"), "l").alias("a_id"), F.concat(F.lit("R"), "r").alias("b_id")))
     e = e.join(comp.where(c("id").startswith("L")).select(F.substring("id", 2, 1000).alias("l"), "component"), "l")
     return e.groupBy("component").applyInPandas(_capacity(slots, penalty, null), "l string, r string, margin double")

@@ -120,6 +120,18 @@ def test_assignment_prefers_more_pairs(spark):
     assert f([(0.2, 0, 0), (0.3, 1, 0), (0.1, 2, 3)]) == [("0", "0"), ("2", "3")]
 
 
+def test_assignment_of_a_large_component(spark):
+    rnd = np.random.default_rng(5)
+    n = 420  # a chain in which the cheapest edges first leave items unpaired, and more left than right at its end
+    rows = [(float(rnd.uniform(1, 2)), i, i) for i in range(n)] + [(float(rnd.uniform(0, 1)), i, i + 1) for i in range(n - 1)] + [(0.5, n, 0), (0.25, n + 1, n - 1)]
+    got = graph.optimal_pairs(spark.createDataFrame(rows, "cost double, l int, r int"), "l", "r", "cost").collect()
+    m = np.full((n, n + 2), 1e4)
+    for x, i, j in rows:
+        m[j, i] = x
+    assert len(got) == len({r["l"] for r in got}) == len({r["r"] for r in got}) == n and all(r["exact"] for r in got)
+    assert math.isclose(sum(r["cost"] for r in got), m[np.arange(n), graph.hungarian(m)].sum())
+
+
 def test_capacity(spark):
     e = spark.createDataFrame([(1.0, "a", "X"), (2.0, "b", "X"), (3.0, "c", "X"), (2.5, "c", "Y")], "cost double, l string, r string")
     got = {r["l"]: (r["r"], round(r["margin"], 6)) for r in graph.capacity_pairs(e, "l", "r", "cost", slots=2, penalty=1.0, null=4.0).collect()}
