@@ -20,6 +20,17 @@ def test_query(spark, module, query):
     assert n >= 0
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_near_numbers_of_every_customer(spark):
+    from grovekit.functions import ids
+    from grovekit.plans import scalars
+
+    n = scalars._numbers(spark, FOLDER).selectExpr("k", "concat('T', payload, '7') n")
+    invalid = {r["k"] for r in n.where(~ids.valid_number(n["n"])).collect()}
+    assert {r["k"] for r in scalars.near_number_candidates_all(spark, FOLDER).collect()} == invalid and any(k % 10 for k in invalid)
+    assert "% 10 = 0" not in scalars.SQL["near_number_candidates_all"]
+
+
 def test_contract():
     import __spark_entry__ as e
 
