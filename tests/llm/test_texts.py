@@ -98,16 +98,17 @@ def test_mix_reaches_targets(spark):
     rows = [(i, ["big", "Mid-one", "small", None, "other"][0 if i % 3 else i % 5], text(rnd, rnd.randrange(5, 40))) for i in range(3000)] + [(9001, "big", None), (9002, "big", "")]
     d = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("n_tokens", F.lit(-5)).withColumn("copies", F.lit(0))
     t = spark.createDataFrame([("big", 0.5, 1), ("mid_one", 0.2, 3), ("small", 0.25, 4), ("absent", 0.05, 2)], "source string, target_share double, max_repeats int")
-    chosen, report = mix(d, t)
+    exact = mix(d, t)[1].first()["largest_exact_total"]
+    chosen, report = mix(d, t, total_tokens=int(exact))
     r = {x["source"]: x for x in report.collect()}
-    assert r["absent"]["tokens_used"] == 0 and r["absent"]["share_reached"] == 0
+    assert r["absent"]["tokens_used"] == 0 and r["absent"]["share_reached"] == 0 and r["absent"]["short_tokens"] == r["absent"]["tokens_aimed"]
     longest = chosen.agg(F.max("n_tokens")).first()[0]
     for s in ("big", "mid_one", "small"):
         assert abs(r[s]["tokens_used"] - r[s]["tokens_aimed"]) <= longest and r[s]["most_copies"] <= r[s]["max_repeats"]
     assert min(r[s]["max_repeats"] * r[s]["tokens_there"] - r[s]["tokens_used"] for s in ("big", "mid_one", "small")) <= longest
     got = chosen.collect()
     assert len({x["doc_id"] for x in got}) == len(got)
-    again = {(x["doc_id"], x["copies"]) for x in mix(d.repartition(5), t)[0].collect()}
+    again = {(x["doc_id"], x["copies"]) for x in mix(d.repartition(5), t, total_tokens=int(exact))[0].collect()}
     assert again == {(x["doc_id"], x["copies"]) for x in got}  # the choice does not hang on the layout
     chosen, report = mix(d.limit(0), t)
     assert chosen.count() == 0 and {x["tokens_used"] for x in report.collect()} == {0}
@@ -121,10 +122,27 @@ def test_mix_prefix_sum_is_exact(spark):
     chosen, report = mix(d, t, total_tokens=total)
     used = report.first()["tokens_used"]
     assert abs(used - total) <= 8
-    every = mix(d, t)[0].collect()
+    every = mix(d, t, fraction=5.0)[0].collect()
     assert len(every) == 500 and {x["copies"] for x in every} == {5}
 
 
+def test_scarce_source_does_not_set_the_total(spark):
+    rows = [(i, "rare" if i < 3 else "common", "word " * 10) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    t = spark.createDataFrame([("Rare", 0.5, 2), ("common", 0.5, 1), ("common", 0.5, 1), (None, 0.3, 1), ("none", None, None)], "source string, target_share double, max_repeats int")
+    r = {x["source"]: x for x in mix(d, t, fraction=0.5)[1].collect()}
+    there = r["rare"]["tokens_there"] + r["common"]["tokens_there"]
+    assert set(r) == {"rare", "common", "none"} and r["none"]["tokens_used"] == 0
+    assert r["rare"]["tokens_used"] == 2 * r["rare"]["tokens_there"] and r["rare"]["most_copies"] == 2
+    assert r["rare"]["short_tokens"] == pytest.approx(there / 4 - r["rare"]["tokens_used"])
+    assert abs(r["common"]["tokens_used"] - there / 4) <= 11 and r["common"]["short_tokens"] == 0
+    assert sum(x["share_reached"] for x in r.values()) == pytest.approx(1)
+    # the total is linear in the input, whatever the scarcest source holds
+    twice = d.unionByName(d.where("source = 'common'").withColumn("doc_id", F.col("doc_id") + 1000))
+    more = {x["source"]: x for x in mix(twice, t, fraction=0.5)[1].collect()}
+    assert more["common"]["tokens_aimed"] / r["common"]["tokens_aimed"] == pytest.approx((there + r["common"]["tokens_there"]) / there)
+
+
 def test_plain_source(spark):
     got = spark.createDataFrame([("Survey Logs",), ("survey-logs",), (" SURVEY_LOGS ",), (None,)], "s string").select(plain_source(F.col("s"))).collect()
     assert [r[0] for r in got] == ["survey_logs"] * 3 + [None]
