@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,8 @@ from grovekit.llm.tokens import FOLDER, encoder
 
 LIMIT, OVERLAP = 2048, 64
 PARAGRAPH = re.compile(rb"\r?\n[ \t]*\r?\n\s*")
-SENTENCE = re.compile(rb"[.!?\xe3\x80\x82][\"')\]]*\s+|\r?\n")
+#: the ideographic full stop is three bytes and needs no blank after it
+SENTENCE = re.compile(rb"(?:[.!?][\"')\]]*\s+|\xe3\x80\x82[\"')\]]*\s*)|\r?\n")
 SPACE = re.compile(rb"\s+")
 
 
@@ -48,18 +50,20 @@ def cut_points(strength: np.ndarray, most: int) -> list[int]:
             continue
         mid = (s + e) // 2
         at = None
-        for width in ((e - s) // 4, (e - s) // 2):
+        widths = ((e - s) // 4, (e - s) // 2 + 1)
+        for width in widths:
             lo, hi = max(s + 1, mid - width), min(e - 1, mid + width)
-            if hi <= lo:
+            if hi < lo:
                 continue
             part = strength[lo - 1 : hi]  # entry i tells the cut after token i
             best = part.max()
-            if best > 0 or (best == 0 and width == (e - s) // 2):
+            if best > 0 or (best == 0 and width == widths[-1]):
                 i = np.flatnonzero(part == best)
                 at = int(lo + i[np.argmin(np.abs(lo + i - mid))])
                 break
-        if at is None or at <= s or at >= e:
-            at = mid
+        if at is None:  # only cuts inside a character are left between s and e
+            out.append(e)
+            continue
         todo += [(at, e), (s, at)]
     return sorted(x for x in set(out) if 0 < x <= n)
 
@@ -67,9 +71,12 @@ def cut_points(strength: np.ndarray, most: int) -> list[int]:
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, folder: str = FOLDER) -> list[tuple[str, int, int, int, int]]:
     """(piece, tokens, shared tokens, first character, end character) of a text longer than limit; [] otherwise.
 
-    A piece's own tokens are counted anew; should they exceed the limit because a cut fell inside a word, the
-    text is cut finer.
+    A piece's own tokens are counted anew. A cut inside a word can add a token or two; a piece that so exceeds the
+    limit is cut once more in its middle, until every piece fits. A limit too small for a single character beside
+    its overlap raises ValueError rather than return an oversized piece.
     """
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be smaller than the limit")
     enc, size = encoder(folder)
     ids = enc.encode_ordinary(text)
     if len(ids) <= limit:
@@ -77,24 +84,27 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, folder: st
     data = text.encode("utf-8", "surrogatepass")
     ends = np.cumsum(size[np.array(ids)])
     strength = boundaries(data, ends)
-    most = limit - overlap
-    while True:
-        cuts = cut_points(strength, most)
-        out, ok, start = [], True, 0
-        for k, end in enumerate(cuts):
-            front = max(0, start - overlap) if k else 0
-            a, z = (0 if front == 0 else int(ends[front - 1])), int(ends[end - 1])
-            while a > 0 and (data[a] & 0xC0) == 0x80:  # never begin inside a character
-                a, front = int(ends[front - 2]) if front > 1 else 0, front - 1
-            piece = data[a:z].decode("utf-8", "surrogatepass")
-            n = len(enc.encode_ordinary(piece))
-            ok &= n <= limit
-            first = len(data[:a].decode("utf-8", "surrogatepass")) if k == 0 or not out else out[-1][4] - len(data[a : int(ends[start - 1])].decode("utf-8", "surrogatepass"))
-            out.append((piece, n, start - front, first, first + len(piece)))
-            start = end
-        if ok or most <= max(1, limit // 4):
-            return out
-        most = int(most * 0.9)
+    todo = [*reversed(list(pairwise([0, *cut_points(strength, limit - overlap)])))]
+    out: list[tuple[str, int, int, int, int]] = []
+    while todo:
+        start, end = todo.pop()
+        front = max(0, start - overlap)
+        a, z = (int(ends[i - 1]) if i else 0 for i in (front, end))
+        while a > 0 and (data[a] & 0xC0) == 0x80:  # never begin inside a character
+            front -= 1
+            a = int(ends[front - 1]) if front else 0
+        piece = data[a:z].decode("utf-8", "surrogatepass")
+        n = len(enc.encode_ordinary(piece))
+        if n > limit:
+            inner = [i for i in range(start + 1, end) if strength[i - 1] >= 0]
+            if not inner:
+                raise ValueError("no cut between characters fits the limit")
+            best = max(inner, key=lambda i: (strength[i - 1] if abs(2 * i - start - end) <= (end - start) // 2 else -1, -abs(2 * i - start - end)))
+            todo += [(best, end), (start, best)]
+            continue
+        first = out[-1][4] - len(data[a : int(ends[start - 1])].decode("utf-8", "surrogatepass")) if out else 0
+        out.append((piece, n, start - front, first, first + len(piece)))
+    return out
 
 
 def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, folder: str = FOLDER, id_col: str = "doc_id") -> DataFrame:

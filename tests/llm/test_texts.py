@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from grovekit.llm.leakage import Item, ItemIndex, find_leaks, leaked_items, normal_words
 from grovekit.llm.mixing import mix, plain_source
-from grovekit.llm.splitting import split_documents, split_text
+from grovekit.llm.splitting import boundaries, split_documents, split_text
 from grovekit.llm.tokens import encoder
 
 WORDS = [f"{a}{b}" for a in ("bar", "lon", "mist", "ker", "vond", "sal", "trim", "gol", "pef", "hun") for b in ("ding", "ora", "ette", "ium", "ash", "elow", "ith", "um", "arc", "ean")]
@@ -86,6 +87,38 @@ def test_split_round_trip():
     assert all(prose[x[4] - 2 : x[4]] == "\n\n" for x in got[:-1])
 
 
+def test_sentence_ends_are_characters_not_bytes():
+    enc, size = encoder()
+
+    def cuts(t):
+        ids = enc.encode_ordinary(t)
+        at = np.cumsum(size[np.array(ids)])
+        return {len(t.encode()[: int(e)].decode(errors="ignore")) for e, s in zip(at, boundaries(t.encode(), at)) if s == 2}
+
+    # the last bytes of these words are those of the ideographic full stop
+    assert cuts("тр тт ти яр пт") == set() and cuts("слово р. ещё") != set()
+    assert cuts("森林。木") == {3}
+
+
+def test_pieces_never_exceed_the_limit():
+    rnd = random.Random(12)
+    enc, _ = encoder()
+    for limit, overlap in ((8, 3), (16, 8), (64, 60), (5, 0)):
+        for t in ("".join(rnd.choice("aж漢😀é ") for _ in range(400)), "x" * 500, "слово " * 90, "." * 300, "😀" * 60):
+            try:
+                got = split_text(t, limit, overlap)
+            except ValueError:
+                assert limit - overlap <= 5  # a character of several tokens beside its overlap
+                continue
+            if not got:
+                assert len(enc.encode_ordinary(t)) <= limit
+                continue
+            assert got[0][3] == 0 and got[-1][4] == len(t) and all(b[3] <= a[4] < b[4] for a, b in zip(got, got[1:]))
+            assert all(len(enc.encode_ordinary(p)) == n <= limit and t[a:z] == p for p, n, _, a, z in got)
+    with pytest.raises(ValueError):
+        split_text("word " * 50, 8, 8)
+
+
 def test_split_table_edges(spark):
     d = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, "word " * 3000), (None, "word " * 3000)], "doc_id long, text string").withColumn("id", F.lit("clash"))
     got = split_documents(d).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_pieces").alias("m")).collect()
