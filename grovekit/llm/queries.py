@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.canon import canonical_entries, unmatched_texts
+from grovekit.llm.canon import canonical_entries, entries_within, unmatched_texts
 from grovekit.llm.leakage import leaked_items
 from grovekit.llm.linkage import link_points
 from grovekit.llm.linkrows import merge_groups
@@ -60,6 +60,11 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return unmatched_texts(table(spark, d, "trees"), cut(_taxa(spark, d)), ["species_latin_raw", "species_common_raw"])
 
 
+def p3_candidates(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "trees").select(F.explode(F.array("species_latin_raw", "species_common_raw")).alias("t"))
+    return entries_within(t, F.col("t"), table(spark, d, "itree_species_ref")).withColumnRenamed("entry", "taxon_id")
+
+
 def p5_links(spark: SparkSession, d: str) -> DataFrame:
     return link_points(table(spark, d, "nz_tree_points"))
 
@@ -101,6 +106,7 @@ QUERIES = {
     "p1_fused": p1_fused,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
+    "p3_candidates": p3_candidates,
     "p5_found": p5_found,
     "p5_links": p5_links,
     "p6_found": p6_found,
@@ -129,6 +135,17 @@ u as (select group_tree_id, t.field_name, tree_id, coalesce(x.trust_rank, 214748
   left join trust_ranks x on x.field_name = 'source_primary' and x.field_value = s left join trust_ranks y on y.field_name = 'species_confidence' and y.field_value = c
   where lower(trim(v, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) not in {_MISSING})
 select group_tree_id, field_name, tree_id from u qualify row_number() over (partition by group_tree_id, field_name order by rs, rc, a desc nulls last, tree_id) = 1"""
+_FOLD = "array_to_string(regexp_extract_all(lower(strip_accents(replace({}, '×', ' x '))), '[a-z0-9]+'), ' ')"
+_DOUBLE = "replace(replace(replace(replace(replace(lower(n), 'ā', 'aa'), 'ē', 'ee'), 'ī', 'ii'), 'ō', 'oo'), 'ū', 'uu')"
+_P3_CANDIDATES = f"""
+with t as (select distinct unnest([species_latin_raw, species_common_raw]) t from trees), q as (select t, {_FOLD.format('t')} k from t where trim(t, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) <> ''),
+r as (select taxon_id, scientific_name n, true latin, true short from itree_species_ref where taxon_rank is distinct from 'genus' union all select taxon_id, common_name, false, false from itree_species_ref where taxon_rank is distinct from 'genus'
+  union all select taxon_id, unnest(string_split(other_names, ';')), true, false from itree_species_ref where taxon_rank is distinct from 'genus'),
+s as (select taxon_id, {_FOLD.format('n')} w, latin, short from r where n is not null union select taxon_id, {_FOLD.format(_DOUBLE)}, latin, short from r where n is not null),
+a as (select taxon_id, w from s where w <> '' union select taxon_id, regexp_replace(w, '^(.*) ([^ ]+)$', '\\2 \\1') from s where w like '% %'
+  union select taxon_id, substr(w, 1, 1) || substr(w, strpos(w, ' ')) from s where w like '% %' and (short or (latin and w not like '% % %'))),
+j as (select t, taxon_id, levenshtein(k, w) d from q join a on abs(length(k) - length(w)) <= 3 and levenshtein(k, w) <= case when length(k) < 5 then 0 when length(k) < 8 then 1 when length(k) < 16 then 2 else 3 end)
+select t as text, taxon_id, min(d)::int distance from j group by 1, 2"""
 _NOTHING = "('unknown', 'unidentified', 'none', 'nil', 'null', 'na', 'tba', 'tbc', 'not', 'tree', 'other', 'various', 'mixed', 'exotic', 'native')"
 _NO_EPITHET = "('sp', 'spp', 'species', 'indet', 'unknown', 'unclear', 'hybrid', 'hort', 'cultivar')"
 _WORD = "({0}.{2} = {1}.{2} or levenshtein({0}.{2}, {1}.{2}) <= case when least(length({0}.{2}), length({1}.{2})) >= 12 then 3 + {3} when least(length({0}.{2}), length({1}.{2})) >= 6 then 2 + {3} else 1 end)"
@@ -147,4 +164,4 @@ j as (select a.id point_id_a, b.id point_id_b, a.g ga, a.e ea, b.g gb, b.e eb,
     or (a.g = b.g and length(a.g) > 1 and {_WORD.format('a', 'b', 'e', 2)}) fits
   from c a join c b on a.id < b.id and a.s <> b.s and abs(a.y - b.y) < 0.0001 and 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2)))) < 5)
 select distinct point_id_a, point_id_b from j where fits"""
-SQL = {"p1_found": _P1, "p5_found": _P5, "p6_found": _P6}
+SQL = {"p1_found": _P1, "p3_candidates": _P3_CANDIDATES, "p5_found": _P5, "p6_found": _P6}

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from grovekit.llm.canon import Trie, canonical_entries, match_text, reference_trie
+from grovekit.llm.canon import Trie, canonical_entries, entries_within, match_text, reference_trie
 from grovekit.llm.linkage import agreement, candidate_pairs, copy_classes, em, link_points, meant_position, name_parts
 
 REF = [
@@ -53,14 +53,35 @@ def test_typed_names(text, want):
 
 def test_canonical_entries_edges(spark):
     ref = spark.createDataFrame(REF, "taxon_id long, scientific_name string, genus string, common_name string, other_names string, taxon_rank string")
+    long_name = "great white spotted river bank oxmere"
+    deep = ref.unionByName(spark.createDataFrame([(9, "Cadria rara", "Cadria", long_name, None, "species"), (None, "Null taxon", "Null", None, None, None)], ref.schema))
+    assert match_text(reference_trie([tuple(r) for r in deep.where("taxon_id = 9").collect()]), f"{long_name} by the gate") == (9, 0)
     rows = [("k1", "nonsense", "silver bunting"), ("k2", None, "  "), ("k3", "Alunia serrata", "marsh tolmion"), (None, "Alunia serrata", None), ("k4", "x" * 50_000, None), ("k3", "Alunia serrata", "marsh tolmion")]
     r = spark.createDataFrame(rows, "id string, l string, c string").withColumn("key", F.lit(1)).withColumn("t0", F.lit(2))
     got = {x["key"]: (x["entry"], x["matched_from"]) for x in canonical_entries(r, F.col("id"), ["l", "c"], ref).collect()}
     assert got == {"k1": (1, "c"), "k3": (1, "l"), "k4": (0, None)}
+    # every delivery's text is tried, not only the smallest
+    two = spark.createDataFrame([("a", "?", None), ("a", "Unknown", "!"), ("a", "silver bunting", None), ("b", None, long_name), ("b", "not told", None)], "id string, l string, c string")
+    got = {x["key"]: (x["entry"], x["matched_from"]) for x in canonical_entries(two, F.col("id"), ["l", "c"], deep).collect()}
+    assert got == {"a": (1, "l"), "b": (9, "c")}
     assert {x["entry"] for x in canonical_entries(r, F.col("id"), ["l", "c"], ref.limit(0)).collect()} == {0}
     assert canonical_entries(r.limit(0), F.col("id"), ["l", "c"], ref).count() == 0
 
 
+def test_size_of_the_reference_changes_no_rule(spark):
+    """A tie between entries far apart in a long list means no entry, as in a short one, and all of them are listed."""
+    many = [(i, f"Genusa{i:05d}x spec{i:05d}y", f"Genusa{i:05d}x", None, None, "species") for i in range(100, 21_500)]
+    tied = [(1, "Bertola vindescena", "Bertola", None, None, "species"), (30_000, "Bertola vindescenb", "Bertola", None, None, "species")]
+    s = "taxon_id long, scientific_name string, genus string, common_name string, other_names string, taxon_rank string"
+    r = spark.createDataFrame([("k", "Bertola vindescenc"), ("m", "genusa00777x spec00777y"), ("n", None)], "id string, l string")
+    for rows in (tied, tied + many):
+        ref = spark.createDataFrame(rows, s)
+        got = {x["key"]: x["entry"] for x in canonical_entries(r, F.col("id"), ["l"], ref).collect()}
+        assert got == {"k": 0, "m": 777 if len(rows) > 2 else 0}
+        within = {(x["entry"], x["distance"]) for x in entries_within(r, F.col("l"), ref).where("text like 'Bertola%'").collect()}
+        assert within == {(1, 1), (30_000, 1)}
+
+
 def test_positions_as_meant(spark):
     rows = [(1, 171.6, -44.3), (2, -44.3, 171.6), (3, 171.6, 44.3), (4, 0.0, 0.0), (5, None, -44.0), (6, float("nan"), -44.0), (7, 9999.0, -9999.0)]
     got = {r["i"]: (r["x_lon"], r["x_lat"]) for r in meant_position(spark.createDataFrame(rows, "i int, lon double, lat double")).collect()}
