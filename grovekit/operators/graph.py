@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.operators.spatial import near_join
+from grovekit.operators.forests import connected_components
+from grovekit.operators.spatial import both_ways, near_pairs
 from grovekit.session import cut
 
 c = F.col
@@ -24,12 +25,12 @@ def greedy_suppress(df: DataFrame, cols: tuple[str, str, str], priority: list[Co
     Only neighbour pairs take part, in rounds: an item without an undecided stronger neighbour is kept and drops
     its weaker ones, which is the same as the sequential result.
     """
-    s = df.select(*[c(x) for x in cols], F.struct(*[p.alias(f"p{i}") for i, p in enumerate(priority)], c(cols[0]).alias("pid")).alias("pr"), radius.alias("rad"), (always if always is not None else F.lit(False)).alias("always"))
-    p = near_join(s, s, cols, cols, most).where(c("a_id") != c("b_id")).select("a_id", "b_id", "d")
-    side = lambda x: s.select(c(cols[0]).alias(f"{x}_id"), c("pr").alias(f"pr_{x}"), c("rad").alias(f"rad_{x}"), c("always").alias(f"al_{x}"))
-    p = p.join(side("a"), "a_id").join(side("b"), "b_id").where(c("pr_a") < c("pr_b"))
-    r = c("rad_b") if by == "self" else c("rad_a")
-    p = p.where((c("d") < r) if strict else (c("d") <= r)).where(~c("al_b"))
+    pr = F.struct(*[p.alias(f"p{i}") for i, p in enumerate(priority)], c(cols[0]).alias("pid")).alias("pr")
+    s = df.select(*[c(x) for x in cols], pr, radius.alias("rad"), (always if always is not None else F.lit(False)).alias("always"))
+    keep = ("pr", "rad", "always")
+    p = both_ways(near_pairs(s, cols, most, keep), keep).where((c("a_pr") < c("b_pr")) & ~c("b_always"))
+    r = c("b_rad") if by == "self" else c("a_rad")
+    p = p.where((c("d") < r) if strict else (c("d") <= r))
     pairs, dropped = cut(p.select(c("a_id").alias("hi"), c("b_id").alias("lo"))), None
     for _ in range(ROUNDS_MOST):
         if pairs.isEmpty():
@@ -45,32 +46,12 @@ def greedy_suppress(df: DataFrame, cols: tuple[str, str, str], priority: list[Co
     return ids if dropped is None else ids.join(dropped, "id", "left_anti")
 
 
-def _state(e: DataFrame) -> tuple:
-    """Count and two checksums of a set of edges; equal for equal sets, whatever their order."""
-    h = F.xxhash64("u", "v")
-    return tuple(e.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first())
-
-
 def components(edges: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
-    """(id, component): smallest id linked directly or not, by alternating large and small stars until nothing
-    changes. Loops and null ends are left out."""
-    e = edges.select(c(a).alias("u"), c(b).alias("v")).where("u is not null and v is not null and u <> v")
-    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    last = _state(e)
-    for _ in range(ROUNDS_MOST):
-        both = e.unionByName(e.select(c("v").alias("u"), c("u").alias("v")))
-        m = both.groupBy("u").agg(F.least(F.min("v"), c("u")).alias("m"))
-        large = cut(both.join(m, "u").where(c("v") > c("u")).select(c("v").alias("u"), c("m").alias("v")).distinct())
-        m2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m2, "u").select(F.explode(F.array(F.struct(c("u").alias("u"), c("m").alias("v")), F.struct(c("v").alias("u"), c("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        small = cut(small)
-        now = _state(small)
-        if now == last:
-            break
-        e, last = small, now
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(c("u").alias("id"), c("v").alias("component")).unionByName(e.select(c("v").alias("id"), c("v").alias("component"))).distinct()
+    """(id, component): smallest id linked directly or not, by union-find in edge partitions (forests). Ids are
+    strings or whole numbers. Loops and null ends are left out."""
+    label = connected_components(edges.select(c(a).alias("a"), c(b).alias("b")))
+    head = label.groupBy("root").agg(F.min("item").alias("component"))
+    return label.join(head, "root").select(c("item").alias("id"), "component")
 
 
 def hungarian(cost: np.ndarray) -> np.ndarray:

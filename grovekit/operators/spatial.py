@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,21 +26,46 @@ def _cells_near(x: Column, y: Column, size: float) -> Column:
     return F.explode(F.array(*[F.struct((i + a).alias("i"), (j + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
 
 
-def near_join(a: DataFrame, b: DataFrame, a_cols: tuple[str, str, str], b_cols: tuple[str, str, str], radius: float) -> DataFrame:
-    """(a_id, b_id, d) of all pairs at most `radius` apart; cols are (id, x, y). Null positions pair with nothing.
+def near_join(a: DataFrame, b: DataFrame, a_cols: tuple[str, str, str], b_cols: tuple[str, str, str], radius: float, a_keep: Sequence[str] = (), b_keep: Sequence[str] = ()) -> DataFrame:
+    """(a_id, b_id, d, ax, ay, bx, by) of all pairs at most `radius` apart; cols are (id, x, y). Null positions pair
+    with nothing. Columns of a_keep and b_keep come along as a_<name>, b_<name>, so no pair is joined again by id.
 
     Cells have the radius as side; b goes to the nine cells around it. AQE splits a crowded cell.
     """
-    l = a.select(c(a_cols[0]).alias("a_id"), c(a_cols[1]).alias("ax"), c(a_cols[2]).alias("ay")).where("ax is not null and ay is not null")
-    r = b.select(c(b_cols[0]).alias("b_id"), c(b_cols[1]).alias("bx"), c(b_cols[2]).alias("by")).where("bx is not null and by is not null")
+    side = lambda df, cols, keep, p: df.select(c(cols[0]).alias(f"{p}_id"), c(cols[1]).alias(f"{p}x"), c(cols[2]).alias(f"{p}y"), *[c(k).alias(f"{p}_{k}") for k in keep]).where(c(f"{p}x").isNotNull() & c(f"{p}y").isNotNull())
+    l, r = side(a, a_cols, a_keep, "a"), side(b, b_cols, b_keep, "b")
     l = l.withColumn("i", F.floor(c("ax") / radius)).withColumn("j", F.floor(c("ay") / radius))
-    r = r.withColumn("cell", _cells_near(c("bx"), c("by"), radius)).select("b_id", "bx", "by", "cell.i", "cell.j")
-    return l.join(r, ["i", "j"]).withColumn("d", distance("ax", "ay", "bx", "by")).where(c("d") <= radius).select("a_id", "b_id", "d", "ax", "ay", "bx", "by")
+    r = r.select("*", _cells_near(c("bx"), c("by"), radius).alias("cell")).select(*r.columns, "cell.i", "cell.j")
+    return l.join(r, ["i", "j"]).withColumn("d", distance("ax", "ay", "bx", "by")).where(c("d") <= radius).drop("i", "j")
+
+
+def near_pairs(df: DataFrame, cols: tuple[str, str, str], radius: float, keep: Sequence[str] = ()) -> DataFrame:
+    """(a_id, b_id, d, a_<keep>, b_<keep>) with a_id < b_id of pairs of one table at most `radius` apart.
+
+    A row goes to its own cell and four of its neighbours only, so each pair meets once.
+    """
+    p = df.where(c(cols[0]).isNotNull() & c(cols[1]).isNotNull() & c(cols[2]).isNotNull())
+    p = p.select(F.struct(c(cols[0]).alias("__id"), c(cols[1]).alias("__x"), c(cols[2]).alias("__y"), *[c(k).alias(k) for k in keep]).alias("p"))
+    i, j = F.floor(c("p.__x") / radius), F.floor(c("p.__y") / radius)
+    l = p.select("p", i.alias("i"), j.alias("j"))
+    half = F.array(*[F.struct((i + a).alias("i"), (j + b).alias("j"), F.lit((a, b) == (0, 0)).alias("own")) for a, b in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])
+    r = p.select(c("p").alias("q"), F.explode(half).alias("cell")).select("q", "cell.i", "cell.j", "cell.own")
+    n = l.join(r, ["i", "j"]).where((c("p.__id") != c("q.__id")) & (~c("own") | (c("p.__id") < c("q.__id"))))
+    n = n.withColumn("d", distance("p.__x", "p.__y", "q.__x", "q.__y")).where(c("d") <= radius)
+    first = c("p.__id") < c("q.__id")
+    n = n.select(F.when(first, c("p")).otherwise(c("q")).alias("a"), F.when(first, c("q")).otherwise(c("p")).alias("b"), "d")
+    return n.select(c("a.__id").alias("a_id"), c("b.__id").alias("b_id"), "d", *[c(f"a.{k}").alias(f"a_{k}") for k in keep], *[c(f"b.{k}").alias(f"b_{k}") for k in keep])
 
 
 def radius_pairs(df: DataFrame, cols: tuple[str, str, str], radius: float) -> DataFrame:
     """(a_id, b_id, d) with a_id < b_id of pairs at most `radius` apart."""
-    return near_join(df, df, cols, cols, radius).where(c("a_id") < c("b_id")).select("a_id", "b_id", "d")
+    return near_pairs(df, cols, radius)
+
+
+def both_ways(pairs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Each pair of near_pairs in both directions, without a shuffle."""
+    turn = lambda a, b: F.struct(c(f"{a}_id").alias("a_id"), c(f"{b}_id").alias("b_id"), c("d").alias("d"), *[c(f"{a}_{k}").alias(f"a_{k}") for k in keep], *[c(f"{b}_{k}").alias(f"b_{k}") for k in keep])
+    return pairs.select(F.inline(F.array(turn("a", "b"), turn("b", "a"))))
 
 
 def nearest_within(a: DataFrame, b: DataFrame, a_cols: tuple[str, str, str], b_cols: tuple[str, str, str], radius: float, strict: bool = False) -> DataFrame:
@@ -165,10 +190,8 @@ def majority_share(overlaps: DataFrame, key: str, kind: str, area: str, whole: C
 
 def competition(df: DataFrame, cols: tuple[str, str, str], height: str, area: str, near: float = 25.0, far: float = 50.0) -> DataFrame:
     """Per item: neighbours within near and far, crown cover of both discs (at most 1), overlap and dominance."""
-    s = df.select(*cols, height, area)
-    p = near_join(s, s, cols, cols, far).where(c("a_id") != c("b_id")).select("a_id", "b_id", "d")
-    side = lambda x: s.select(c(cols[0]).alias(f"{x}_id"), c(height).alias(f"h{x}"), c(area).alias(f"s{x}"))
-    p = p.join(side("a"), "a_id").join(side("b"), "b_id")
+    s = df.select(*cols, c(height).alias("h"), c(area).alias("s"))
+    p = both_ways(near_pairs(s, cols, far, ("h", "s")), ("h", "s")).select("a_id", "d", *[c(f"{x}_{k}").alias(f"{k}{x}") for k in "hs" for x in "ab"])
     n = c("d") <= near
     rad = lambda a: F.sqrt(F.greatest(c(a), F.lit(1e-6)) / math.pi)
     g = p.groupBy("a_id").agg(

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovekit.functions.text import let
+from grovekit.operators.forests import connected_components
 from grovekit.operators.graph import components, optimal_pairs
-from grovekit.operators.spatial import near_join
+from grovekit.operators.spatial import near_join, near_pairs
 
 c = F.col
 
@@ -112,20 +113,22 @@ def seed_allocation(cells: DataFrame, seeds: DataFrame, size: float, reach: Colu
 
     cells (i, j, h), seeds (seed, x, y, h)."""
     p = cells.select(F.concat_ws("_", "i", "j").alias("cid"), ((c("i") + 0.5) * size).alias("x"), ((c("j") + 0.5) * size).alias("y"), "i", "j")
-    q = near_join(p, seeds, ("cid", "x", "y"), ("seed", "x", "y"), most).join(seeds.select(c("seed").alias("b_id"), reach.alias("reach")), "b_id").where(c("d") <= c("reach"))
-    m = q.groupBy("a_id").agg(F.min(F.struct("d", "b_id")).alias("m"))
-    return p.join(m, p["cid"] == m["a_id"]).select("i", "j", c("m.b_id").alias("seed"))
+    q = near_join(p, seeds.withColumn("reach", reach), ("cid", "x", "y"), ("seed", "x", "y"), most, ("i", "j"), ("reach",)).where(c("d") <= c("b_reach"))
+    return q.groupBy(c("a_i").alias("i"), c("a_j").alias("j")).agg(F.min(F.struct("d", "b_id"))["b_id"].alias("seed"))
 
 
 def patches(cells: DataFrame, eight: bool = True, least: int = 1) -> DataFrame:
     """(i, j, patch): patches of neighbouring cells of at least `least` cells; the patch is its smallest cell."""
-    key = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    key = lambda i, j: F.concat_ws("_", i, j)
     near = [(1, 0), (0, 1)] + ([(1, 1), (1, -1)] if eight else [])
     own = cells.select("i", "j").distinct()
-    e = own.select("i", "j", F.explode(F.array(*[key(c("i") + a, c("j") + b) for a, b in near])).alias("n"))
-    e = e.join(own.select(key(c("i"), c("j")).alias("n")), "n").select(key(c("i"), c("j")).alias("a_id"), c("n").alias("b_id"))
-    comp = components(e).select(c("id.i").alias("i"), c("id.j").alias("j"), c("component").alias("patch"))
-    lone = own.join(comp, ["i", "j"], "left_anti").select("i", "j", key(c("i"), c("j")).alias("patch"))
+    e = own.select("i", "j", F.explode(F.array(*[F.struct((c("i") + a).alias("i"), (c("j") + b).alias("j")) for a, b in near])).alias("n"))
+    e = e.join(own.select(F.struct("i", "j").alias("n")), "n").select(key(c("i"), c("j")).alias("a"), key(c("n.i"), c("n.j")).alias("b"))
+    at = lambda k: F.split("item", "_")[k].cast("long")
+    comp = connected_components(e).select(at(0).alias("i"), at(1).alias("j"), "root")
+    head = comp.groupBy("root").agg(F.min(F.struct("i", "j")).alias("patch"))
+    comp = comp.join(head, "root").select("i", "j", "patch")
+    lone = own.join(comp, ["i", "j"], "left_anti").select("i", "j", F.struct("i", "j").alias("patch"))
     every = comp.unionByName(lone)
     big = every.groupBy("patch").agg(F.count("*").alias("n")).where(c("n") >= least).select("patch")
     return every.join(big, "patch").select("i", "j", "patch")
@@ -161,14 +164,14 @@ def zonal_change(df: DataFrame, key: str, old: str, new: str, years: float, cano
 def sample_max(points: DataFrame, p: tuple[str, str, str], cells: DataFrame, size: float, radius: float) -> DataFrame:
     """(p_id, h): highest cell centre within a radius of each point; null where there is none."""
     cc = cells.select(F.concat_ws("_", "i", "j").alias("cid"), ((c("i") + 0.5) * size).alias("x"), ((c("j") + 0.5) * size).alias("y"), "h")
-    j = near_join(points, cc, p, ("cid", "x", "y"), radius).join(cc.select(c("cid").alias("b_id"), "h"), "b_id")
-    return points.select(c(p[0]).alias("p_id")).join(j.groupBy(c("a_id").alias("p_id")).agg(F.max("h").alias("h")), "p_id", "left")
+    j = near_join(points, cc, p, ("cid", "x", "y"), radius, (), ("h",))
+    return points.select(c(p[0]).alias("p_id")).join(j.groupBy(c("a_id").alias("p_id")).agg(F.max("b_h").alias("h")), "p_id", "left")
 
 
 def disc_evidence(points: DataFrame, p: tuple[str, str, str], cells: DataFrame, size: float, radii: Sequence[float], tall: float = 3.0) -> DataFrame:
     """Per point and radius: cells, tall cells, share and highest value, all radii in one pass."""
     cc = cells.select(F.concat_ws("_", "i", "j").alias("cid"), ((c("i") + 0.5) * size).alias("x"), ((c("j") + 0.5) * size).alias("y"), "h")
-    j = near_join(points, cc, p, ("cid", "x", "y"), max(radii)).join(cc.select(c("cid").alias("b_id"), "h"), "b_id")
+    j = near_join(points, cc, p, ("cid", "x", "y"), max(radii), (), ("h",)).withColumnRenamed("b_h", "h")
     aggs = []
     for r in radii:
         name, near = str(r).replace(".", "_"), c("d") <= r
@@ -243,9 +246,8 @@ def segment_crowns(cells: DataFrame, tile: int = 64, halo: int = 12, reach: int
 # repeated surveys
 def stitch(a: DataFrame, b: DataFrame, years: float, radius: float = 4.0, up: float = 1.5, down: float = 2.5, weight: float = 2.0) -> DataFrame:
     """(l, r, cost, exact) one-to-one between apexes (id, x, y, h) of two surveys: near, and growth within bounds."""
-    p = near_join(a, b, ("id", "x", "y"), ("id", "x", "y"), radius)
-    p = p.join(a.select(c("id").alias("a_id"), c("h").alias("ha")), "a_id").join(b.select(c("id").alias("b_id"), c("h").alias("hb")), "b_id")
-    g = (c("hb") - c("ha")) / years
+    p = near_join(a, b, ("id", "x", "y"), ("id", "x", "y"), radius, ("h",), ("h",))
+    g = (c("b_h") - c("a_h")) / years
     bad = F.greatest(g - up, F.lit(0.0)) + F.greatest(-g - down, F.lit(0.0))
     return optimal_pairs(p.withColumn("bad", bad).where("bad <= 1").withColumn("cost", c("d") + c("bad") * weight), "a_id", "b_id", "cost")
 
@@ -434,12 +436,14 @@ def otsu(df: DataFrame, keys: Sequence[str], v: str, bin_size: float = 1.0) -> D
     return best.select(*keys, "n", ((-c("__b.m") + 1) * bin_size).alias("threshold"))
 
 
-def saddle_share(pairs: DataFrame, a: tuple[str, str, str], b: tuple[str, str, str], cells: DataFrame, size: float, steps: int = 10) -> DataFrame:
+def saddle_share(pairs: DataFrame, a: tuple[str, str, str], b: tuple[str, str, str], cells: DataFrame, size: float, steps: int = 10, ends: bool = True) -> DataFrame:
     """pairs with `saddle`: lowest cell on the line between two tops over the lower of their heights.
 
-    a and b name the (x, y, height) columns of the tops; cells that are missing count as 0.
+    a and b name the (x, y, height) columns of the tops; cells that are missing count as 0. Without `ends` only the
+    steps between the tops count, not the tops themselves. Rows of pairs must be distinct.
     """
-    p = pairs.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    first, last = (0, steps) if ends else (1, steps - 1)
+    p = pairs.withColumn("__k", F.explode(F.sequence(F.lit(first), F.lit(last))))
     at = lambda k: F.floor((c(a[k]) + (c(b[k]) - c(a[k])) * c("__k") / steps) / size)
     j = p.withColumn("i", at(0)).withColumn("j", at(1)).join(cells.select("i", "j", c("h").alias("__h")), ["i", "j"], "left")
     g = j.groupBy(*pairs.columns).agg(F.min(F.coalesce("__h", F.lit(0.0))).alias("__low"))
@@ -462,17 +466,22 @@ def segmentation_scores(overlaps: DataFrame, truth: str, found: str, area: str,
     return r.withColumn("objective", good)
 
 
-def merge_clusters(df: DataFrame, cols: tuple[str, str, str], height: str, rank: Column, area: str, radius: float, share: float = 0.6, least: float = 3.0, auto_most: int = 5) -> DataFrame:
-    """(id, cluster, size, merge_class, is_primary): items near one another of like height, taken as one crown.
+def merge_clusters(df: DataFrame, cols: tuple[str, str, str], cells: DataFrame, size: float, rank: Column, area: str, radius: float, share: float = 0.6, least: float = 3.0, interior: int = 4, auto_most: int = 5) -> DataFrame:
+    """(id, cluster, size, merge_class, is_primary): items with unbroken canopy between them, taken as one crown.
 
-    A pair is confirmed if the shorter reaches `share` of the taller and `least`; clusters up to auto_most merge by
-    themselves, larger ones are for review. The primary comes first by rank, then area, then id.
+    The heights at both items and at `interior` places between them are read from the cells (i, j, h); a pair is
+    confirmed if the lower top has `least` and the lowest place between reaches `share` of it. Missing cells count
+    as 0. Clusters up to auto_most merge by themselves, larger ones are for review. The primary comes first by rank,
+    then area, then id. Only confirmed pairs link, so a row with gaps never chains.
     """
-    s = df.select(c(cols[0]).alias("id"), c(cols[1]).alias("x"), c(cols[2]).alias("y"), c(height).alias("h"), rank.alias("rk"), c(area).alias("ar"))
-    p = near_join(s, s, ("id", "x", "y"), ("id", "x", "y"), radius).where(c("a_id") < c("b_id"))
-    p = p.join(s.select(c("id").alias("a_id"), c("h").alias("ha")), "a_id").join(s.select(c("id").alias("b_id"), c("h").alias("hb")), "b_id")
-    p = p.where((F.least("ha", "hb") >= F.greatest("ha", "hb") * share) & (F.least("ha", "hb") >= least))
-    k = components(p).join(s.select("id", "rk", "ar"), "id")
+    s = df.select(c(cols[0]).alias("id"), c(cols[1]).alias("x"), c(cols[2]).alias("y"), rank.alias("rk"), c(area).alias("ar"))
+    p = near_pairs(s, ("id", "x", "y"), radius, ("x", "y"))
+    t = p.select("a_id", "b_id", F.explode(F.sequence(F.lit(0), F.lit(interior + 1))).alias("k"), *["a_x", "a_y", "b_x", "b_y"])
+    at = lambda v: F.floor((c(f"a_{v}") + (c(f"b_{v}") - c(f"a_{v}")) * c("k") / (interior + 1)) / size)
+    t = t.select("a_id", "b_id", "k", at("x").alias("i"), at("y").alias("j")).join(cells.select("i", "j", "h"), ["i", "j"], "left")
+    h, end = F.coalesce("h", F.lit(0.0)), c("k").isin(0, interior + 1)
+    t = t.groupBy("a_id", "b_id").agg(F.min(F.when(end, h)).alias("top"), F.min(F.when(~end, h)).alias("low"))
+    k = components(t.where((c("top") >= least) & (c("low") >= c("top") * share))).join(s.select("id", "rk", "ar"), "id")
     g = k.groupBy("component").agg(F.count("*").alias("size"), F.min(F.struct("rk", (-F.coalesce("ar", F.lit(0.0))).alias("na"), "id"))["id"].alias("first"))
     return k.join(g, "component").select("id", c("component").alias("cluster"), "size", F.when(c("size") <= auto_most, "auto").otherwise("review_large").alias("merge_class"), (c("id") == c("first")).alias("is_primary"))
 

@@ -56,7 +56,7 @@ def saddles(s, d):
 
 def merge_clusters(s, d):
     h = _heights(s, d).withColumn("rank", F.when(c("src") == "tree_register", 0).otherwise(1))
-    return op.merge_clusters(h, XY, "h", c("rank"), "h0", 4.0).select("id", "cluster", "size", "merge_class", "is_primary")
+    return op.merge_clusters(h, XY, _cells(s, d, 3.0), 3.0, c("rank"), "h0", 6.0).select("id", "cluster", "size", "merge_class", "is_primary")
 
 
 def candidate_audit(s, d):
@@ -162,7 +162,13 @@ select n, round(recall, 9) recall, round(split, 9) split, round(merge, 9) as mer
     "smoothed_cells": f"with {XY_SQL}, {HT}, {CELLS}, {_OFF}, w as (select i + a i, j + b j, avg(h) h from cell, o group by 1, 2) select i, j, round(w.h, 6) h from w join cell using (i, j)",
     "despiked_cells": f"with {XY_SQL}, {HT}, {CELLS}, {_OFF}, w as (select i + a i, j + b j, median(h) m from cell, o group by 1, 2) select i, j, round(case when h - m > 5 then m else h end, 6) h from w join cell using (i, j)",
     "saddles": f"with {XY_SQL}, {HT}, {CELLS}, p as (select a.tree_id a_id, b.tree_id b_id, a.x xa, a.y ya, b.x xb, b.y yb, least(a.h, b.h) low from ht a join ht b on a.tree_id < b.tree_id and a.h > 10 and b.h > 10 and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 12), q as (select a_id, b_id, low, floor((xa + (xb - xa) * k / 10) / 10)::bigint i, floor((ya + (yb - ya) * k / 10) / 10)::bigint j from p, (select unnest(range(0, 11)) k)), r as (select a_id, b_id, min(coalesce(h, 0)) / any_value(low) s from q left join cell using (i, j) group by 1, 2) select a_id, b_id, round(s, 6) saddle, s >= 0.7 one_crown from r",
-    "merge_clusters": f"with recursive {XY_SQL}, {HT}, e as (select a.tree_id u, b.tree_id v from ht a join ht b on a.tree_id <> b.tree_id and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 4 and least(a.h, b.h) >= 0.6 * greatest(a.h, b.h) and least(a.h, b.h) >= 3), r(u, v) as (select u, u from e union select r.u, e.v from r join e on r.v = e.u), k as (select u id, min(v) m from r group by 1), f as (select k.*, case src when 'tree_register' then 0 else 1 end rk, coalesce(h0, 0) ar from k join ht on id = tree_id) select id, m as cluster, count(*) over (partition by m) as size, case when count(*) over (partition by m) <= 5 then 'auto' else 'review_large' end merge_class, row_number() over (partition by m order by rk, ar desc, id) = 1 is_primary from f",
+    "merge_clusters": f"""with recursive {XY_SQL}, {HT}, chm as (select floor(x / 3)::bigint i, floor(y / 3)::bigint j, max(h) h from ht group by 1, 2),
+n as (select a.tree_id u, b.tree_id v, a.x x0, a.y y0, b.x - a.x dx, b.y - a.y dy from ht a join ht b on a.tree_id < b.tree_id and abs(a.x - b.x) <= 6 and abs(a.y - b.y) <= 6 and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 6),
+s as (select u, v, list(coalesce(h, 0) order by k) hs from (select n.*, k from n, range(6) r(k)) left join chm on i = floor((x0 + dx * k / 5) / 3)::bigint and j = floor((y0 + dy * k / 5) / 3)::bigint group by u, v),
+ok as (select u, v from s where least(hs[1], hs[6]) >= 3 and list_min(hs[2:5]) >= 0.6 * least(hs[1], hs[6])),
+e as (select u, v from ok union select v, u from ok), r(u, v) as (select u, u from e union select r.u, e.v from r join e on r.v = e.u), k as (select u id, min(v) m from r group by 1),
+f as (select k.*, case src when 'tree_register' then 0 else 1 end rk, coalesce(h0, 0) ar from k join ht on id = tree_id)
+select id, m as cluster, count(*) over (partition by m) as size, case when count(*) over (partition by m) <= 5 then 'auto' else 'review_large' end merge_class, row_number() over (partition by m order by rk, ar desc, id) = 1 is_primary from f""",
     "candidate_audit": f"with {XY_SQL}, n as (select a.tree_id t, b.tree_id k from xy a join xy b on not starts_with(a.src, 'lidar') and starts_with(b.src, 'lidar') and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 6), m as (select distinct nullif(lower(trim(primary_tree_id, ' ' || chr(9))), '') t, nullif(lower(trim(member_tree_id, ' ' || chr(9))), '') k from tree_crown_merge_pilot), l as (select * from m where t is not null and k is not null and t <> k) select concat_ws('+', case when n.t is not null then 'near' end, case when l.t is not null then 'linked' end) basis, count(*) n from n full join l on n.t = l.t and n.k = l.k group by 1",
     "context_join": f"with {PIP}, {SUPP}, r as (select p_id k, min(region_id) region_id from hit group by 1), n as (select c.k, s.k facility, round(sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2)), 6) facility_m from cust c, supp s where sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2)) <= 100 qualify row_number() over (partition by c.k order by sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2)), s.k) = 1) select cust.k, region_id, facility, facility_m from cust left join r using (k) left join n using (k)",
     "impervious_fraction": f"with {CUST}, {SUPP}, o as (select c.k, (least(c.x + 15, s.x + 50 + s.k % 60) - greatest(c.x - 15, s.x)) * (least(c.y + 15, s.y + 40 + s.k % 90) - greatest(c.y - 15, s.y)) a from cust c, supp s where least(c.x + 15, s.x + 50 + s.k % 60) > greatest(c.x - 15, s.x) and least(c.y + 15, s.y + 40 + s.k % 90) > greatest(c.y - 15, s.y)), g as (select k, round(least(sum(a / 900), 1), 6)::double sealed from o group by 1) select cust.k, coalesce(sealed, 0) sealed from cust left join g using (k)",
