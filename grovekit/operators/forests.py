@@ -19,7 +19,7 @@ from grovekit.session import cut
 
 #: edges that one task takes at most, and edges that are worth a task of their own while cores are free
 PARTITION_EDGES = 150_000
-TASK_EDGES = 10_000
+TASK_EDGES = 25_000
 ROUNDS_MOST = 60
 
 
@@ -89,12 +89,13 @@ def connected_components(edges: DataFrame, partition_edges: int = PARTITION_EDGE
         if partitions == 1:
             label = stars.unionByName(stars.select(F.col("root").alias("item"), "root").distinct())
             break
+        # the root with the lowest hash is the one that an item is hung under, as inside the partitions; an item has
+        # at most one root a partition
         top = stars.select(F.col("root").alias("item")).distinct().withColumn("is_root", F.lit(1))
-        # the root with the lowest hash is the one that an item is hung under, as inside the partitions
-        low = stars.groupBy("item").agg(F.min(F.struct(F.xxhash64("root").alias("h"), "root")).alias("m"))
-        low = cut(low.join(top, "item", "left").select("item", F.col("m.root").alias("to"), F.col("is_root").isNotNull().alias("stays")))
+        low = stars.groupBy("item").agg(F.min(F.struct(F.xxhash64("root").alias("h"), "root"))["root"].alias("to"), F.collect_set("root").alias("roots"))
+        low = cut(low.join(top, "item", "left").withColumn("stays", F.col("is_root").isNotNull()).drop("is_root"))
         hung.append(low.where(~F.col("stays")).select("item", "to"))
-        linked = stars.join(low, "item").select(F.when(F.col("stays"), F.col("item")).otherwise(F.col("to")).alias("x"), F.col("root").alias("y"))
+        linked = low.select(F.when(F.col("stays"), F.col("item")).otherwise(F.col("to")).alias("x"), F.explode("roots").alias("y"))
         left = cut(linked.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     else:
         raise RuntimeError("the components did not settle")
