@@ -1,113 +1,25 @@
 """Consolidating pairwise matches into groups.
 
-Every round runs union-find inside bounded partitions of the edges, keeps only the stars (spanning forests) that
-come out, and merges them: an id that is nowhere a root is hung under one of its roots and its other roots are
-linked with that one, so the next round holds roots only. When the remaining forest fits one bounded partition it
-is finished there. Roots are chosen by a hash of the id, so long chains shrink by a constant share each round.
+The links go through union-find in bounded edge partitions, only the spanning forests are kept, and forests are
+merged in rounds through bounded partitions until the global components remain (grovekit.operators.forests); a
+group is then named by its smallest id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.session import cut
-
-PARTITION_EDGES = 150_000
-ROUNDS_MOST = 60
-
-
-def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Root (smallest number) of each of n items under the links a-b."""
-    parent = np.arange(n)
-    while len(a):
-        ra, rb = parent[a], parent[b]
-        open_ = ra != rb
-        if not open_.any():
-            break
-        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:  # path halving for all at once
-            up = parent[parent]
-            if np.array_equal(up, parent):
-                break
-            parent = up
-    return parent
-
-
-def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stars (item, root) of one partition of edges (a, b, ha, hb)."""
-    parts = [f for f in frames if len(f)]
-    if not parts:
-        return
-    e = pd.concat(parts, ignore_index=True)
-    ids = pd.concat([e["a"], e["b"]], ignore_index=True)
-    rank = pd.concat([e["ha"], e["hb"]], ignore_index=True).to_numpy()
-    code, names = pd.factorize(ids)
-    first = np.zeros(len(names), dtype=np.int64)
-    first[code] = rank
-    names = np.asarray(names, dtype=object)
-    order = np.argsort(first, kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    n = len(e)
-    r = roots(place[code[:n]], place[code[n:]], len(names))
-    item = np.flatnonzero(r != np.arange(len(r)))
-    yield pd.DataFrame({"item": names[order[item]], "root": names[order[r[item]]]})
-
-
-def _stars(edges: DataFrame, partitions: int) -> DataFrame:
-    e = edges.select("a", "b", F.xxhash64("a").alias("ha"), F.xxhash64("b").alias("hb"))
-    e = e.coalesce(1) if partitions == 1 else e.repartition(partitions, F.xxhash64("a", "b"))
-    return e.mapInPandas(_forest, "item string, root string")
-
-
-def connected_components(edges: DataFrame, partition_edges: int = PARTITION_EDGES) -> DataFrame:
-    """(item, root) of every item of the edges (a, b), root being the same for all items linked, directly or not.
-
-    Edges with a null end and loops of one item are no links; an item that has only such edges does not come out.
-    Repeated edges count once. An empty table gives no rows. One partition handles at most about partition_edges.
-    """
-    left = cut(edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    hung: list[DataFrame] = []
-    for _ in range(ROUNDS_MOST):
-        n = left.count()
-        partitions = max(1, -(-n // partition_edges))
-        stars = cut(_stars(left, partitions))
-        if partitions == 1:
-            label = stars.unionByName(stars.select(F.col("root").alias("item"), "root").distinct())
-            break
-        top = stars.select(F.col("root").alias("item")).distinct().withColumn("is_root", F.lit(1))
-        # the root with the lowest hash is the one that an item is hung under, as inside the partitions
-        low = stars.groupBy("item").agg(F.min(F.struct(F.xxhash64("root").alias("h"), "root")).alias("m"))
-        low = low.join(top, "item", "left").select("item", F.col("m.root").alias("to"), F.col("is_root").isNotNull().alias("stays"))
-        low = cut(low)
-        hung.append(low.where(~F.col("stays")).select("item", "to"))
-        linked = stars.join(low, "item").select(F.when(F.col("stays"), F.col("item")).otherwise(F.col("to")).alias("x"), F.col("root").alias("y"))
-        left = cut(linked.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    else:
-        raise RuntimeError("the components did not settle")
-    # an item whose whole component was hung in one round has its root only there
-    for low in reversed(hung):
-        named = low.join(label.select(F.col("item").alias("to"), F.col("root").alias("__r")), "to", "left")
-        mine = named.select("item", F.coalesce("__r", "to").alias("root"))
-        alone = named.where(F.col("__r").isNull()).select(F.col("to").alias("item"), F.col("to").alias("root")).distinct()
-        label = label.unionByName(mine).unionByName(alone)
-        label = cut(label)
-    return label
+from grovekit.operators.forests import PARTITION_EDGES, connected_components
 
 
-def grouped_ids(edges: DataFrame, hidden: str | None = None, partition_edges: int = PARTITION_EDGES) -> DataFrame:
+def grouped_ids(edges: DataFrame, hidden: str | None = None, partition_edges: int = PARTITION_EDGES, rounds: list[tuple[int, int]] | None = None) -> DataFrame:
     """(item, group_id): the group's id is its smallest item in string order.
 
     Items that start with `hidden` are helpers (one per cluster, say): they link but do not come out, and a group
-    with a single other item is left out.
+    with a single other item is left out. `rounds`, if given, receives the edges and partitions of each round.
     """
-    label = connected_components(edges, partition_edges)
+    label = connected_components(edges, partition_edges, rounds=rounds)
     if hidden:
         label = label.withColumn("__shown", ~F.col("item").startswith(hidden))
     else:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.components import PARTITION_EDGES, grouped_ids
+from grovekit.llm.components import grouped_ids
+from grovekit.operators.forests import PARTITION_EDGES
 from grovekit.session import plain_id, table
 
 #: starts the helper items; no plain id holds this character
@@ -32,7 +33,7 @@ def merge_edges(rows: DataFrame) -> DataFrame:
     return r.select(F.explode(ends).alias("e")).select("e.a", "e.b")
 
 
-def merge_groups(spark: SparkSession, d: str, partition_edges: int = PARTITION_EDGES) -> DataFrame:
+def merge_groups(spark: SparkSession, d: str, partition_edges: int = PARTITION_EDGES, rounds: list[tuple[int, int]] | None = None) -> DataFrame:
     """(tree_id, group_tree_id) of every tree id linked to another one."""
-    got = grouped_ids(merge_edges(table(spark, d, "tree_crown_merge_pilot")), HELPER, partition_edges)
+    got = grouped_ids(merge_edges(table(spark, d, "tree_crown_merge_pilot")), HELPER, partition_edges, rounds)
     return got.select(F.col("item").alias("tree_id"), F.col("group_id").alias("group_tree_id"))

@@ -48,7 +48,9 @@ def test_components_equal_brute_force(spark, seed, bound):
 def test_long_chain_and_star_in_small_partitions(spark):
     chain = [(f"c{i:04d}", f"c{i + 1:04d}") for i in range(300)]
     star = [("hub", f"s{i:03d}") for i in range(300)]
-    got = groups(grouped_ids(frame(spark, chain + star), partition_edges=60))
+    rounds = []
+    got = groups(grouped_ids(frame(spark, chain + star), partition_edges=60, rounds=rounds))
+    assert rounds[0] == (600, 10) and len(rounds) > 2 and rounds[-1][1] == 1
     assert {got[x] for x in got if x[0] == "c"} == {"c0000"} and {got[x] for x in got if x[0] != "c"} == {"hub"}
     assert len(got) == 301 + 301
 
