@@ -11,7 +11,7 @@ from grovekit.llm.linkage import link_points
 from grovekit.llm.linkrows import merge_groups
 from grovekit.llm.mixing import mix
 from grovekit.llm.splitting import split_documents
-from grovekit.llm.survivors import fuse, group_claims, instant, record_claims, survivors_by_trust
+from grovekit.llm.survivors import fuse, instant, record_claims, record_votes
 from grovekit.session import bounded_collect, cut, plain_id, table
 
 FIELDS = ["species_latin", "species_common", "owner_class", "notable_point_name"]
@@ -39,13 +39,23 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
     return record_claims(rows, FIELDS, [F.col(c) for c in ("source", "r_source", "r_conf", "seen")])
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
+def _fused(spark: SparkSession, d: str) -> DataFrame:
     late = F.coalesce(-F.unix_micros("seen"), F.lit(2**63 - 1))
-    return survivors_by_trust(_claims(spark, d), merge_groups(spark, d), [F.col("r_source"), F.col("r_conf"), late]).select("group_tree_id", "field_name", "tree_id")
+    return fuse(record_votes(_claims(spark, d), merge_groups(spark, d), [F.col("r_source"), F.col("r_conf"), late]))[0]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d).select("group_tree_id", "field_name", "tree_id")
 
 
 def p1_fused(spark: SparkSession, d: str) -> DataFrame:
-    return fuse(group_claims(_claims(spark, d), merge_groups(spark, d)))[0]
+    return _fused(spark, d)
+
+
+def p1_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How often the most probable value is that of the record which precedence puts first."""
+    same = (F.col("value") == F.col("record_value")).cast("double")
+    return _fused(spark, d).groupBy("field_name").agg(F.count("*").alias("n_cases"), F.avg(same).alias("agree"), F.avg("posterior").alias("posterior"), F.avg("record_posterior").alias("record_posterior"))
 
 
 def _taxa(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +114,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_fused": p1_fused,
+    "p1_agreement": p1_agreement,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
     "p3_candidates": p3_candidates,

@@ -1,14 +1,19 @@
 """The best representative of each duplicate group.
 
-survivors_by_trust picks, field by field, the record that stated precedence puts first; fuse estimates the
-sources' accuracies and their copying from shared false values and takes the value of maximum posterior.
+Bayesian fusion with copy detection: the sources' accuracies and their dependence are estimated from shared true and
+false values, copied votes are discounted, and per group and field the value of maximum posterior is taken, beside
+the record that a stated precedence puts first (the posterior decides between records that it leaves equal).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +25,11 @@ SOURCES_MOST = 200
 FALSE_VALUES = 20
 COPY_SHARE = 0.8
 COPY_PRIOR = 0.1
-ROUNDS = 3
+ROUNDS_MOST, SETTLED = 60, 1e-2
+#: a score beyond this is a posterior of 1 in double precision
+SCORE_MOST = 600.0
+#: joins the sorted names of the sources that vote alike
+BETWEEN = "\x1f"
 
 
 def usable_value(c: Column) -> Column:
@@ -42,99 +51,79 @@ def record_claims(records: DataFrame, fields: list[str], keep: list[Column]) ->
     return mine.select(F.col("__t").alias("tree_id"), "__f.field_name", "__f.value", *kept)
 
 
-def survivors_by_trust(claims: DataFrame, groups: DataFrame, order: list[Column]) -> DataFrame:
-    """(group_tree_id, field_name, tree_id, value): of a group's claims the first in `order`, then by smallest tree id
-    and value.
+def record_votes(claims: DataFrame, groups: DataFrame, order: list[Column], source: str = "source") -> DataFrame:
+    """(group_tree_id, field_name, value, pattern, best): the values claimed in each group, the sorted sources that
+    claim them as one string, and the first record in `order`, then by tree id, that does.
 
-    The best claim of each record id is taken before the groups are joined, and both steps are aggregates with
-    map-side combining, so neither a record delivered without end nor a huge group meets in one task. Members
-    without a record and records in no group give no row; an empty side gives none.
+    The claims of a record are combined before the groups are joined, and both steps are aggregates with map-side
+    combining, so neither a record delivered without end nor a huge group meets in one task. Members without a
+    record and records in no group give no row; a null source is a source of its own; an empty side gives none.
     """
     rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    own = claims.groupBy("tree_id", "field_name").agg(F.min(F.struct(rank.alias("r"), "value")).alias("b"))
+    name = F.coalesce(F.col(source), F.lit("(none)"))
+    own = claims.groupBy("tree_id", "field_name", "value", name.alias("s")).agg(F.min(rank).alias("r"))
     mine = own.join(groups.select("tree_id", "group_tree_id"), "tree_id")
-    best = mine.groupBy("group_tree_id", "field_name").agg(F.min(F.struct(F.col("b.r").alias("r"), "tree_id", F.col("b.value").alias("value"))).alias("m"))
-    return best.select("group_tree_id", "field_name", "m.tree_id", "m.value")
-
-
-def group_claims(claims: DataFrame, groups: DataFrame, source: str = "source") -> DataFrame:
-    """(group_tree_id, field_name, value, source): what each source claims in each group, once."""
-    own = claims.select("tree_id", "field_name", "value", F.col(source).alias("source")).distinct()
-    return own.join(groups.select("tree_id", "group_tree_id"), "tree_id").select("group_tree_id", "field_name", "value", "source")
-
-
-def _vote(c: DataFrame, accuracy: dict[str, float], copies: dict[tuple[str, str], float]) -> DataFrame:
-    """Adds score per (group, field, value): log odds of its sources, each vote discounted by the chance that it
-    was copied from a more accurate source that votes alike."""
-    ranked = sorted(accuracy, key=lambda s: (-accuracy[s], s))
-    terms = []
-    for i, s in enumerate(ranked):
-        has = F.array_contains("sources", s)
-        weight = F.lit(math.log(FALSE_VALUES * accuracy[s] / (1 - accuracy[s])))
-        for t in ranked[:i]:
-            p = copies.get((min(s, t), max(s, t)), 0.0)
-            if p > 1e-6:
-                weight = weight * F.when(F.array_contains("sources", t), F.lit(1 - COPY_SHARE * p)).otherwise(F.lit(1.0))
-        terms.append(F.when(has, weight).otherwise(F.lit(0.0)))
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return c.withColumn("score", total)
-
-
-def fuse(c: DataFrame, source: str = "source", rounds: int = ROUNDS) -> tuple[DataFrame, dict[str, float], dict[tuple[str, str], float]]:
-    """Bayesian fusion with copy detection of claims (group_tree_id, field_name, value, source).
-
-    Returns (group_tree_id, field_name, value, posterior, n_sources), the sources' accuracies and the probability
-    of dependence per pair of sources. Only counts per source and per pair of sources reach the driver; a null
-    source is a source of its own. Ties go to the smallest value. At most SOURCES_MOST sources.
-    """
-    base = c.select("group_tree_id", "field_name", "value", F.coalesce(F.col(source), F.lit("(none)")).alias("s"))
-    votes = cut(base.groupBy("group_tree_id", "field_name", "value").agg(F.collect_set("s").alias("sources")))
-    names = sorted(r[0] for r in bounded_collect(votes.select(F.explode("sources")).distinct(), SOURCES_MOST, "sources"))
-    accuracy, copies = {s: 0.8 for s in names}, {}
-    obj = ["group_tree_id", "field_name"]
-    if not names:
-        empty = votes.select(*obj, "value", F.lit(0.0).alias("posterior"), F.lit(0).alias("n_sources"))
-        return empty, accuracy, copies
-    # before any value is believed, two sources are compared by how often they agree
-    copies = _dependence(votes.withColumn("p", F.lit(1.0)), obj, names, accuracy, believed=False)
-    result = votes
-    for k in range(rounds):
-        scored = _vote(votes, accuracy, copies)
-        # the score is at most a few dozen, so its exponential stays exact enough without a shift
-        z = scored.groupBy(*obj).agg(F.sum(F.exp("score")).alias("z"), F.count("*").alias("n"), F.min(F.struct((-F.col("score")).alias("m"), "value")).alias("b"))
-        z = z.withColumn("z", F.col("z") + F.greatest(F.lit(FALSE_VALUES + 1) - F.col("n"), F.lit(0)))
-        if k == rounds - 1:
-            n_src = scored.select(*obj, "value", F.size("sources").alias("n_sources"), "score")
-            result = z.join(n_src, obj).where(F.col("value") == F.col("b.value"))
-            result = result.select(*obj, "value", (F.exp("score") / F.col("z")).alias("posterior"), "n_sources")
-            break
-        p = scored.join(z.select(*obj, "z"), obj).select(*obj, "sources", (F.exp("score") / F.col("z")).alias("p"))
-        p = cut(p)
-        for r in p.select(F.explode("sources").alias("s"), "p").groupBy("s").agg(F.avg("p").alias("a")).collect():  # one row a source
-            accuracy[r["s"]] = min(0.99, max(0.05, r["a"]))
-        copies = _dependence(p, obj, names, accuracy)
-    return result, accuracy, copies
-
-
-def _dependence(p: DataFrame, obj: list[str], names: list[str], accuracy: dict[str, float], believed: bool = True) -> dict[tuple[str, str], float]:
+    v = mine.groupBy("group_tree_id", "field_name", "value").agg(F.array_join(F.sort_array(F.collect_set("s")), BETWEEN).alias("pattern"), F.min(F.struct("r", "tree_id")).alias("best"))
+    return v
+
+
+def _scorer(accuracy: dict[str, float], copies: dict[tuple[str, str], float]):
+    """pattern -> log odds of its sources, each vote discounted by the chance that it was copied from a more accurate
+    source that votes alike."""
+    place = {s: i for i, s in enumerate(sorted(accuracy, key=lambda s: (-accuracy[s], s)))}
+
+    @lru_cache(100_000)
+    def score(pattern: str) -> float:
+        names, total = sorted(pattern.split(BETWEEN), key=place.get), 0.0
+        for i, s in enumerate(names):
+            w = math.log(FALSE_VALUES * accuracy[s] / (1 - accuracy[s]))
+            for t in names[:i]:
+                w *= 1 - COPY_SHARE * copies.get((min(s, t), max(s, t)), 0.0)
+            total += w
+        return total
+
+    return score
+
+
+def _tally(accuracy: dict[str, float] | None, copies: dict[tuple[str, str], float]):
+    """Per partition of signatures: for each pair of sources (a source with itself: its own votes) how often they vote
+    alike, weighted by the belief in the value and in its falsehood, and how often both vote at all."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = _scorer(accuracy, copies) if accuracy else None
+        sums: dict[tuple[str, str], np.ndarray] = {}
+
+        def add(names: list[str], true: float, false: float, met: float) -> None:
+            for pair in [*combinations(names, 2), *((s, s) for s in names)]:
+                sums.setdefault(pair, np.zeros(3))
+                sums[pair] += (true, false, met)
+
+        for pdf in batches:
+            for sig, k in zip(pdf["sig"], pdf["k"]):
+                n = np.array([v["n"] for v in sig], dtype=float)
+                if score is None:
+                    p = np.ones(len(sig))
+                else:
+                    z = np.array([score(v["pattern"]) for v in sig])
+                    top = max(z.max(), 0.0)
+                    e = np.exp(z - top)
+                    p = e / ((n * e).sum() + max(FALSE_VALUES + 1 - n.sum(), 0) * math.exp(-top))
+                for v, m, q in zip(sig, n, p):
+                    add(v["pattern"].split(BETWEEN), k * m * q, k * m * (1 - q), 0.0)
+                add(sorted({s for v in sig for s in v["pattern"].split(BETWEEN)}), 0.0, 0.0, float(k))
+        yield pd.DataFrame([(a, b, *x.tolist()) for (a, b), x in sums.items()], columns=["a", "b", "t", "f", "met"])
+
+    return run
+
+
+def _dependence(seen: dict[tuple[str, str], tuple], accuracy: dict[str, float], believed: bool = True) -> dict[tuple[str, str], float]:
     """Probability that two sources depend, from how often they share true values, share false ones, or differ;
     where nothing is believed yet, from how often they agree or differ."""
-    pairs = list(combinations(names, 2))
-    if not pairs:
-        return {}
-    each = lambda col: [F.when(F.array_contains(col, a) & F.array_contains(col, b), F.lit(f"{i}")) for i, (a, b) in enumerate(pairs)]
-    same = p.select(F.explode(F.array_compact(F.array(*each("sources")))).alias("i"), "p").groupBy("i").agg(F.sum("p").alias("t"), F.sum(1 - F.col("p")).alias("f")).collect()
-    cover = p.groupBy(*obj).agg(F.array_distinct(F.flatten(F.collect_set("sources"))).alias("all"))
-    both = cover.select(F.explode(F.array_compact(F.array(*each("all")))).alias("i")).groupBy("i").count().collect()  # one row a pair
-    met = {int(r["i"]): r["count"] for r in both}
     out = {}
-    for r in same:
-        i = int(r["i"])
-        a, b = pairs[i]
-        kt, kf = r["t"], r["f"]
-        kd = max(0.0, met.get(i, 0) - kt - kf)
+    for (a, b), (kt, kf, met) in seen.items():
+        if a == b or kt + kf == 0:
+            continue
+        kd = max(0.0, met - kt - kf)
         acc = (accuracy[a] + accuracy[b]) / 2
         e = 1 - acc
         pt, pf = acc * acc, e * e / FALSE_VALUES
@@ -145,5 +134,65 @@ def _dependence(p: DataFrame, obj: list[str], names: list[str], accuracy: dict[s
         dt, df = COPY_SHARE * (acc if believed else 1.0) + (1 - COPY_SHARE) * pt, COPY_SHARE * e + (1 - COPY_SHARE) * pf
         dd = max(1e-9, (1 - COPY_SHARE) * pd_)
         lr = kt * math.log(pt / dt) + kf * math.log(pf / df) + kd * math.log(pd_ / dd) + math.log((1 - COPY_PRIOR) / COPY_PRIOR)
-        out[pairs[i]] = 1 / (1 + math.exp(min(50.0, max(-50.0, lr))))
+        out[(a, b)] = 1 / (1 + math.exp(min(50.0, max(-50.0, lr))))
     return out
+
+
+def fuse(votes: DataFrame, rounds_most: int = ROUNDS_MOST) -> tuple[DataFrame, dict[str, float], dict[tuple[str, str], float], int]:
+    """Bayesian fusion with copy detection of votes (group_tree_id, field_name, value, pattern, best).
+
+    Returns (group_tree_id, field_name, value, posterior, n_sources, tree_id, record_value, record_posterior), the
+    sources' accuracies, the probability of dependence per pair of sources, and the rounds taken. value is that of
+    maximum posterior, ties to the smallest; tree_id and record_value are of the record that precedence puts first,
+    and of its values the more probable one.
+
+    A score hangs on the set of sources alone, so the rounds run over the distinct signatures (what sets vote for a
+    field's values, and how often) instead of the votes, and only sums per pair of at most SOURCES_MOST sources reach
+    the driver. They end when no accuracy and no dependence moves by more than SETTLED; after rounds_most it raises.
+    """
+    obj = ["group_tree_id", "field_name"]
+    votes = cut(votes)
+    names = F.explode(F.split("pattern", BETWEEN)).alias("s")
+    accuracy = {r[0]: 0.8 for r in bounded_collect(votes.select("pattern").distinct().select(names).distinct(), SOURCES_MOST, "sources")}
+    sig = votes.groupBy(*obj, "pattern").agg(F.count("*").alias("n")).groupBy(*obj).agg(F.sort_array(F.collect_list(F.struct("pattern", "n"))).alias("sig"))
+    sig = cut(sig.groupBy("sig").agg(F.count("*").alias("k")))
+
+    def tally(a: dict | None) -> dict[tuple[str, str], tuple]:
+        got = sig.mapInPandas(_tally(a, copies), "a string, b string, t double, f double, met double")
+        return {(r["a"], r["b"]): (r["t"], r["f"], r["met"]) for r in got.groupBy("a", "b").agg(*[F.sum(x).alias(x) for x in ("t", "f", "met")]).collect()}  # a row a pair
+
+    copies: dict[tuple[str, str], float] = {}
+    taken = 0
+    if accuracy:
+        # before any value is believed, two sources are compared by how often they agree
+        copies = _dependence(tally(None), accuracy, believed=False)
+        while True:
+            taken += 1
+            seen = tally(accuracy)
+            new = {s: min(0.99, max(0.05, seen[(s, s)][0] / max(1e-9, seen[(s, s)][0] + seen[(s, s)][1]))) for s in accuracy}
+            more = _dependence(seen, new)
+            moved = max([abs(new[s] - accuracy[s]) for s in new] + [abs(more.get(x, 0.0) - copies.get(x, 0.0)) for x in {*more, *copies}])
+            accuracy, copies = new, more
+            if moved <= SETTLED:
+                break
+            if taken >= rounds_most:
+                raise RuntimeError("the accuracies did not settle")
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = _scorer(accuracy, copies)
+        for s in batches:
+            yield s.map(one).astype(float)
+
+    v = votes.withColumn("score", score("pattern"))
+    down = (-F.col("score")).alias("m")
+    g = v.groupBy(*obj).agg(
+        F.sum(F.exp(F.least(F.col("score"), F.lit(SCORE_MOST)))).alias("z"),
+        F.count("*").alias("n"),
+        F.min(F.struct(down, "value", F.size(F.split("pattern", BETWEEN)).alias("n"))).alias("b"),
+        F.min(F.struct("best", down, "value")).alias("r"),
+    )
+    z = F.col("z") + F.greatest(F.lit(FALSE_VALUES + 1) - F.col("n"), F.lit(0))
+    chance = lambda x: F.exp(F.least(-F.col(x), F.lit(SCORE_MOST))) / z
+    out = g.select(*obj, "b.value", chance("b.m").alias("posterior"), F.col("b.n").alias("n_sources"), "r.best.tree_id", F.col("r.value").alias("record_value"), chance("r.m").alias("record_posterior"))
+    return out, accuracy, copies, taken

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from grovekit.llm.components import connected_components, grouped_ids
 from grovekit.llm.linkrows import HELPER, merge_edges
-from grovekit.llm.survivors import fuse, group_claims, instant, record_claims, survivors_by_trust, usable_value
+from grovekit.llm.survivors import fuse, instant, record_claims, record_votes, usable_value
 
 
 def brute(edges):
@@ -86,11 +86,25 @@ def test_survivor_order_and_ties(spark):
     g = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("z", "y")], "tree_id string, group_tree_id string")
     rows = [("a", "x", 2, 5), ("b", "w", 1, 1), ("b", "w", 1, 1), ("c", "v", 1, 1), ("z", "n/a", 1, 1), (None, "u", 0, 0)]
     r = spark.createDataFrame(rows, "tree_id string, f string, k int, t int").withColumn("group_tree_id", F.lit("clash"))
-    c = record_claims(r, ["f"], [F.col("k"), F.col("t")])
-    got = survivors_by_trust(c, g, [F.col("k"), -F.col("t")]).collect()
-    assert [(x["group_tree_id"], x["tree_id"], x["value"]) for x in got] == [("a", "b", "w")]
-    assert survivors_by_trust(c.limit(0), g, [F.col("k")]).count() == survivors_by_trust(c, g.limit(0), [F.col("k")]).count() == 0
-    assert sorted((x["group_tree_id"], x["value"]) for x in group_claims(c.withColumn("source", F.lit("s")), g).collect()) == [("a", "v"), ("a", "w"), ("a", "x")]
+    order = [F.col("k"), -F.col("t")]
+    c = record_claims(r.withColumn("source", F.lit("s")), ["f"], [F.col("k"), F.col("t"), F.col("source")])
+    got = fuse(record_votes(c, g, order))[0].collect()
+    assert [(x["group_tree_id"], x["tree_id"], x["record_value"]) for x in got] == [("a", "b", "w")]
+    for a, b in ((c.limit(0), g), (c, g.limit(0))):
+        assert fuse(record_votes(a, b, order))[0].count() == 0
+    assert sorted((x["group_tree_id"], x["value"], x["pattern"]) for x in record_votes(c, g, order).collect()) == [("a", "v", "s"), ("a", "w", "s"), ("a", "x", "s")]
+
+
+def votes(spark, rows):
+    """Votes of claims (group, field, value, source), each group's claims being one record's."""
+    c = spark.createDataFrame(rows, "tree_id string, field_name string, value string, source string")
+    return record_votes(c, c.select("tree_id", F.col("tree_id").alias("group_tree_id")).distinct(), [F.lit(0)])
+
+
+def test_posterior_decides_between_equal_records(spark):
+    rows = [("g", "f", "a", "s1"), ("g", "f", "b", "s2"), ("g", "f", "b", "s3")] + [(f"h{i}", "f", "x", s) for i in range(20) for s in ("s1", "s2", "s3")]
+    got = {r["group_tree_id"]: r for r in fuse(votes(spark, rows))[0].collect()}
+    assert got["g"]["record_value"] == got["g"]["value"] == "b" and got["g"]["record_posterior"] == got["g"]["posterior"]
 
 
 def test_fusion_discounts_copies(spark):
@@ -103,16 +117,19 @@ def test_fusion_discounts_copies(spark):
         s3 = truth if rnd.random() < 0.45 else wrong
         rows += [(f"g{i}", "f", truth if rnd.random() < 0.9 else "e1", "s1"), (f"g{i}", "f", truth if rnd.random() < 0.85 else "e2", "s2")]
         rows += [(f"g{i}", "f", s3, s) for s in ("s3", "s4", "s5")]
-    c = spark.createDataFrame(rows, "group_tree_id string, field_name string, value string, source string")
-    out, acc, copies = fuse(c)
+    out, acc, copies, rounds = fuse(votes(spark, rows))
     got = out.collect()
-    assert len(got) == 150 and sum(r["value"] == "t" for r in got) / 150 > 0.9
+    assert len(got) == 150 and sum(r["value"] == "t" for r in got) / 150 > 0.9 and rounds > 1
     assert copies[("s3", "s4")] > 0.9 and copies[("s4", "s5")] > 0.9 and copies.get(("s1", "s2"), 0) < 0.5
     assert acc["s1"] > acc["s3"] and all(0 < r["posterior"] <= 1 for r in got)
 
 
 def test_fusion_edges(spark):
-    s = "group_tree_id string, field_name string, value string, source string"
-    assert fuse(spark.createDataFrame([], s))[0].count() == 0
-    got = fuse(spark.createDataFrame([("g", "f", "b", None), ("g", "f", "a", None), ("g", "f", "a", None)], s))[0].collect()
+    got = fuse(votes(spark, [("g", "f", "b", None), ("g", "f", "a", None), ("g", "f", "a", None)]))[0].collect()
     assert [r["value"] for r in got] == ["a"]
+    # more sources than fit an expression of all their pairs
+    many = [("g", "f", "v" if i % 3 else "w", f"s{i:03d}") for i in range(150)]
+    r = fuse(votes(spark, many))[0].first()
+    assert r["value"] == "v" and r["n_sources"] == 100 and 0 < r["posterior"] <= 1
+    with pytest.raises(RuntimeError):
+        fuse(votes(spark, [("g", "f", "a", "x"), ("g", "f", "b", "y")]), rounds_most=0)
