@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.session import cut, union_all
+from grovekit.session import bounded_collect, cut, union_all
 
-HEAVY_KEYS_MOST = 10_000
+HEAVY_KEYS_MOST = 1_000
 
 
 def pre_aggregate(df: DataFrame, name: str, key: Column, at: Column) -> DataFrame:
@@ -28,25 +28,23 @@ def orphan_references(children: dict[str, tuple[DataFrame, Column, Column]], par
     `died` (the earliest, if rows differ). A reference is missing when no parent row has the key, late when an
     instant of the period lies before `born`, deleted when one lies at or after `died`; a key and period can be both.
     References without an instant can only be missing and have a null period. n_rows counts the references of the
-    key in the period. Keys with more than `heavy_share` of the aggregated references, at most 1/heavy_share of
-    them, are looked up by broadcast. Empty tables give no rows.
+    key in the period. Heavy keys, those with more than `heavy_share` of all referring rows (so fewer than
+    1/heavy_share of them at any size), are looked up by broadcast; all others by a shuffled join. Empty tables give
+    no rows.
     """
+    if not 0 < heavy_share <= 1:
+        raise ValueError("heavy_share must lie in (0, 1]")
     refs = cut(union_all([pre_aggregate(df, n, k, at) for n, (df, k, at) in children.items()]))
-    total = refs.count()
-    least = max(1.0, total * heavy_share)
-    heavy = refs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > F.lit(max(least, 1_000.0))).select("key")
-    lives = (
-        parent.select(parent_key.alias("key"), born.alias("born"), died.alias("died"))
-        .where(F.col("key").isNotNull())
-        .groupBy("key")
-        .agg(F.min("born").alias("born"), F.min("died").alias("died"), F.lit(1).alias("known"))
-    )
-    hot, cold = heavy.collect() if total > 1_000 else [], refs
-    parts = []
-    if hot:  # at most 1 / heavy_share keys
-        names = df_of_keys(refs, [r[0] for r in hot])
+    total = refs.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    heavy = refs.groupBy("key").agg(F.sum("n_rows").alias("n")).where(F.col("n") > F.lit(total * heavy_share)).select("key")
+    hot = [r[0] for r in bounded_collect(heavy, int(1 / heavy_share), "heavy keys")]
+    rows = parent.select(parent_key.alias("key"), born.alias("born"), died.alias("died")).where(F.col("key").isNotNull())
+    span = lambda df: df.groupBy("key").agg(F.min("born").alias("born"), F.min("died").alias("died"), F.lit(1).alias("known"))
+    lives, cold, parts = span(rows), refs, []
+    if hot:
+        names = df_of_keys(refs, hot)
         cold = refs.join(F.broadcast(names), "key", "left_anti")
-        some = lives.join(F.broadcast(names), "key", "left_semi")
+        some = span(rows.join(F.broadcast(names), "key", "left_semi"))
         parts.append(refs.join(F.broadcast(names), "key", "left_semi").join(F.broadcast(some), "key", "left"))
     parts.append(cold.join(lives, "key", "left"))
     both = union_all(parts)

@@ -42,7 +42,7 @@ def test_snapshot_changes(spark):
     ]
     df = spark.createDataFrame([(*r, "c", "c", "c") for r in rows], SNAP)
     want = {(2, "gone", "removed"), (2, "new", "added"), (3, "new", "changed"), (2, "num", "changed"), (3, "null", "changed"), (3, None, "changed")}
-    assert changes(df) == want == changes(df, bucket_keys=1)
+    assert changes(df) == want == changes(df, group_keys=1) == changes(df, slots=2, group_keys=2)
 
 
 def test_snapshot_blocks_and_empty(spark):
@@ -60,13 +60,24 @@ def test_snapshot_blocks_and_empty(spark):
 
 
 def test_ordinals_persist(spark):
-    a = spark.createDataFrame([(f"k{i}",) for i in range(50)], "k string")
-    first = key_ordinals(a, ["k"], 3)
-    more = key_ordinals(spark.createDataFrame([(f"k{i}",) for i in range(20, 80)], "k string"), ["k"], 3, first)
-    got = more.collect()
-    assert len(got) == 80 and len({(r["bucket"], r["ordinal"]) for r in got}) == 80
-    old = {r["k"]: r["ordinal"] for r in first.collect()}
-    assert all(r["ordinal"] == old[r["k"]] for r in got if r["k"] in old)
+    rows = [(n, f"k{i:03d}") for n in range(1, 5) for i in range(n * 20, n * 20 + 60)] + [(None, "lost"), (2, None), (1, "k020")]
+    df = spark.createDataFrame(rows, "snapshot_no int, k string").withColumn("ordinal", F.lit("clash"))
+    take = lambda d, **kw: {r["k"]: r["ordinal"] for r in key_ordinals(d, ["k"], slots=4, **kw).collect()}
+    first, every = take(df.where("snapshot_no < 4")), take(df.repartition(7))
+    assert len(set(every.values())) == len(every) == len({r[1] for r in rows}) - 1
+    # a further snapshot, or another run, moves no ordinal
+    assert all(every[k] == o for k, o in first.items()) and take(df) == every
+    # nor does the loss of the earlier deliveries where the table was stored
+    kept = key_ordinals(df.where("snapshot_no < 4"), ["k"], slots=4)
+    later = take(df.where("snapshot_no = 4"), known=kept)
+    assert all(later[k] == o for k, o in first.items()) and len(set(later.values())) == len(every)
+
+
+def test_whole_numbers_are_compared_exactly(spark):
+    rows = [(n, k, v + d) for n, d in ((1, 0), (2, 1)) for k, v in (("far", 2**60), ("near", 5))] + [(1, "null", None), (2, "null", 0), (1, "same", 2**62), (2, "same", 2**62)]
+    df = spark.createDataFrame(rows, "snapshot_no int, k string, v long")
+    want = {(2, "far", "changed"), (2, "near", "changed"), (2, "null", "changed")}
+    assert {tuple(r) for r in snapshot_changes(df, ["k"], {}, ["v"]).collect()} == want == {tuple(r) for r in snapshot_changes(df, ["k"], {"v": F.col("v")}).collect()}
 
 
 def test_orphans(spark):
@@ -83,13 +94,17 @@ def test_orphans(spark):
 
 
 def test_heavy_keys_take_the_broadcast_path(spark):
-    p = spark.createDataFrame([("hot", dt.datetime(2020, 1, 1))], "k string, born timestamp").withColumn("died", F.lit(None).cast("timestamp"))
-    months = spark.range(1300).select(F.lit("hot").alias("k"), F.expr("timestampadd(MONTH, cast(id as int), timestamp'1960-01-01')").alias("at"))
-    rest = spark.range(300).select(F.concat(F.lit("k"), "id").alias("k"), F.lit(dt.datetime(2021, 1, 1)).alias("at"))
-    o = orphan_references({"x": (months.unionByName(rest), F.col("k"), F.col("at"))}, p, F.col("k"), F.col("born"), F.col("died"))
-    got = {(r["kind"], r["n"]) for r in o.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    assert got == {("late", 720), ("missing", 300)}
-    assert "BroadcastHashJoin" in o._jdf.queryExecution().toString()
+    """A key with a third of 60,000 referring rows in three months: few rows once aggregated, heavy all the same."""
+    p = spark.createDataFrame([("hot", dt.datetime(2020, 2, 1))], "k string, born timestamp").withColumn("died", F.lit(None).cast("timestamp"))
+    at = F.expr("timestampadd(MONTH, cast(id % 3 as int), timestamp'2020-01-01')").alias("at")
+    rest = spark.range(40_000).select(F.concat(F.lit("k"), F.col("id") % 20_000).alias("k"), at)
+    hot = spark.range(20_000).select(F.lit("hot").alias("k"), at)
+    find = lambda df: orphan_references({"x": (df, F.col("k"), F.col("at"))}, p, F.col("k"), F.col("born"), F.col("died"))
+    hints = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
+    o = find(hot.unionByName(rest))
+    got = {(r["kind"], r["n"]) for r in o.groupBy("kind").agg(F.sum("n_rows").alias("n")).collect()}
+    assert got == {("late", 6667), ("missing", 40_000)}
+    assert hints(o) >= 3 and hints(find(rest)) == 0
 
 
 def star(rnd, n):
