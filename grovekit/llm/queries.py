@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grovekit.llm.canon import canonical_entries, entries_within, unmatched_texts
 from grovekit.llm.leakage import leaked_items
-from grovekit.llm.linkage import link_points
+from grovekit.llm.linkage import link_patterns, link_points
 from grovekit.llm.linkrows import merge_groups
 from grovekit.llm.mixing import mix
 from grovekit.llm.splitting import split_documents
@@ -83,6 +83,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_links(spark, d).select("point_id_a", "point_id_b")
 
 
+def p5_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return link_patterns(table(spark, d, "nz_tree_points"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return merge_groups(spark, d)
 
@@ -120,6 +124,7 @@ QUERIES = {
     "p3_candidates": p3_candidates,
     "p5_found": p5_found,
     "p5_links": p5_links,
+    "p5_patterns": p5_patterns,
     "p6_found": p6_found,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from grovekit.llm.canon import Trie, canonical_entries, entries_within, match_text, reference_trie
-from grovekit.llm.linkage import agreement, candidate_pairs, copy_classes, em, link_points, meant_position, name_parts
+from grovekit.llm.linkage import agreement, candidate_pairs, copy_classes, em, link_patterns, link_points, meant_position, name_parts
 
 REF = [
     (1, "Alunia serrata", "Alunia", "silver bunting", "whārūke; Doria prima", "species"),
@@ -129,6 +129,14 @@ def test_pairs_come_once_and_edges(spark):
     assert agreement(p).where("l_name = 1 and l_dist = 0").agg(F.sum("n_pairs")).first()[0] == 2
 
 
+def test_posterior_decides_where_names_do_not(spark):
+    rows = [(1, "a", "Alunia serrata", 171.6, -44.3), (2, "b", "Alunia serrata", 171.6, -44.3), (3, "c", None, 171.6, -44.3)]
+    got = lambda least: {(r[0], r[1]) for r in link_points(points(spark, rows), least_confidence=least).select("point_id_a", "point_id_b").collect()}
+    assert got(0.0) == {(1, 2), (1, 3), (2, 3)} and got(1.1) == {(1, 2)}
+    t = {(r["l_dist"], r["l_name"]): r for r in link_patterns(points(spark, rows)).collect()}
+    assert len(t) == 15 and t[(0, 0)]["n_pairs"] == 1 and t[(0, 1)]["n_pairs"] == 2 and t[(0, 0)]["link"] and not t[(4, 0)]["link"]
+
+
 def test_em_separates():
     post, share = em(np.array([[900, 40], [80, 60], [10, 900]], float), (3, 2))
     assert post[0, 0] > 0.95 and post[2, 1] < 0.05 and 0.3 < share < 0.7
