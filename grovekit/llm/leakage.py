@@ -1,8 +1,8 @@
 """Evaluation texts leaking into training text.
 
-The test items form a BM25 inverted index with block-max impacts. Every passage of every document is a query; a
-passage is scored by WAND only where its upper bound reaches the lowest score that half an item can have, all
-items above their threshold are retrieved, and the overlap is then verified word by word.
+The test items form a BM25 inverted index with block-max impacts. Every passage of every document is a query; blocks of items
+whose summed maxima stay under the threshold are skipped, the postings of the others are scored, all items above
+their threshold are retrieved, and the overlap is then verified word by word.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from grovekit.session import bounded_collect, union_all
 
 ITEMS_MOST = 1_000_000
-ITEMS_AT_ONCE = 2_000
+#: items in one index, and in one scan of the corpus, which holds several indexes in each worker
+INDEX_ITEMS, ITEMS_AT_ONCE = 2_000, 20_000
 K1, B = 1.2, 0.75
 POSTINGS_BLOCK = 16
-#: share of an item that must be there, and of its score that mistyped words may take away
-SHARE = 0.5
-TYPO_LOSS = 0.35
-#: share of the neighbouring word pairs of half an item that must be there before the overlap is verified
-PAIRS = 0.4
+#: share of an item that must be there in one stretch, of whose words every ERROR_EVERYth may be mistyped
+SHARE, ERROR_EVERY = 0.5, 3
+#: words split or run together by layout: so many in any stretch, and one in so many words of an item
+LAYOUT_LEAST, LAYOUT_EVERY = 4, 8
 TOKEN = re.compile(r"[^\W_]+")
 INLINE = re.compile(r"</?(?:i|b|em|strong|u|span|a|code|mark|sub|sup|small|font|s|tt)\b[^<>]*>", re.I)
 MARKS = re.compile("[\u0300-\u036f]+")
@@ -93,7 +93,11 @@ class Item:
         ids = [term[w] for w in self.words]
         for j, (a, b) in enumerate(zip(ids, ids[1:])):
             self.pairs.setdefault(a << 32 | b, []).append(j)
-        self.pairs_least = PAIRS * SHARE * len(self.pairs)
+        # the fewest distinct pairs that a stretch of half the item keeps if no error is nearer than ERROR_EVERY to
+        # the next: one pair in ERROR_EVERY at least, less those that occur twice
+        need = max(1, int(len(ids) * SHARE) - 1)
+        twice = len(ids) - 1 - len(self.pairs)
+        self.pairs_least = max(1, (need - 1) * (ERROR_EVERY - 2) // ERROR_EVERY - twice)
 
 
 class ItemIndex:
@@ -114,18 +118,27 @@ class ItemIndex:
             theta = self._least(item, impact)
             for w, v in impact.items():
                 post.setdefault(w, []).append((k, v / theta))
-        # term 0 is every word that no item holds; postings in item order, and per block of items the largest
-        # impact of each term
+        # term 0 is every word that no item holds
         self.term = {w: k for k, w in enumerate(sorted(post), 1)}
         for item in self.items:
             item.number(self.term)
+        # per block of items the largest impact of each term, and its postings as one small matrix, so that a block
+        # under the threshold is skipped without touching them
         self.n_blocks = len(self.items) // POSTINGS_BLOCK + 1
         self.block = np.zeros((len(post) + 1, self.n_blocks), dtype=np.float32)
-        self.post: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, dtype=np.int64), np.empty(0))]
+        held: list[dict[int, np.ndarray]] = [{} for _ in range(self.n_blocks)]
         for w in sorted(post):
-            who, v = np.array([p[0] for p in post[w]]), np.array([p[1] for p in post[w]])
-            np.maximum.at(self.block[len(self.post)], who // POSTINGS_BLOCK, v.astype(np.float32) * 1.00001)
-            self.post.append((who, v))
+            t = self.term[w]
+            for k, v in post[w]:
+                held[k // POSTINGS_BLOCK].setdefault(t, np.zeros(POSTINGS_BLOCK))[k % POSTINGS_BLOCK] = v
+        self.place = np.zeros((len(post) + 1, self.n_blocks), dtype=np.int32)
+        rows = [np.zeros(POSTINGS_BLOCK)]
+        for b, of in enumerate(held):
+            for t, v in sorted(of.items()):
+                self.place[t, b] = len(rows)
+                self.block[t, b] = np.float32(v.max()) * np.float32(1.00001)
+                rows.append(v)
+        self.impacts = np.array(rows)
         self.top = self.block.max(axis=1).astype(np.float64)
         # a stretch of half the longest item lies whole inside some passage
         half = int(math.ceil(self.longest * SHARE)) + 16
@@ -134,31 +147,44 @@ class ItemIndex:
 
     @staticmethod
     def _least(item: Item, impact: dict[str, float]) -> float:
-        """Lowest score of an unbroken half of the item, less what mistyped words may take."""
+        """Lowest score of an unbroken half of the item whose dearest words, one in ERROR_EVERY, are mistyped."""
         n, need = len(item.words), max(1, int(len(item.words) * SHARE) - 1)
-        best = min(sum(impact[w] for w in set(item.words[s : s + need])) for s in range(n - need + 1))
-        return max(1e-9, best * (1 - TYPO_LOSS))
+        wrong = -(-need // ERROR_EVERY) if need >= ERROR_EVERY else 0
+        best = math.inf
+        for s in range(n - need + 1):
+            v = sorted((impact[w] for w in set(item.words[s : s + need])), reverse=True)
+            best = min(best, sum(v[wrong:]) or v[-1])
+        return max(1e-9, best * 0.9999)
 
     def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """(item number, score) of all items with a score of at least 1 for distinct terms.
 
-        Block-max pruning: the maxima of the terms' blocks are added up first, and postings are scored only in the
-        blocks of items whose bound reaches the threshold.
+        The maxima of the terms in each block of items are added up first; only blocks whose bound reaches the
+        threshold have their postings read.
         """
-        alive = self.block[terms].sum(axis=0) >= 1
-        if not alive.any():
+        alive = np.flatnonzero(self.block[terms].sum(axis=0) >= 1)
+        if not alive.size:
             return []
-        who = np.concatenate([self.post[t][0] for t in terms])
-        v = np.concatenate([self.post[t][1] for t in terms])
-        keep = alive[who // POSTINGS_BLOCK]
-        score = np.bincount(who[keep], v[keep], len(self.items))
-        return [(int(i), float(score[i])) for i in np.flatnonzero(score >= 1)]
+        score = self.impacts[self.place[terms][:, alive]].sum(axis=0)
+        return [(int(alive[b]) * POSTINGS_BLOCK + int(i), float(score[b, i])) for b, i in np.argwhere(score >= 1)]
 
 
 def overlap(item: Item, words: list[str], pairs: list[int], lo: int, hi: int) -> float:
-    """Largest share of the item's words found as one unbroken stretch of words[lo:hi], single mistyped words and
-    words split or run together by layout allowed. A stretch is grown from each pair of neighbouring words."""
+    """Largest share of the item's words found as one unbroken stretch that reaches into words[lo:hi], single mistyped
+    words and words split or run together by layout allowed. A stretch is grown from each pair of neighbouring words.
+
+    A stretch keeps the distance of its places in text and item but for words split or run together, so where no band
+    of neighbouring distances holds the fewest pairs of half an item, nothing is grown."""
     w, n, best, seen = item.words, len(item.words), 0, set()
+    seeds = [(p, q) for p in range(lo, hi - 1) if pairs[p] in item.pairs for q in item.pairs[pairs[p]]]
+    if len(seeds) < item.pairs_least:
+        return 0.0
+    off = sorted(p - q for p, q in seeds)
+    k, band = int(item.pairs_least) - 1, LAYOUT_LEAST + n // LAYOUT_EVERY
+    if not any(b - a <= band for a, b in zip(off, off[k:])):
+        return 0.0
+    reach = n + 8
+    lo, hi = max(0, lo - reach), min(len(words), hi + reach)
 
     def extend(p: int, q: int, step: int) -> tuple[int, int]:
         wrong = 0
@@ -177,25 +203,21 @@ def overlap(item: Item, words: list[str], pairs: list[int], lo: int, hi: int) ->
                 break
         return p, q
 
-    for p in range(lo, hi - 1):
-        if pairs[p] not in item.pairs:
+    for p, q in seeds:
+        if (p - q, q) in seen:
             continue
-        for q in item.pairs[pairs[p]]:
-            if (p - q, q) in seen:
-                continue
-            p1, q1 = extend(p, q, 1)
-            _, q0 = extend(p - 1, q - 1, -1)
-            seen.update((p - q, j) for j in range(q, q1))
-            if q1 - q0 - 1 > max(2, best):
-                full = Counter(item.unit[q0 + 1 : q1])
-                whole = sum(1 for u, c in full.items() if c == item.unit.count(u))
-                best = max(best, whole)
+        p1, q1 = extend(p, q, 1)
+        _, q0 = extend(p - 1, q - 1, -1)
+        seen.update((p - q, j) for j in range(q, q1))
+        if q1 - q0 - 1 > max(2, best):
+            full = Counter(item.unit[q0 + 1 : q1])
+            whole = sum(1 for u, c in full.items() if c == item.unit.count(u))
+            best = max(best, whole)
     return best / max(1, item.n_units)
 
 
-def find_leaks(index: ItemIndex, text: str) -> list[tuple[int, float, float]]:
-    """(item id, share, score) of the items that leaked into one text."""
-    words = normal_words(text)
+def find_leaks(index: ItemIndex, words: list[str]) -> list[tuple[int, float, float]]:
+    """(item id, share, score) of the items that leaked into a text of these words."""
     n = len(words)
     ids = np.fromiter(map(index.term.get, words, repeat(0)), dtype=np.int32, count=n)
     total = np.concatenate([[0.0], np.cumsum(index.top[ids])])
@@ -215,18 +237,17 @@ def find_leaks(index: ItemIndex, text: str) -> list[tuple[int, float, float]]:
             item = index.items[k]
             if found.get(item.id, (0.0, 0.0))[0] >= 1 or len(item.pairs.keys() & here) < item.pairs_least:
                 continue
-            reach = len(item.words) + 8
-            share = overlap(item, words, pairs, max(0, lo - reach), min(n, hi + reach))
+            share = overlap(item, words, pairs, lo, hi)
             if share >= SHARE:
                 found[item.id] = max(found.get(item.id, (0.0, 0.0)), (share, score))
     return [(i, s, c) for i, (s, c) in sorted(found.items())]
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, items_at_once: int = ITEMS_AT_ONCE, index_items: int = INDEX_ITEMS) -> DataFrame:
     """(doc_id, item_id, share, score) of the documents that hold at least half of an item in one stretch.
 
-    Whole texts are searched. Items are taken in blocks of items_at_once, each an index on the workers, so any
-    number of items works (ITEMS_MOST guards the driver). Null and empty texts and items give no rows; repeated
+    Whole texts are searched, in one scan for items_at_once items, whose indexes of index_items each the workers
+    hold; more items take further scans (ITEMS_MOST guards the driver). Null and empty texts and items give no rows; repeated
     rows of a document give one row per item.
     """
     rows = sorted(tuple(r) for r in bounded_collect(items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct(), ITEMS_MOST, "items"))
@@ -236,17 +257,21 @@ def leaked_items(documents: DataFrame, items: DataFrame, items_at_once: int = IT
     parts = []
     it = iter(rows)
     while block := list(islice(it, items_at_once)):
-        parts.append(docs.mapInPandas(_searcher(block), "doc_id long, item_id long, share double, score double"))
+        parts.append(docs.mapInPandas(_searcher(block, index_items), "doc_id long, item_id long, share double, score double"))
     return union_all(parts).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("score").alias("score"))
 
 
-def _searcher(block: list[tuple[int, str]]):
-    kept: dict[str, ItemIndex] = {}
+def _searcher(items: list[tuple[int, str]], index_items: int):
+    kept: list[ItemIndex] = []
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = kept.setdefault("index", ItemIndex(block))
+        if not kept:
+            kept.extend(ItemIndex(items[lo : lo + index_items]) for lo in range(0, len(items), index_items))
         for pdf in batches:
-            out = [(d, *leak) for d, t in zip(pdf["doc_id"], pdf["text"]) for leak in find_leaks(index, t)]
+            out = []
+            for d, t in zip(pdf["doc_id"], pdf["text"]):
+                words = normal_words(t)
+                out += [(d, *leak) for index in kept for leak in find_leaks(index, words)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "share", "score"])
 
     return search

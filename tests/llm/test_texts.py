@@ -34,9 +34,25 @@ def test_leaks_in_disguise(items):
         "lines": "\r\n".join(w), "punctuation": ", ".join(w), "typos": " ".join(typo), "half": " ".join(w[5 : 5 + len(w) // 2 + 2]), "hyphen": " ".join(w[:10]) + " " + w[10][:3] + "-\n" + w[10][3:] + " " + " ".join(w[11:]),
     }
     for name, t in cases.items():
-        assert 7 in [i for i, _, _ in find_leaks(ix, f"{pad()} {t} {pad()}")], name
+        assert 7 in [i for i, _, _ in find_leaks(ix, normal_words(f"{pad()} {t} {pad()}"))], name
     for t in (" ".join(w[: len(w) // 2 - 3]), " ".join(w[::2]), " ".join(sorted(w)), pad(), "", "a"):
-        assert 7 not in [i for i, _, _ in find_leaks(ix, f"{pad()} {t}")]
+        assert 7 not in [i for i, _, _ in find_leaks(ix, normal_words(f"{pad()} {t}"))]
+
+
+def test_half_with_a_mistyped_word_in_every_third_place(items):
+    ix = ItemIndex(items)
+    rnd = random.Random(21)
+    for i, t in items:
+        w = t.split()
+        need = -(-len(w) // 2) + 1
+        for start in (0, (len(w) - need) // 2, len(w) - need):
+            for first in range(3):
+                part = w[start : start + need]
+                part[first::3] = [x[:-1] + "q" for x in part[first::3]]
+                doc = f"{text(rnd, 60)} {' '.join(part)} {text(rnd, 60)}"
+                hit = [s for k, s, _ in find_leaks(ix, normal_words(doc)) if k == i]
+                # a mistyped word at the rim of a stretch cannot be told from the text around it
+                assert hit or first != 1, (i, start, first)
 
 
 def test_retrieval_equals_exhaustive_scores(items):
@@ -47,10 +63,7 @@ def test_retrieval_equals_exhaustive_scores(items):
     for _ in range(30):
         t = text(rnd, 40) + " " + " ".join(rnd.choice(items)[1].split()[:25])
         terms = np.array(sorted({ix.term[w] for w in normal_words(t) if w in ix.term}))
-        score = np.zeros(len(ix.items))
-        for k in terms:
-            who, v = ix.post[k]
-            score[who] += v
+        score = ix.impacts[ix.place[terms]].sum(axis=0).ravel()[: len(ix.items)]
         assert {i for i, _ in ix.retrieve(terms)} == {int(i) for i in np.flatnonzero(score >= 1)}
 
 
@@ -59,6 +72,7 @@ def test_leak_table_edges(spark, items):
     docs = [(1, items[3][1]), (2, None), (3, ""), (4, text(rnd, 60_000) + " " + items[9][1]), (1, items[3][1])]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1))
     i = spark.createDataFrame([*items, (99, None), (98, ""), (items[3][0], items[3][1])], "item_id long, text string").withColumn("doc_id", F.lit(5))
+    assert len(leaked_items(d, i, index_items=6).collect()) == 2
     got = leaked_items(d, i).select("doc_id", "item_id").collect()
     assert sorted(map(tuple, got)) == [(1, 3), (4, 9)]
     assert sorted(map(tuple, leaked_items(d, i, items_at_once=6).select("doc_id", "item_id").collect())) == [(1, 3), (4, 9)]
