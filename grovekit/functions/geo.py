@@ -143,3 +143,16 @@ def clip_convex(subject, clip):
         if not out:
             break
     return out
+
+
+def meant_position(lon: Column, lat: Column, west: float, south: float, north: float) -> Column:
+    """struct(lon, lat) of a position as meant in an area between `west` and the date line, the strip from there to
+    175 W included. Swapped coordinates are turned back, a lost minus sign of the latitude is restored; anything else
+    outside the area, and null and NaN, is null."""
+    lo, la = lon.cast("double"), lat.cast("double")
+
+    def way(a: Column, b: Column) -> Column:
+        ok = ~F.isnan(a) & ~F.isnan(b) & (a.between(west, 180.0) | a.between(-180.0, -175.0)) & b.between(south, north)
+        return F.when(ok, F.struct(a.alias("lon"), b.alias("lat")))
+
+    return F.coalesce(way(lo, la), way(la, lo), way(lo, -la), way(la, -lo))

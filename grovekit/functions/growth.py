@@ -171,3 +171,9 @@ def root_zone(dbh_cm: Column, crown_radius: Column, sealed: Column, factor: floa
         rpa.alias("protection_m"), reach.alias("foraging_m"), F.sqrt(area / math.pi).alias("effective_m"), area.alias("effective_area_m2"),
         F.when(sealed.isNull(), "not_assessed").when(sealed >= 0.6, "severe").when(sealed >= 0.3, "moderate").otherwise("low").alias("flag"),
     )
+
+
+def crown_radius(h: Column, rate: float = 0.45, least: float = 1.2, most: float = 5.0, unknown: float = 2.0) -> Column:
+    """Radius in metres of the circular crown of a small tree; without a height that of a common one."""
+    v = F.nanvl(h.cast("double"), F.lit(None).cast("double"))
+    return F.when(v.isNull(), F.lit(unknown)).otherwise(F.least(F.greatest(v * rate, F.lit(least)), F.lit(most)))

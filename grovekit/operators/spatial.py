@@ -76,6 +76,12 @@ def nearest_within(a: DataFrame, b: DataFrame, a_cols: tuple[str, str, str], b_c
     return p.groupBy("a_id").agg(F.min(F.struct("d", "b_id")).alias("m")).select("a_id", c("m.b_id").alias("b_id"), c("m.d").alias("d"))
 
 
+def without_near(a: DataFrame, a_cols: tuple[str, str, str], b: DataFrame, b_cols: tuple[str, str, str], radius: float) -> DataFrame:
+    """Rows of a with no b at most `radius` away; rows without a position stay."""
+    hit = near_join(a, b, a_cols, b_cols, radius).select(c("a_id").alias(a_cols[0])).distinct()
+    return a.join(hit, a_cols[0], "left_anti")
+
+
 def k_nearest(a: DataFrame, b: DataFrame, a_cols: tuple[str, str, str], b_cols: tuple[str, str, str], k: int, start: float, most: float, skip_self: bool = False) -> DataFrame:
     """(a_id, rank, b_id, d) of the k nearest b of each a within `most`, by growing rings.
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovekit.functions import filters, ids, text
+from grovekit.functions.geo import meant_position
 from grovekit.operators import publish as op
 from grovekit.operators import relational as rel
 from grovekit.operators import spatial as sp
 from grovekit.plans.scalars import ADDRESS_SQL, _address
 from grovekit.plans.spatial import CUST, ID, PIP, XY, XY_SQL, customers, points, regions
-from grovekit.session import plain_id, table
+from grovekit.session import bounded_collect, current, plain_id, table
 
 c = F.col
 
@@ -50,7 +51,8 @@ def shard_reconciliation(s, d):
 
 
 def nearby_cells(s, d):
-    p = table(s, d, "trees").where("lon between 170 and 180 and lat between -50 and -30").select(plain_id("tree_id").alias("tree_id"), "lon", "lat").distinct()
+    at = meant_position(c("lon"), c("lat"), 160.0, -55.0, -25.0)
+    p = table(s, d, "trees").select(plain_id("tree_id").alias("tree_id"), at.alias("at")).where("at is not null").select("tree_id", "at.lon", "at.lat").distinct()
     return op.cell_index(p, "lon", "lat", ["tree_id"], 1000).select("cell", "n", F.element_at("members", 1)["tree_id"].alias("first"))
 
 
@@ -68,7 +70,7 @@ def universal_search(s, d):
 
 
 def alias_resolve(s, d):
-    l = table(s, d, "tree_crown_lineage_v5").where("snapshot_no = 4")
+    l = current(table(s, d, "tree_crown_lineage_v5"))
     t = op.alias_table(l, "old_seg_key", "new_seg_key", l, "new_seg_key")
     asked = table(s, d, "tree_crown_lineage_v5").where("snapshot_no = 1").select("old_seg_key").distinct()
     return op.resolve(asked, "old_seg_key", t).groupBy("status").agg(F.count("*").alias("n"))
@@ -109,7 +111,7 @@ def training_manifest(s, d):
 
 def block_splits(s, d):
     p = points(s, d).groupBy(F.concat_ws("_", F.floor(c("x") / 200), F.floor(c("y") / 200)).alias("block")).agg(F.count("*").alias("n"))
-    rows = [(r["block"], r["n"]) for r in p.collect()]  # one row per block of the area
+    rows = [(r["block"], r["n"]) for r in bounded_collect(p, 1_000_000, "blocks")]  # the running assignment is sequential by nature
     got = rel.deficit_splits(rows, {"train": 0.7, "calibration": 0.15, "test": 0.15})
     return s.createDataFrame([(b, n, got[b]) for b, n in rows], "block string, n long, split string")
 
@@ -203,8 +205,8 @@ SQL = {
     "filter_dsl_eval": "select source_primary, owner_class, count(*) n from trees where source_primary in ('tree_register', 'park_survey', 'notable_overlay') and coalesce(species_confidence, 'unknown') <> 'guessed' and (coalesce(is_protected_notable = 1, false) or coalesce(lat, -90) >= -37.235) and coalesce(owner_class, '-') not in ('-', '?', 'unknown') and record_role in ('authoritative_inventory', 'public_observation') and retired_at is null group by 1, 2",
     "filter_selection": "select 0::bigint n_none, count(*) filter (where source_primary = 'tree_register') n_some, count(*) n_all from trees",
     "shard_reconciliation": f"select count(distinct {ID}) n, count(distinct {ID}) n_right from trees",
-    "nearby_cells": f"with t as (select distinct {ID} tree_id, lon, lat from trees where lon between 170 and 180 and lat between -50 and -30) select floor(lon * 1000)::bigint || '_' || floor(lat * 1000)::bigint cell, count(*) n, min(tree_id) as first from t group by 1",
-    "alias_resolve": "with l as (select distinct old_seg_key o, new_seg_key n from tree_crown_lineage_v5 where snapshot_no = 4), p as (select n, count(*) k from l group by 1), s as (select o, count(*) c, max(k) k from l join p using (n) group by 1), a as (select distinct old_seg_key o from tree_crown_lineage_v5 where snapshot_no = 1) select case when c is null then 'unknown' when c > 1 then 'split' when k > 1 then 'merged' else 'current' end status, count(*) n from a left join s using (o) group by 1",
+    "nearby_cells": f"with m as (select {ID} tree_id, list_filter([{{'x': lon, 'y': lat}}, {{'x': lat, 'y': lon}}, {{'x': lon, 'y': -lat}}, {{'x': lat, 'y': -lon}}], lambda p: not isnan(p.x) and not isnan(p.y) and (p.x between 160 and 180 or p.x between -180 and -175) and p.y between -55 and -25)[1] p from trees), t as (select distinct tree_id, p.x lon, p.y lat from m where p is not null) select floor(lon * 1000)::bigint || '_' || floor(lat * 1000)::bigint cell, count(*) n, min(tree_id) as first from t group by 1",
+    "alias_resolve": "with l as (select distinct old_seg_key o, new_seg_key n from tree_crown_lineage_v5 where snapshot_no = (select max(snapshot_no) from tree_crown_lineage_v5)), p as (select n, count(*) k from l group by 1), s as (select o, count(*) c, max(k) k from l join p using (n) group by 1), a as (select distinct old_seg_key o from tree_crown_lineage_v5 where snapshot_no = 1) select case when c is null then 'unknown' when c > 1 then 'split' when k > 1 then 'merged' else 'current' end status, count(*) n from a left join s using (o) group by 1",
     "species_maxima_badges": f"with a as (select {ID} tree_id, max(height_max_m) h, max(crown_volume_m3) v from tree_assets_pilot group by 1), t as (select {ID} tree_id, min(species_latin) species from trees where species_latin is not null group by 1), x as (select tree_id, species, 'height' measure, h val from t join a using (tree_id) where h is not null union all select tree_id, species, 'volume', v from t join a using (tree_id) where v is not null), r as (select *, row_number() over (partition by species, measure order by val desc, tree_id) i from x) select species, measure, max(tree_id) filter (where i = 1) leader, max(val) filter (where i = 1) as value, max(val) filter (where i = 2) as next, coalesce(max(val) filter (where i = 1) - max(val) filter (where i = 2) < 0.5, false) within_margin from r where i <= 2 group by 1, 2",
     "comparison_board_class": f"with {PIP}, f as (select p_id k, first(region_id order by rk, region_id) region_id from hit group by 1), j as (select region_id, seg, v from f join cust using (k)) select region_id, seg, count(*) n, case when count(*) > 5 then list_transform(quantile_cont(v, [0.1, 0.25, 0.5, 0.75, 0.9]), lambda x: round(x, 4)) end q, case when count(*) <= 5 then list_sort(list(v)) end exact from j group by 1, 2",
     "parcel_summary": f"with {PIP}, f as (select p_id k, min(region_id) region_id from hit group by 1), j as (select region_id, k, v, row_number() over (partition by region_id order by v desc, k) i, row_number() over (partition by region_id order by v desc, k desc) i2 from f join cust using (k)) select region_id, count(*) n, count(*) filter (where v > 0) n_confident, round(sum(v), 2) as value, max(k) filter (where i2 = 1) top, string_agg(k, ',' order by i) filter (where i <= 3) best from j group by 1",
@@ -214,6 +216,6 @@ SQL = {
     "conflict_reasons": "with n as (select cluster_id, created_at_utc, count(distinct nullif(lower(trim(member_tree_id, ' ' || chr(9))), '')) n, max(cluster_size) t, sum(coalesce(is_primary, 0)) p, count(distinct nullif(lower(trim(primary_tree_id, ' ' || chr(9))), '')) k from tree_crown_merge_pilot where cluster_id is not null group by 1, 2) select concat_ws('; ', case when n <> t then 'wrong size' end, case when p = 0 then 'no primary' end, case when p > 1 then 'several primaries' end, case when k > 1 then 'contradicting ids' end) reasons, count(*) n from n group by 1",
     "view_states": f"with {ADDRESS_SQL}, e as (select k, replace(replace(replace(url_encode(street), '%20', '+'), '%2A', '*'), '~', '%7E') st, replace(url_encode(suburb), '%20', '+') su, replace(url_encode(unit), '%20', '+') un from addr) select k, concat_ws('&', 'q=' || st, 's=' || su, 'u=' || un) url, true same from e",
     "unified_points": "with c as (select point_id id, trim(regexp_replace(scientific_name, '\\s+', ' ', 'g')) a, trim(regexp_replace(species_or_name, '\\s+', ' ', 'g')) b, height_m, try_cast(json_extract_string(properties_json, '$.crew') as int) crew from nz_tree_points) select id, coalesce(case when lower(a) not in ('', 'unknown', 'unk', 'n/a', 'na', 'none', 'null', '<blank>') then a end, case when lower(b) not in ('', 'unknown', 'unk', 'n/a', 'na', 'none', 'null', '<blank>') then b end) as name, height_m height, crew from c",
-    "incremental_rebuild": "select distinct new_seg_key, old_overlapping_crowns from v5_lineage_new_summary where snapshot_no = 4",
+    "incremental_rebuild": "select distinct new_seg_key, old_overlapping_crowns from v5_lineage_new_summary where snapshot_no = (select max(snapshot_no) from v5_lineage_new_summary)",
     "street_nearby": f"with {CUST}, {XY_SQL}, j as (select k a_id, tree_id b_id, sqrt((cust.x - xy.x) * (cust.x - xy.x) + (cust.y - xy.y) * (cust.y - xy.y)) d from cust, xy where abs(cust.x - xy.x) <= 20 and abs(cust.y - xy.y) <= 20) select a_id, b_id, row_number() over (partition by a_id order by d, b_id)::int as rank from j where d <= 20 qualify rank <= 50",
 }

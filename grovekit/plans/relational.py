@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovekit.operators import relational as op
-from grovekit.session import plain_id, table, union_all
+from grovekit.session import current, plain_id, table, union_all
 
 c = F.col
 ID = "nullif(lower(trim(tree_id, ' ' || chr(9))), '')"
@@ -227,7 +227,7 @@ def winners_losers_rows(s, d):
 
 
 def softmax_rank(s, d):
-    l = table(s, d, "tree_crown_lineage_v5").where("snapshot_no = 4 and intersection_m2 is not null").select("new_seg_key", "old_seg_key", c("intersection_m2").alias("u")).distinct()
+    l = current(table(s, d, "tree_crown_lineage_v5")).where("intersection_m2 is not null").select("new_seg_key", "old_seg_key", c("intersection_m2").alias("u")).distinct()
     l = l.groupBy("new_seg_key", "old_seg_key").agg(F.max("u").alias("u"))
     r = op.softmax_ranks(l.withColumn("u", c("u") / 10), ["new_seg_key"], "u", "old_seg_key")
     return r.select("new_seg_key", "old_seg_key", "rank", F.round("p_local", 9).alias("p"), F.round("margin", 6).alias("margin"))
@@ -275,7 +275,7 @@ def modal_value(s, d):
 
 def union_current_legacy(s, d):
     l = table(s, d, "tree_crown_lineage_v5")
-    new = l.where("snapshot_no = 4").select("new_seg_key", "intersection_m2")
+    new = current(l).select("new_seg_key", "intersection_m2")
     old = l.where("snapshot_no = 1").select("new_seg_key", "old_seg_key")
     return op.union_versions(new, old).groupBy("is_current").agg(F.count("*").alias("n"), F.count("intersection_m2").alias("n_area"), F.count("old_seg_key").alias("n_old"))
 
@@ -343,7 +343,7 @@ def rule_cascade(s, d):
 
 
 def evidence_tier(s, d):
-    g = table(s, d, "tree_crown_lineage_v5").where("snapshot_no = 4").groupBy("new_seg_key").agg(F.max("new_fraction").alias("f"), F.max("old_fraction").alias("o"), F.count("*").alias("n"))
+    g = current(table(s, d, "tree_crown_lineage_v5")).groupBy("new_seg_key").agg(F.max("new_fraction").alias("f"), F.max("old_fraction").alias("o"), F.count("*").alias("n"))
     tier = F.when((c("f") >= 0.8) & (c("o") >= 0.5), "A").when(c("f") >= 0.5, "B").when(c("f") > 0, "C").otherwise("D")
     why = op.reasons([(c("f") < 0.5, "small share"), (c("o") < 0.5, "old crown split"), (c("n") > 3, "many parents")])
     return g.groupBy(tier.alias("tier"), why.alias("reasons")).agg(F.count("*").alias("n"))
@@ -409,7 +409,7 @@ SQL = {
     "area_summary": f"with a as (select tree_id, height_max_m h, crown_volume_m3 v, growth_setting, life_stage from {_one_sql('tree_assets_pilot', ['height_max_m', 'crown_volume_m3', 'growth_setting', 'life_stage'])}) select growth_setting, count(*) n, round(avg(case when h < 55 then h end), 6) mean_h, (list(case when coalesce(h < 55, true) then tree_id end order by case when h < 55 then h else -1 end desc, tree_id desc))[1] tallest, round(sum(v), 3) volume, count(*) filter (where life_stage = 'mature') n_mature, count(*) filter (where h >= 55) n_flagged from a group by 1",
     "primary_selection": "with m as (select cluster_id, created_at_utc, nullif(lower(trim(member_tree_id, ' ' || chr(9))), '') m, is_primary, member_source from tree_crown_merge_pilot where cluster_id is not null) select cluster_id, created_at_utc::varchar run, m from m qualify row_number() over (partition by cluster_id, created_at_utc order by is_primary desc nulls last, member_source asc nulls last, m) = 1",
     "winners_losers_rows": "with m as (select distinct nullif(lower(trim(member_tree_id, ' ' || chr(9))), '') m, cluster_id || '@' || created_at_utc::varchar k, cluster_size from tree_crown_merge_pilot where cluster_id is not null), r as (select *, row_number() over (partition by m order by cluster_size desc nulls last, k) i, count(*) over (partition by m) n from m) select a.m, b.k winner, a.k loser from r a join r b on a.m = b.m and b.i = 1 where a.i > 1",
-    "softmax_rank": "with l as (select new_seg_key, old_seg_key, max(intersection_m2) / 10 u from tree_crown_lineage_v5 where snapshot_no = 4 and intersection_m2 is not null group by 1, 2), r as (select *, row_number() over w as rank, exp(u - max(u) over (partition by new_seg_key)) e, u - lead(u) over w margin from l window w as (partition by new_seg_key order by u desc, old_seg_key)), p as (select *, e / sum(e) over (partition by new_seg_key) p from r) select new_seg_key, old_seg_key, rank::int as rank, round(p, 9) p, round(margin, 6) margin from p where rank <= 3",
+    "softmax_rank": "with l as (select new_seg_key, old_seg_key, max(intersection_m2) / 10 u from tree_crown_lineage_v5 where snapshot_no = (select max(snapshot_no) from tree_crown_lineage_v5) and intersection_m2 is not null group by 1, 2), r as (select *, row_number() over w as rank, exp(u - max(u) over (partition by new_seg_key)) e, u - lead(u) over w margin from l window w as (partition by new_seg_key order by u desc, old_seg_key)), p as (select *, e / sum(e) over (partition by new_seg_key) p from r) select new_seg_key, old_seg_key, rank::int as rank, round(p, 9) p, round(margin, 6) margin from p where rank <= 3",
     "gaps_islands_runs": "with e as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) > interval 6 hours or lag(ts) over (partition by user_id order by ts, event_id) is null then 1 else 0 end b from events), i as (select *, sum(b) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint island from e), p as (select *, row_number() over (partition by user_id, island order by ts, event_id) place from i) select event_id, user_id, island, place::int place, ((place - 1) // 12 + 1)::int piece from p",
     "group_transform": "select point_id, source_slug, count(*) over w as size, n_names, max(height_m) over w max_h from nz_tree_points join (select source_slug, count(distinct scientific_name) n_names from nz_tree_points group by 1) using (source_slug) window w as (partition by source_slug)",
     "top_k_per_parcel": "select c_nationkey, o_orderkey, o_totalprice, row_number() over (partition by c_nationkey order by o_totalprice desc, o_orderkey)::int as rank from orders join customer on o_custkey = c_custkey qualify rank <= 20",
@@ -417,7 +417,7 @@ SQL = {
     "newest_first": "select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc)::int as rank from events qualify rank <= 5",
     "next_leader_margin": f"with a as (select * from {_one_sql('tree_assets_pilot', ['height_max_m', 'growth_setting'])} where height_max_m is not null), r as (select *, row_number() over (partition by growth_setting order by height_max_m desc, tree_id) i from a), g as (select growth_setting, max(tree_id) filter (where i = 1) leader, max(height_max_m) filter (where i = 1) as value, max(height_max_m) filter (where i = 2) as next from r where i <= 2 group by 1) select growth_setting, leader, value, next, round(value - next, 6) margin, coalesce(value - next < 0.5, false) within_margin from g",
     "modal_value": "with n as (select source_primary, owner_class, count(*) k from trees where owner_class is not null group by 1, 2) select source_primary, first(owner_class order by k desc, owner_class) owner_class from n group by 1",
-    "union_current_legacy": "select 1 is_current, count(*) n, count(intersection_m2) n_area, 0::bigint n_old from tree_crown_lineage_v5 where snapshot_no = 4 union all select 0, count(*), 0, count(old_seg_key) from tree_crown_lineage_v5 where snapshot_no = 1",
+    "union_current_legacy": "select 1 is_current, count(*) n, count(intersection_m2) n_area, 0::bigint n_old from tree_crown_lineage_v5 where snapshot_no = (select max(snapshot_no) from tree_crown_lineage_v5) union all select 0, count(*), 0, count(old_seg_key) from tree_crown_lineage_v5 where snapshot_no = 1",
     "except_both_ways": "with a as (select new_seg_key, old_overlapping_crowns from v5_lineage_new_summary where snapshot_no = 1), b as (select new_seg_key, old_overlapping_crowns from v5_lineage_new_summary where snapshot_no = 2) select *, 'a' only_in from (select * from a except select * from b) union all select *, 'b' from (select * from b except select * from a)",
     "upsert_replace": "with v as (select distinct snapshot_no, new_seg_key, old_overlapping_crowns from v5_lineage_new_summary) select * from v where snapshot_no = 2 union all select * from v where snapshot_no = 1 and new_seg_key not in (select new_seg_key from v where snapshot_no = 2)",
     "insert_ignore": "with v as (select distinct snapshot_no, new_seg_key, old_overlapping_crowns from v5_lineage_new_summary) select * from v where snapshot_no = 1 union all select * from v where snapshot_no = 2 and new_seg_key not in (select new_seg_key from v where snapshot_no = 1)",
@@ -429,7 +429,7 @@ SQL = {
     "tile_owner": "select floor(approx_x_m / 250)::bigint tx, floor(approx_y_m / 250)::bigint ty, count(*) n from trees where approx_x_m is not null and approx_y_m is not null group by 1, 2",
     "flag_reasons": "select concat_ws('; ', case when height_max_m > 25 then 'tall' end, case when nearest_tree_m < 2 then 'crowded' end, case when edge_tree = 1 then 'edge' end, case when neighbours_25m is null then 'no neighbours known' end) reasons, count(*) n from tree_assets_pilot group by 1",
     "rule_cascade": "select case when retired_at is not null then 'retired' when is_protected_notable = 1 then 'protected' when starts_with(source_primary, 'lidar') then 'detected' when species_confidence = 'confirmed' then 'certain' end as value, case when retired_at is not null then 'retired_at' when is_protected_notable = 1 then 'notable' when starts_with(source_primary, 'lidar') then 'source' when species_confidence = 'confirmed' then 'confidence' else 'none' end basis, count(*) n from trees group by 1, 2",
-    "evidence_tier": "with g as (select new_seg_key, max(new_fraction) f, max(old_fraction) o, count(*) n from tree_crown_lineage_v5 where snapshot_no = 4 group by 1) select case when f >= 0.8 and o >= 0.5 then 'A' when f >= 0.5 then 'B' when f > 0 then 'C' else 'D' end tier, concat_ws('; ', case when f < 0.5 then 'small share' end, case when o < 0.5 then 'old crown split' end, case when n > 3 then 'many parents' end) reasons, count(*) n from g group by 1, 2",
+    "evidence_tier": "with g as (select new_seg_key, max(new_fraction) f, max(old_fraction) o, count(*) n from tree_crown_lineage_v5 where snapshot_no = (select max(snapshot_no) from tree_crown_lineage_v5) group by 1) select case when f >= 0.8 and o >= 0.5 then 'A' when f >= 0.5 then 'B' when f > 0 then 'C' else 'D' end tier, concat_ws('; ', case when f < 0.5 then 'small share' end, case when o < 0.5 then 'old crown split' end, case when n > 3 then 'many parents' end) reasons, count(*) n from g group by 1, 2",
     "validated_population": "select owner_class, count(*) n from trees where source_primary = 'tree_register' and lon is not null group by 1",
     "lineage_history": "with v as (select distinct new_seg_key, snapshot_no, old_overlapping_crowns from v5_lineage_new_summary) select new_seg_key, string_agg(snapshot_no || ':' || old_overlapping_crowns, ',' order by snapshot_no) history from v group by 1",
     "members_json": "with m as (select distinct cluster_id, created_at_utc, nullif(lower(trim(member_tree_id, ' ' || chr(9))), '') m, member_source s from tree_crown_merge_pilot where cluster_id is not null) select cluster_id, created_at_utc::varchar created_at_utc, '[' || string_agg('{\"member\":\"' || m || '\"' || coalesce(',\"member_source\":\"' || s || '\"', '') || '}', ',' order by m, s nulls first) || ']' members, count(*) n from m group by 1, 2",

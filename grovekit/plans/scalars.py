@@ -189,16 +189,11 @@ def check_numbers(s, d):
     return n.select("k", "number", ids.valid_number(c("number")).alias("ok"), ids.valid_number(ids.number_text(wrong)).alias("typed_ok"))
 
 
-def near_number_candidates_all(s, d):
+def near_number_candidates(s, d):
     n = _numbers(s, d).withColumn("number", ids.number_text(F.concat(F.lit("T"), c("payload"), F.lit("7"))))
     return n.select("k", F.explode(ids.near_numbers(c("number"))).alias("near"))
 
 
-def near_number_candidates(s, d):
-    """The tenth of the customers that its SQL takes; near_number_candidates_all has every one."""
-    return near_number_candidates_all(s, d).where("k % 10 = 0")
-
-
 def key_kinds(s, d):
     t = trees(s, d).select(c("id").alias("key")).unionAll(table(s, d, "tree_crown_lineage_v5").select("new_seg_key")).unionAll(_numbers(s, d).select(F.concat(F.lit("T"), "payload", ids.check_char(c("payload")))))
     return t.groupBy(ids.key_kind(c("key"), "akl_").alias("kind")).agg(F.count("*").alias("n"))
@@ -291,7 +286,7 @@ def root_zones(s, d):
 QUERIES = {f.__name__: f for f in (
     text_clean, species_confidence_class, owner_aliases, name_compatibility, match_classes, flag_labels, growth_class_of_names, taxon_normalise, taxon_keys,
     display_names, street_normalise, unit_number_split, number_parse, address_query_parse, stem_sizes, carbon_by_class, life_stages, fnv_bucket, stable_ids,
-    spatial_folds, check_numbers, near_number_candidates, near_number_candidates_all, key_kinds, significant_figures, fuzzy_scores, one_edit_apart, height_phrases, circle_sizes,
+    spatial_folds, check_numbers, near_number_candidates, key_kinds, significant_figures, fuzzy_scores, one_edit_apart, height_phrases, circle_sizes,
     sentence_flag_counts, record_signatures, pixel_indices, epoch_years, export_values, slippy_tiles, projected_points, root_zones,
 )}
 
@@ -351,7 +346,7 @@ select id, case when f < 6 then 'train' when f < 8 then 'validation' else 'test'
     "check_numbers": f"""with p as (select c_custkey k, {_PAYLOAD} s from customer), q as (select k, s, (32 - {_luhn_sql('s', 6, 2)}) % 32 d from p),
 r as (select k, s, 'T' || s || substr('{ids.ALPHABET}', d::int + 1, 1) number, s || '0' w from q)
 select k, number, true ok, {_luhn_sql('w', 7, 1)} = 0 typed_ok from r""",
-    "near_number_candidates": f"""with p as (select c_custkey k, ({_PAYLOAD}) || '7' s from customer where c_custkey % 10 = 0), bad as (select k, s from p where {_luhn_sql('s', 7, 1)} <> 0),
+    "near_number_candidates": f"""with p as (select c_custkey k, ({_PAYLOAD}) || '7' s from customer), bad as (select k, s from p where {_luhn_sql('s', 7, 1)} <> 0),
 subs as (select k, s, substr(s, 1, i - 1) || substr('{ids.ALPHABET}', a, 1) || substr(s, i + 1) n from bad, (select unnest(range(1, 8))::int i), (select unnest(range(1, 33))::int a)),
 swaps as (select k, s, substr(s, 1, i - 1) || substr(s, i + 1, 1) || substr(s, i, 1) || substr(s, i + 2) n from bad, (select unnest(range(1, 7))::int i)), u as (select k, s, n from subs union select k, s, n from swaps)
 select k, 'T' || n near from u where n <> s and {_luhn_sql('n', 7, 1)} = 0""",
@@ -379,4 +374,3 @@ select id, x, y, round(x / 65536 * 360 - 180, 6) west, round(degrees(atan(sinh(p
 q as (select p, s, pow(greatest(p, c * 1.5), 2) * pi() * (1 - s) a from r)
 select case when s is null then 'not_assessed' when s >= 0.6 then 'severe' when s >= 0.3 then 'moderate' else 'low' end flag, count(*) n, round(sum(p), 4) protection_m, round(sum(a), 3) area_m2 from q group by 1""",
 }
-SQL["near_number_candidates_all"] = SQL["near_number_candidates"].replace(" where c_custkey % 10 = 0", "")

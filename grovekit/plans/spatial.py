@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grovekit.functions import geo, growth
 from grovekit.operators import graph, spatial
 from grovekit.operators import relational as rel
-from grovekit.session import plain_id, table
+from grovekit.session import current, plain_id, table
 
 c = F.col
 ID = "nullif(lower(trim(tree_id, ' ' || chr(9))), '')"
@@ -220,7 +220,7 @@ def capacity_links(s, d):
 
 def identity_map(s, d):
     """New to old crowns: the largest overlap, and the state of each old crown."""
-    l = table(s, d, "tree_crown_lineage_v5").where("snapshot_no = 4 and intersection_m2 is not null").select("old_seg_key", "new_seg_key", "intersection_m2").distinct()
+    l = current(table(s, d, "tree_crown_lineage_v5")).where("intersection_m2 is not null").select("old_seg_key", "new_seg_key", "intersection_m2").distinct()
     best = l.groupBy("old_seg_key").agg(F.max(F.struct("intersection_m2", "new_seg_key")).alias("m")).select("old_seg_key", c("m.new_seg_key").alias("new_seg_key"), c("m.intersection_m2").alias("area"))
     head = best.groupBy("new_seg_key").agg(F.max(F.struct("area", "old_seg_key")).alias("h"), F.count("*").alias("n"))
     j = best.join(head, "new_seg_key")
@@ -228,7 +228,7 @@ def identity_map(s, d):
 
 
 def link_roles(s, d):
-    l = table(s, d, "tree_crown_lineage_v5").where("snapshot_no = 4 and old_tree_id is not null and intersection_m2 is not null").groupBy("new_seg_key", plain_id("old_tree_id").alias("t")).agg(F.max("intersection_m2").alias("a"))
+    l = current(table(s, d, "tree_crown_lineage_v5")).where("old_tree_id is not null and intersection_m2 is not null").groupBy("new_seg_key", plain_id("old_tree_id").alias("t")).agg(F.max("intersection_m2").alias("a"))
     g = l.groupBy("new_seg_key").agg(F.max(F.struct("a", "t")).alias("m"), F.count("*").alias("n"))
     j = l.join(g, "new_seg_key")
     role = F.when(c("t") == c("m.t"), "primary").when(c("a") >= c("m.a") * 0.8, "possible_duplicate").otherwise("shares_crown")
@@ -237,7 +237,7 @@ def link_roles(s, d):
 
 def continuity_repair(s, d):
     """Unique dominant candidate of each old crown: enough overlap and a clear margin over the next."""
-    l = table(s, d, "tree_crown_lineage_v5").where("snapshot_no = 4").groupBy("old_seg_key", "new_seg_key").agg(F.max("old_fraction").alias("f"), F.max("new_fraction").alias("g"))
+    l = current(table(s, d, "tree_crown_lineage_v5")).groupBy("old_seg_key", "new_seg_key").agg(F.max("old_fraction").alias("f"), F.max("new_fraction").alias("g"))
     # only the two best options of a crown travel, however many it has
     r = rel.top_k(l.where("f is not null and g is not null"), ["old_seg_key"], [c("f").desc(), c("new_seg_key").desc()], 2)
     at = lambda k, x: F.max(F.when(c("rank") == k, c(x)))
@@ -264,7 +264,7 @@ select unnest(kept).k id from (select kept from s order by n desc limit 1)"""
 
 
 _QD = "sqrt((q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y))"
-_L4 = "select distinct old_seg_key, new_seg_key, intersection_m2 from tree_crown_lineage_v5 where snapshot_no = 4 and intersection_m2 is not null"
+_L4 = "select distinct old_seg_key, new_seg_key, intersection_m2 from tree_crown_lineage_v5 where snapshot_no = (select max(snapshot_no) from tree_crown_lineage_v5) and intersection_m2 is not null"
 SQL = {
     "nearest_within_radius": f"with {CUST}, {SUPP}, {_NEAR(60)} select * from nn",
     "global_nearest": f"with {CUST}, {SUPP}, {_NEAR(3000)} select a_id, b_id, round(d, 6) d from nn",
@@ -290,8 +290,8 @@ select p.tree_id id, round(nearest, 6) nearest, coalesce(n_near, 0) n_near, coal
  round(coalesce(n_over, 0) / greatest(coalesce(n_near, 0), 1), 6) overlap, case when coalesce(n_near, 0) = 0 or n_taller / n_near <= 0.2 then 'dominant' when n_taller / n_near >= 0.7 then 'suppressed' else 'co-dominant' end dominance from p left join g on p.tree_id = g.id""",
     "components_radius": f"with recursive {XY_SQL}, e as (select a.tree_id u, b.tree_id v from xy a join xy b on a.tree_id <> b.tree_id and {_XD} <= 1.5), r(u, v) as (select u, u from e union select r.u, e.v from r join e on r.v = e.u) select u id, min(v) component from r group by 1",
     "identity_map": f"with l as ({_L4}), b as (select * from l qualify row_number() over (partition by old_seg_key order by intersection_m2 desc, new_seg_key desc) = 1) select old_seg_key, new_seg_key, case when count(*) over (partition by new_seg_key) = 1 then 'matched' else 'merged' end state, row_number() over (partition by new_seg_key order by intersection_m2 desc, old_seg_key desc) = 1 is_primary from b",
-    "link_roles": f"with l as (select new_seg_key, {ID.replace('tree_id', 'old_tree_id')} t, max(intersection_m2) a from tree_crown_lineage_v5 where snapshot_no = 4 and old_tree_id is not null and intersection_m2 is not null group by 1, 2), m as (select *, row_number() over (partition by new_seg_key order by a desc, t desc) i, max(a) over (partition by new_seg_key) top from l) select case when i = 1 then 'primary' when a >= top * 0.8 then 'possible_duplicate' else 'shares_crown' end role, count(*) n from m group by 1",
-    "continuity_repair": "with l as (select old_seg_key, new_seg_key, max(old_fraction) f, max(new_fraction) g from tree_crown_lineage_v5 where snapshot_no = 4 group by 1, 2), r as (select *, row_number() over w i, lead(f) over w f2 from l where f is not null and g is not null window w as (partition by old_seg_key order by f desc, new_seg_key desc)) select old_seg_key, new_seg_key, case when f < 0.5 then 'too_small' when f2 is not null and f - f2 < 0.2 then 'competitor' when g < 0.1 then 'tiny_share' else 'accept' end verdict from r where i = 1",
+    "link_roles": f"with l as (select new_seg_key, {ID.replace('tree_id', 'old_tree_id')} t, max(intersection_m2) a from tree_crown_lineage_v5 where snapshot_no = (select max(snapshot_no) from tree_crown_lineage_v5) and old_tree_id is not null and intersection_m2 is not null group by 1, 2), m as (select *, row_number() over (partition by new_seg_key order by a desc, t desc) i, max(a) over (partition by new_seg_key) top from l) select case when i = 1 then 'primary' when a >= top * 0.8 then 'possible_duplicate' else 'shares_crown' end role, count(*) n from m group by 1",
+    "continuity_repair": "with l as (select old_seg_key, new_seg_key, max(old_fraction) f, max(new_fraction) g from tree_crown_lineage_v5 where snapshot_no = (select max(snapshot_no) from tree_crown_lineage_v5) group by 1, 2), r as (select *, row_number() over w i, lead(f) over w f2 from l where f is not null and g is not null window w as (partition by old_seg_key order by f desc, new_seg_key desc)) select old_seg_key, new_seg_key, case when f < 0.5 then 'too_small' when f2 is not null and f - f2 < 0.2 then 'competitor' when g < 0.1 then 'tiny_share' else 'accept' end verdict from r where i = 1",
     "contained_else_nearest": f"with {PIP}, a as (select p_id, min(region_id) region_id from hit group by 1), n as (select k p_id, rid region_id, sqrt(pow(x - x0 - 500 / 3, 2) + pow(y - y0 - 500 / 3, 2)) d from cust, reg where k not in (select p_id from a)) select p_id, region_id, 0.0::double d from a union all select p_id, region_id, round(d, 4) d from (select * from n where d <= 700 qualify row_number() over (partition by p_id order by d, region_id) = 1)",
     "duplicate_inflation": f"with recursive {XY_SQL}, e as (select a.tree_id u, b.tree_id v from xy a join xy b on a.tree_id <> b.tree_id and {_XD} <= 1.5), r(u, v) as (select u, u from e union select r.u, e.v from r join e on r.v = e.u), c as (select u, min(v) c from r group by 1), g as (select c, count(*) n from c group by 1) select count(*) clusters, sum(n)::bigint members, max(n) largest, round((sum(n) - count(*)) / (select count(*) from xy), 9)::double inflation from g",
     "greedy_suppress_a": _sequential(f"{_QD} <= q.r"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 from grovekit.functions import growth
 from grovekit.operators import spatial as sp
 from grovekit.operators import survey as op
+from grovekit.operators.proximity import near_points
 from grovekit.plans.spatial import ID, XY, XY_SQL, points
-from grovekit.session import plain_id, table
+from grovekit.session import current, plain_id, table
 
 c = F.col
 
@@ -93,8 +96,7 @@ def sampled_heights(s, d):
 
 
 def disc_evidence(s, d):
-    p = points(s, d).where("src = 'park_survey'")
-    return op.disc_evidence(p, XY, _cells(s, d), 10.0, [8.0, 15.0])
+    return op.disc_evidence(points(s, d), XY, _cells(s, d), 10.0, [8.0, 15.0])
 
 
 def canopy_cover_by_zone(s, d):
@@ -110,10 +112,15 @@ def low_canopy_scores(s, d):
 
 
 def promoted_candidates(s, d):
-    """Candidates with a good score, no tree standing within 3 m."""
-    t = table(s, d, "tree_low_canopy_candidates").where("lon is not null and height_m is not null and gli is not null").groupBy("candidate_id").agg(F.min("x_2193").alias("x"), F.min("y_2193").alias("y"), F.max(op.low_canopy_score(c("height_m"), c("gli"))).alias("score")).where("score >= 0.4")
-    near = sp.radius_pairs(t, ("candidate_id", "x", "y"), 3.0)
-    return t.select("candidate_id").join(near.select(c("b_id").alias("candidate_id")).distinct(), "candidate_id", "left_anti")
+    """Candidates with a score of 0.6 not marked as excluded, no tree within 3 m and no better candidate within 3 m (of
+    equal ones the smaller id stays), with their circular crown."""
+    t = table(s, d, "tree_low_canopy_candidates").where("x_2193 is not null and y_2193 is not null and coalesce(valuation_excluded, 0) = 0")
+    t = t.groupBy("candidate_id").agg(*[F.min(x).alias(x) for x in ("lon", "lat", "x_2193", "y_2193")], F.max("confidence_score").alias("score"), F.max("height_m").alias("h")).where("score >= 0.6")
+    near = near_points(t, c("candidate_id"), table(s, d, "trees"), plain_id("tree_id"), 3.0).select(c("centre_id").alias("candidate_id")).distinct()
+    free = t.join(near, "candidate_id", "left_anti")
+    worse = sp.near_pairs(free, ("candidate_id", "x_2193", "y_2193"), 3.0, ("score",)).select(F.when(c("a_score") >= c("b_score"), c("b_id")).otherwise(c("a_id")).alias("candidate_id")).distinct()
+    r = growth.crown_radius(c("h"))
+    return free.join(worse, "candidate_id", "left_anti").select("candidate_id", F.round("score", 9).alias("score"), F.round(r, 6).alias("crown_radius_m"), F.round(r * r * math.pi, 6).alias("crown_area_m2"))
 
 
 def tile_halo_counts(s, d):
@@ -131,8 +138,8 @@ def hedge_points(s, d):
 
 
 def _epochs(s, d):
-    l = table(s, d, "lineitem").where("l_linenumber <= 3")
-    g = l.groupBy("l_orderkey").agg(*[F.max(F.when(c("l_linenumber") == i, c("l_quantity") / f)).alias(n) for i, n, f in ((1, "h13", 4), (2, "h16", 3), (3, "h24", 2))], F.max(F.abs("l_discount")).alias("gli"))
+    l = table(s, d, "lineitem")
+    g = l.groupBy("l_orderkey").agg(*[F.max(F.when((c("l_linenumber") - 1) % 3 == i - 1, c("l_quantity") / f)).alias(n) for i, n, f in ((1, "h13", 4), (2, "h16", 3), (3, "h24", 2))], F.max(F.abs("l_discount")).alias("gli"))
     return g.withColumn("p24", F.coalesce(c("h24") >= 8, F.lit(False)))
 
 
@@ -189,7 +196,7 @@ def offset_evidence(s, d):
 
 def choice_weights(s, d):
     """Weights of a choice model: which old crown a new one continues, from shares and area."""
-    l = table(s, d, "tree_crown_lineage_v5").where("snapshot_no = 4 and intersection_m2 is not null and old_fraction is not null and new_fraction is not null")
+    l = current(table(s, d, "tree_crown_lineage_v5")).where("intersection_m2 is not null and old_fraction is not null and new_fraction is not null")
     l = l.groupBy("new_seg_key", "old_seg_key").agg(F.max("intersection_m2").alias("a"), F.max("old_fraction").alias("o"), F.max("new_fraction").alias("n"))
     top = l.groupBy("new_seg_key").agg(F.max(F.struct("a", "old_seg_key"))["old_seg_key"].alias("best"))
     x = l.join(top, "new_seg_key").withColumn("y", (c("old_seg_key") == c("best")).cast("double"))
@@ -220,7 +227,7 @@ QUERIES = {f.__name__: f for f in (
     height_forecast, stitched_surveys, row_runs, aligned_runs, offset_evidence, choice_weights, holdout_scores, crown_radius_check,
 )}
 
-_EP = "ep as (select l_orderkey, max(l_quantity / 4) filter (where l_linenumber = 1) h13, max(l_quantity / 3) filter (where l_linenumber = 2) h16, max(l_quantity / 2) filter (where l_linenumber = 3) h24, max(abs(l_discount)) gli from lineitem where l_linenumber <= 3 group by 1)"
+_EP = "ep as (select l_orderkey, max(l_quantity / 4) filter (where (l_linenumber - 1) % 3 = 0) h13, max(l_quantity / 3) filter (where (l_linenumber - 1) % 3 = 1) h16, max(l_quantity / 2) filter (where (l_linenumber - 1) % 3 = 2) h24, max(abs(l_discount)) gli from lineitem group by 1)"
 _SC = "0.6 * least(greatest((height_m - 1.0) / 4.0, 0), 1) + 0.4 * least(greatest(gli / 0.2, 0), 1)"
 SQL = {
     "pointcloud_verdict": """with r as (select l_suppkey k, l_quantity z, l_returnflag = 'A' v, l_returnflag = 'R' and l_linestatus = 'O' b, l_linenumber = 1 f, l_linenumber > 3 m from lineitem),
@@ -237,7 +244,7 @@ select k, n, nv n_veg, nb n_building, round(nm / n, 6) multi_share, round(nfv /
     "zonal_stats": f"with {XY_SQL}, {HT}, z as (select floor(x / 300)::bigint || '_' || floor(y / 300)::bigint zone, h from ht) select zone, count(*) n, round(quantile_cont(h, 0.25), 6) p25, round(quantile_cont(h, 0.5), 6) p50, round(quantile_cont(h, 0.75), 6) p75, round(quantile_cont(h, 0.95), 6) p95, round(max(h), 6) as max, round(avg(h), 6) mean, round(stddev_pop(h), 6) std, round(sum(h) * 100, 6) volume, round(avg(h) / nullif(max(h), 0), 6) vertical_ratio from z group by 1",
     "growth_classes": f"with {XY_SQL}, {HT}, z as (select floor(x / 300)::bigint || '_' || floor(y / 300)::bigint zone, h0, h from ht), g as (select zone, count(*) n, max(h) - max(h0) ch, avg((h >= 3)::int) - avg((h0 >= 3)::int) cc, sum((h0 >= 3)::int) n0 from z group by 1) select zone, n, round(ch, 6) change, round(ch / 8, 6) rate, round(cc, 9) cover_change, case when n0 < 3 then 'too_little_canopy' when cc <= -0.5 then 'lost' when ch / 8 > 0.1 then 'growing' when ch / 8 < -0.1 then 'declining' else 'stable' end state from g",
     "sampled_heights": f"with {XY_SQL}, {HT}, {CELLS} select tree_id p_id, (select max(h) from cell where sqrt(((i + 0.5) * 10 - x) * ((i + 0.5) * 10 - x) + ((j + 0.5) * 10 - y) * ((j + 0.5) * 10 - y)) <= 12) h from xy",
-    "disc_evidence": f"with {XY_SQL}, {HT}, {CELLS}, q as (select tree_id p_id, cell.h, sqrt(((i + 0.5) * 10 - x) * ((i + 0.5) * 10 - x) + ((j + 0.5) * 10 - y) * ((j + 0.5) * 10 - y)) d from xy, cell where src = 'park_survey') select p_id, count(*) filter (where d <= 8) n_8_0, count(*) filter (where d <= 8 and h >= 3) tall_8_0, max(h) filter (where d <= 8) max_8_0, count(*) n_15_0, count(*) filter (where h >= 3) tall_15_0, max(h) max_15_0 from q where d <= 15 group by 1",
+    "disc_evidence": f"with {XY_SQL}, {HT}, {CELLS}, q as (select tree_id p_id, cell.h, sqrt(((i + 0.5) * 10 - x) * ((i + 0.5) * 10 - x) + ((j + 0.5) * 10 - y) * ((j + 0.5) * 10 - y)) d from xy join cell on abs(i - floor(x / 10)) <= 2 and abs(j - floor(y / 10)) <= 2) select p_id, count(*) filter (where d <= 8) n_8_0, count(*) filter (where d <= 8 and h >= 3) tall_8_0, max(h) filter (where d <= 8) max_8_0, count(*) n_15_0, count(*) filter (where h >= 3) tall_15_0, max(h) max_15_0 from q where d <= 15 group by 1",
     "canopy_cover_by_zone": "with t as (select floor(x_2193 / 500)::bigint || '_' || floor(y_2193 / 500)::bigint zone, height_m h, gli g from tree_low_canopy_candidates where x_2193 is not null), k as (select zone, count(*) n, count(*) filter (where h is not null and g is not null) o, count(*) filter (where h >= 2 and g >= 0.05) k from t group by 1) select zone, n, round(k / nullif(o, 0), 9) cover, round(o / n, 9) coverage, o / n < 0.8 lower_bound from k",
     "low_canopy_scores": f"select distinct candidate_id, round({_SC}, 9) score, {_SC} >= 0.6 promoted from tree_low_canopy_candidates where height_m is not null and gli is not null",
     "tile_halo_counts": f"with {XY_SQL}, b as (select *, unnest(range(floor((x - 15) / 250)::bigint, floor((x + 15) / 250)::bigint + 1)) tx from xy), q as (select *, unnest(range(floor((y - 15) / 250)::bigint, floor((y + 15) / 250)::bigint + 1)) ty from b) select tx, ty, count(*) n, count(*) filter (where tx = floor(x / 250) and ty = floor(y / 250)) n_owned from q group by 1, 2",
@@ -246,7 +253,13 @@ select k, n, nv n_veg, nb n_building, round(nm / n, 6) multi_share, round(nfv /
     "removal_confidence": f"with {_EP}, f as (select (h13 is not null)::int + (h16 is not null)::int + case when h16 >= 12 then 2 when h16 >= 8 then 1 else 0 end + case when coalesce(h16 - h13 > 4, false) then 0 else 1 end s from ep) select case when s >= 4 then 'high' when s >= 2 then 'medium' else 'low' end confidence, count(*) n from f group by 1",
     "height_forecast": f"with {_EP}, e as (select *, (h24 - h16) / 8 own, floor(h24 / 5) band from ep where h24 is not null), q as (select band, quantile_cont(own, 0.5) k from e where own is not null group by 1), j as (select *, case when own is null then k else k * 0.5 + own * 0.5 end r from e join q using (band)) select l_orderkey, round(greatest(h24 + r * 6, 0), 6) h2030, round(greatest(h24 + r * 16, 0), 6) h2040 from j",
     "crown_radius_check": f"select distinct {ID} tree_id, round(greatest(least(-pow((crown_radius_m - 4.0) / 1.5, 2) / 2 - ln(1.5 * sqrt(2 * pi())) - ln(0.05), 3.0), -6.0), 6) llr from tree_root_zone_pilot where crown_radius_m is not null and dbh_cm is not null",
-    "promoted_candidates": f"with t as (select candidate_id, min(x_2193) x, min(y_2193) y, max({_SC}) s from tree_low_canopy_candidates where lon is not null and height_m is not null and gli is not null group by 1), k as (select * from t where s >= 0.4) select candidate_id from k where not exists (select 1 from k o where o.candidate_id < k.candidate_id and sqrt((o.x - k.x) * (o.x - k.x) + (o.y - k.y) * (o.y - k.y)) <= 3)",
+    "promoted_candidates": f"""with t as (select candidate_id k, min(lon) lon, min(lat) lat, min(x_2193) x, min(y_2193) y, max(confidence_score) s, max(height_m) h from tree_low_canopy_candidates
+  where x_2193 is not null and y_2193 is not null and coalesce(valuation_excluded, 0) = 0 group by 1 having max(confidence_score) >= 0.6),
+g as (select distinct lon, lat from trees where tree_id is not null and lon between -180 and 180 and lat between -90 and 90 and not (lon = 0 and lat = 0)),
+n as (select distinct k from t join g on abs(t.lat - g.lat) < 0.00004 and abs(t.lon - g.lon) < 0.0002 where 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(t.lat - g.lat) / 2), 2) + cos(radians(g.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - g.lon) / 2), 2)))) <= 3),
+f as (select * from t where k not in (select k from n))
+select k candidate_id, round(s, 9) score, round(case when h is null then 2.0 else least(greatest(h * 0.45, 1.2), 5.0) end, 6) crown_radius_m, round(pow(case when h is null then 2.0 else least(greatest(h * 0.45, 1.2), 5.0) end, 2) * pi(), 6) crown_area_m2 from f
+where not exists (select 1 from f o where o.k <> f.k and (o.s > f.s or (o.s = f.s and o.k < f.k)) and sqrt((o.x - f.x) * (o.x - f.x) + (o.y - f.y) * (o.y - f.y)) <= 3)""",
     "row_runs": f"with t as (select {ID} id, min(approx_x_m) x, min(approx_y_m) y, min(source_primary) src, min(source_object_id) q from trees where approx_x_m is not null and source_object_id is not null group by 1), b as (select *, case when q - lag(q) over w <= 400 and sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) <= 200 then 0 else 1 end b from t window w as (partition by src order by q, id)), k as (select *, sum(b) over (partition by src order by q, id rows unbounded preceding)::bigint chain from b), p as (select *, row_number() over (partition by src, chain order by q, id) - 1 pos, count(*) over (partition by src, chain) n from k) select id, src || '_' || chain || '_' || floor(pos / ceil(n / ceil(n / 12)))::bigint run from p where n >= 3",
     "foliage_histogram": """with n as (select l_suppkey k, floor(l_quantity)::int bin, count(*) c from lineitem where l_quantity >= 0 group by 1, 2), g as (select k, sum(c)::bigint n, max(bin) top, max(c) peak from n group by 1),
 b as (select k, n, top, peak, unnest(range(0, top + 1))::int bin from g), p as (select b.*, coalesce(c, 0) c from b left join n using (k, bin)),

@@ -45,6 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def current(df: DataFrame, col: str = "snapshot_no") -> DataFrame:
+    """The rows of the last snapshot delivered; an empty table has none."""
+    return df.where(F.col(col) == df.agg(F.max(col)).scalar())
+
+
 def rows_of(df: DataFrame) -> int:
     return df.count()
 
