@@ -67,17 +67,42 @@ def address_search(queries: DataFrame, query: str, index: DataFrame, id_col: str
     return j.withColumn("rank", F.row_number().over(w)).where(c("rank") <= limit).select("query", "rank", c(id_col).alias("id"), "score", (~c("in_suburb")).alias("suburb_mismatch"))
 
 
+def _grams(w: Column, n: int) -> Column:
+    """All runs of n letters of a word; none where it is shorter."""
+    return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.length(w)), lambda i: F.concat(F.lit(f"{n}"), F.substr(w, i, F.lit(n))))
+
+
+def search_pairs(queries: DataFrame, query: str, tokens: str, items: DataFrame, item_id: str, label: str) -> DataFrame:
+    """(query, tokens, item_id, label): every pair that phrase_score can rate above 0, and some that it cannot.
+
+    A rated item holds each token inside a word, or within one edit of a word or of its beginning (five letters and
+    more). So the longest token's first three letters, or for an edit its first or its last two (three from seven
+    letters on), occur in some word of the item; queries and items meet in these runs of letters. Exact copies of an
+    item count once, tokens null or empty pair with nothing.
+    """
+    longest = F.array_max(F.transform(c(tokens), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    t = queries.select(c(query).alias("query"), c(tokens).alias("tokens"), longest.alias("t")).where("t <> ''").distinct()
+    n = F.length("t")
+    run = lambda k, a: F.concat(F.lit(f"{k}"), F.substr(c("t"), a, F.lit(k)))
+    edge = lambda k: F.array(run(k, F.lit(1)), run(k, n - k + 1))
+    inside = F.when(n >= 3, run(3, F.lit(1))).when(n == 2, run(2, F.lit(1))).otherwise(run(1, F.lit(1)))
+    keys = F.array_union(F.array(inside), F.when(n >= 7, edge(3)).when(n >= 5, edge(2)).otherwise(F.array(inside)))
+    a = t.select("query", "tokens", F.explode(F.array_distinct(keys)).alias("h"))
+    every = F.array_distinct(F.flatten(F.transform(text.words(text.search_text(c("label"))), lambda w: F.concat(*[_grams(w, k) for k in (1, 2, 3)]))))
+    b = items.select(c(item_id).alias("item_id"), c(label).alias("label")).distinct().select("item_id", "label", F.explode(every).alias("h"))
+    return a.join(b, "h").drop("h").distinct()
+
+
 def ranked_search(queries: DataFrame, query: str, items: DataFrame, label: str, group: str, item_id: str, per_group: int = 3, limit: int = 10, least: float = 45.0) -> DataFrame:
-    """(query, rank, item_id, group, score): the best items, a few of each group.
+    """(query, rank, item_id, group, score): the best items of at least `least` above 0, a few of each group.
 
-    Candidates share the first three letters of a word with the query.
+    Of an item's labels in a group the best counts. Candidates are all that can score at all (search_pairs).
     """
-    head = lambda x: F.array_distinct(F.transform(x, lambda w: F.substring(w, 1, 3)))
     q = queries.select(c(query).alias("query"), text.search_query(c(query))["tokens"].alias("tokens")).distinct()
-    a = q.withColumn("h", F.explode(head(c("tokens"))))
-    b = items.select(c(item_id).alias("item_id"), c(label).alias("label"), c(group).alias("group"))
-    b = b.withColumn("h", F.explode(head(text.words(text.search_text(c("label"))))))
-    j = a.join(b, "h").drop("h").dropDuplicates(["query", "item_id"]).withColumn("score", text.phrase_score(c("tokens"), c("label"))).where(c("score") >= least)
+    b = items.select(F.struct(c(item_id).alias("i"), c(group).alias("g")).alias("ref"), c(label).alias("label"))
+    j = search_pairs(q, "query", "tokens", b, "ref", "label").withColumn("score", text.phrase_score(c("tokens"), c("label"))).where(c("score") >= least)
+    j = j.groupBy("query", c("item_id.i").alias("item_id"), c("item_id.g").alias("group")).agg(F.min(F.struct((-c("score")).alias("s"), "label")).alias("m"))
+    j = j.select("query", "item_id", "group", (-c("m.s")).alias("score"), c("m.label").alias("label"))
     o = [c("score").desc(), c("label"), c("item_id")]
     j = j.withColumn("g", F.row_number().over(Window.partitionBy("query", "group").orderBy(*o))).where(c("g") <= per_group)
     return j.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*o))).where(c("rank") <= limit).select("query", "rank", "item_id", "group", "score")

@@ -58,7 +58,10 @@ def nearby_cells(s, d):
 
 def address_search(s, d):
     a = op.address_index(_address(s, d), "street", "suburb", "number", "unit")
-    q = s.createDataFrame([(x,) for x in ("12 Mt Nation7 St", "2/31 st nation5 ave", "Old Nation3", "Unit 4, 9 Pt Nation1 Tce, building", "Mt Nation11, nowhere", "x")], "q string")
+    # as typed: a beginning of the number and street, at times with a unit, and a suburb in part or of elsewhere
+    street = F.when(c("k") % 3 == 0, F.substring("street", 1, 8)).otherwise(c("street"))
+    suburb = F.when(c("k") % 4 == 0, F.lit(", Nowhere")).when(c("k") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(", "), F.substring("suburb", 1, 4)))
+    q = _address(s, d).where("k % 100 = 0").select(F.concat(F.when(c("unit").isNotNull(), F.lit("Unit 3, ")).otherwise(""), c("number"), F.lit(" "), street, suburb).alias("q"))
     return op.address_search(q, "q", a, "k")
 
 

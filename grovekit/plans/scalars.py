@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovekit.functions import geo, growth, ids, text
+from grovekit.operators.publish import search_pairs
 from grovekit.session import plain_id, table
 
 c = F.col
@@ -208,12 +209,8 @@ def fuzzy_scores(s, d):
     r = table(s, d, "itree_species_ref").where("common_name is not null").select("taxon_id", "common_name")
     t = trees(s, d).select(c("species_common_raw").alias("typed")).where("typed is not null").distinct()
     t = t.select("typed", text.search_query(c("typed"))["tokens"].alias("q"))
-    # candidates share the first four letters of some word
-    head = lambda x: F.array_distinct(F.transform(x, lambda w: F.substring(w, 1, 4)))
-    a = t.select("typed", "q", F.explode(head(c("q"))).alias("h"))
-    b = r.select("taxon_id", "common_name", F.explode(head(text.words(text.search_text(c("common_name"))))).alias("h"))
-    hit = a.join(b, "h").drop("h").distinct()
-    return hit.select("typed", "taxon_id", text.phrase_score(c("q"), c("common_name")).alias("score")).where("score >= 45")
+    hit = search_pairs(t, "typed", "q", r, "taxon_id", "common_name")
+    return hit.select(c("query").alias("typed"), c("item_id").alias("taxon_id"), text.phrase_score(c("tokens"), c("label")).alias("score")).where("score >= 45")
 
 
 def one_edit_apart(s, d):

@@ -345,3 +345,17 @@ def test_signatures_and_splits(spark):
     assert sum(v == "train" for v in s.values()) == 14
 
 
+
+
+def test_search_pairs_lose_nothing_that_scores(spark):
+    """Against the score of every pair: prefixes, middles of words, swaps, errors at the beginning and at the end."""
+    labels = ["silver bunting", "broad leaved oxmere", "kanuka", "tall marsh tolmion", "ab cd", "x", "northern rata", None, "", "kanuka"]
+    typed = ["kan", "lver", "oxmere", "oxmree", "xomere", "bxmere", "anuka", "kanukka", "kanuk", "tolmoin", "otlmion", "tolmino", "marsh tall", "b", "cd ab", "nuk", "zanuka", "ratta north", "", None, "zzzzz", "leave", "northenr", "ilver bunting", "marsh tolmion trees"]
+    items = spark.createDataFrame(list(enumerate(labels)), "i int, label string")
+    q = spark.createDataFrame([(t,) for t in typed], "typed string").withColumn("tokens", text.search_query(F.col("typed"))["tokens"])
+    score = text.phrase_score(F.col("tokens"), F.col("label"))
+    want = {(r[0], r[1]) for r in q.crossJoin(items).where(score > 0).select("typed", "i").collect()}
+    got = {(r[0], r[1]) for r in publish.search_pairs(q, "typed", "tokens", items, "i", "label").where(score > 0).select("query", "item_id").collect()}
+    assert got == want and {("xomere", 1), ("bxmere", 1), ("nuk", 2), ("zanuka", 2), ("otlmion", 3)} <= got
+    best = publish.ranked_search(q, "typed", items.withColumn("g", F.lit("all")), "label", "g", "i", 3, 10, 45.0).where("query = 'anuka'").collect()
+    assert [(r["rank"], r["item_id"]) for r in best] == [(1, 2), (2, 9)]
