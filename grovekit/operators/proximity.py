@@ -81,21 +81,25 @@ def _sample(df: DataFrame, x: Column, y: Column, n: int, want: int) -> np.ndarra
     return got.to_numpy(np.float64).reshape(-1, 2)
 
 
-def points_in_triangles(points: DataFrame, x: str, y: str, p_cols: list[str], triangles: DataFrame, t_cols: list[str], leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def points_in_triangles(points: DataFrame, x: str, y: str, p_cols: list[str], triangles: DataFrame, t_cols: list[str], leaf_rows: int = LEAF_ROWS, fit_on: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(*p_cols, *t_cols, part): point and triangle pairs where the point is inside or on the border.
 
+    The tree is fitted on counts and a sample of fit_on, frames like points and triangles that may hold repeated rows
+    and so are cheaper to read; by default of the two themselves.
+
     A crowded leaf is split into blocks of points times blocks of triangles, so no task sees more than about
     leaf_rows of either. Rows may repeat where a point lies on a shared border. Column names of both sides must differ.
     """
-    n_p, n_t = points.count(), triangles.count()
+    like_p, like_t = fit_on or (points, triangles)
+    n_p, n_t = like_p.count(), like_t.count()
     if n_p == 0 or n_t == 0:
         kinds = {f.name: f.dataType.simpleString() for f in [*points.schema, *triangles.schema]}
         return points.sparkSession.createDataFrame([], ", ".join(f"`{x}` {kinds[x]}" for x in [*p_cols, *t_cols, "part"]))
     t0 = F.col("tri")
     leaf_rows = max(leaf_rows, (n_p + n_t) // LEAVES_MOST)
     want = min(SAMPLE_MOST, max(SAMPLE_LEAST, SAMPLE_PER_LEAF * (n_p + n_t) // leaf_rows))
-    sp = _sample(points, F.col(x), F.col(y), n_p, want)
-    st = _sample(triangles, t0[0], t0[1], n_t, want)
+    sp = _sample(like_p, F.col(x), F.col(y), n_p, want)
+    st = _sample(like_t, t0[0], t0[1], n_t, want)
     # the side that was sampled more thinly sets how many samples a leaf may hold
     both = np.concatenate([sp, st])
     share = min(max(len(sp), 1) / n_p, max(len(st), 1) / n_t)
@@ -156,11 +160,12 @@ def near_points(centres: DataFrame, centre_id: Column, others: DataFrame, other_
 
     def clean(df: DataFrame, who: Column, p: str) -> DataFrame:
         d = df.select(who.alias(f"{p}_id"), F.col(lon).cast("double").alias(f"{p}_lon"), F.col(lat).cast("double").alias(f"{p}_lat"))
-        return d.where(F.col(f"{p}_id").isNotNull() & usable(F.col(f"{p}_lon"), F.col(f"{p}_lat"))).distinct()
+        return d.where(F.col(f"{p}_id").isNotNull() & usable(F.col(f"{p}_lon"), F.col(f"{p}_lat")))
 
     c, o = clean(centres, centre_id, "centre"), clean(others, other_id, "other")
-    tris = disc_triangles(c, ["centre_id"], "centre_lon", "centre_lat", radius_m)
-    found = points_in_triangles(o, "other_lon", "other_lat", ["other_id", "other_lon", "other_lat"], tris, ["centre_id", "centre_lon", "centre_lat"])
+    discs = lambda df: disc_triangles(df, ["centre_id"], "centre_lon", "centre_lat", radius_m)
+    # the tree is fitted before repeated rows are removed, so that only the search itself shuffles
+    found = points_in_triangles(o.distinct(), "other_lon", "other_lat", ["other_id", "other_lon", "other_lat"], discs(c.distinct()), ["centre_id", "centre_lon", "centre_lat"], fit_on=(o, discs(c)))
     d = metres(F.col("centre_lon"), F.col("centre_lat"), F.col("other_lon"), F.col("other_lat"))
     near = found.withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)
     return near.groupBy("centre_id", "other_id").agg(F.min("distance_m").alias("distance_m"))

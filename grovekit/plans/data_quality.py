@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.operators.proximity import near_points
+from grovekit.operators.proximity import near_points, points_in_regions
 from grovekit.operators.references import orphan_references, orphan_report
 from grovekit.operators.snapshots import lineage_changes
+from grovekit.plans.spatial import CUST, customers, regions
 from grovekit.session import plain_id, table
 
 
@@ -45,7 +46,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).select(F.col("centre_id").alias("candidate_id"), F.col("other_id").alias("tree_id"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found, "p7_near": p7_near}
+def p7_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The regions that hold each point, their borders included, holes left out."""
+    return points_in_regions(customers(spark, d), "k", "x", "y", regions(spark, d), "rid", "rings").select(F.col("k").alias("p_id"), F.col("rid").alias("region_id"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found, "p7_near": p7_near, "p7_regions": p7_regions}
 
 PLAIN = "nullif(lower(trim({}, ' ' || chr(9))), '')"
 
@@ -100,5 +106,7 @@ SQL = {
     "p4_found": _P4,
     "p4_report": _P4_REPORT,
     "p7_found": _NEAR + "select distinct candidate_id, tree_id from p where dist <= 5",
+    "p7_regions": f"""with {CUST}, reg as (select n_nationkey rid, (n_nationkey % 5) * 400.0 x0, (n_nationkey // 5) * 400.0 y0 from nation)
+select k p_id, rid region_id from cust, reg where x >= x0 and y >= y0 and x - x0 + y - y0 <= 500 and not (x - x0 between 50 and 100 and y - y0 between 50 and 100)""",
     "p7_near": _NEAR + "select candidate_id centre_id, tree_id other_id, round(min(dist), 6) distance_m from p where dist <= 5 group by 1, 2",
 }
