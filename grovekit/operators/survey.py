@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from grovekit.functions.text import let
 from grovekit.operators.forests import connected_components
 from grovekit.operators.graph import components, optimal_pairs
 from grovekit.operators.spatial import near_join, near_pairs
+from grovekit.session import cut
 
 c = F.col
 
@@ -362,31 +364,29 @@ def offset_evidence(true_counts: np.ndarray, decoy_rate: np.ndarray, records: in
 def conditional_logit(options: DataFrame, qid: str, chosen: str, features: Sequence[str], rounds: int = 8, ridge: float = 1e-3) -> np.ndarray:
     """Weights of a choice model: the chosen option of each query against its others, by Newton steps.
 
-    Each step is one pass that sums gradient and curvature per partition; only these sums reach the driver.
+    Each step is one pass of aggregates: per query the weighted sums of its options, over all queries gradient and
+    curvature; only these k + k * k numbers reach the driver. Utilities are shifted by the query's largest. Queries
+    without a chosen option tell nothing.
     """
     k = len(features)
-    g = options.groupBy(qid).agg(F.collect_list(F.struct(c(chosen).cast("double").alias("y"), *[c(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])).alias("o"))
+    x = [c(f"f{i}") for i in range(k)]
+    o = options.select(c(qid).alias("q"), c(chosen).cast("double").alias("y"), *[c(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
+    o = cut(o.repartition("q"))
     b = np.zeros(k)
     for _ in range(rounds):
-
-        def part(batches, b=b):
-            grad, hess = np.zeros(k), np.zeros((k, k))
-            for pdf in batches:
-                for o in pdf["o"]:
-                    x = np.array([[r[f"f{i}"] for i in range(k)] for r in o])
-                    y = np.array([r["y"] for r in o])
-                    if y.sum() <= 0:
-                        continue
-                    u = x @ b
-                    p = np.exp(u - u.max())
-                    p /= p.sum()
-                    grad += x.T @ (y / y.sum() - p)
-                    m = x.T @ p
-                    hess += (x.T * p) @ x - np.outer(m, m)
-            yield pd.DataFrame({"v": [np.concatenate([grad, hess.ravel()]).tolist()]})
-
-        total = sum(np.array(r["v"]) for r in g.select("o").mapInPandas(part, "v array<double>").collect())
-        step = np.linalg.solve(total[k:].reshape(k, k) + ridge * np.eye(k), total[:k] - ridge * b)
+        u = reduce(Column.__add__, [v * float(w) for v, w in zip(x, b)])
+        e = F.exp(c("u") - c("top"))
+        s = o.withColumn("u", u).withColumn("top", F.max("u").over(Window.partitionBy("q"))) if np.any(b) else o.withColumn("u", F.lit(0.0)).withColumn("top", F.lit(0.0))
+        g = s.groupBy("q").agg(
+            F.sum(e).alias("z"), F.sum("y").alias("n"),
+            *[F.sum(e * v).alias(f"e{i}") for i, v in enumerate(x)], *[F.sum(c("y") * v).alias(f"y{i}") for i, v in enumerate(x)],
+            *[F.sum(e * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)],
+        ).where("n > 0")
+        m = [c(f"e{i}") / c("z") for i in range(k)]
+        total = g.agg(*[F.sum(c(f"y{i}") / c("n") - m[i]).alias(f"g{i}") for i in range(k)], *[F.sum(c(f"h{i}_{j}") / c("z") - m[i] * m[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        grad = np.array([total[f"g{i}"] or 0.0 for i in range(k)])
+        hess = np.array([[total[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+        step = np.linalg.solve(hess + ridge * np.eye(k), grad - ridge * b)
         b = b + step
         if np.abs(step).max() < 1e-8:
             break
