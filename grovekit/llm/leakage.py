@@ -11,6 +11,7 @@ import html
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,7 @@ POSTINGS_BLOCK = 16
 #: share of an item that must be there in one stretch, of whose words every ERROR_EVERYth may be mistyped
 SHARE, ERROR_EVERY = 0.5, 3
 #: words split or run together by layout: so many in any stretch, and one in so many words of an item
-LAYOUT_LEAST, LAYOUT_EVERY = 4, 8
+LAYOUT_LEAST, LAYOUT_EVERY = 3, 16
 TOKEN = re.compile(r"[^\W_]+")
 INLINE = re.compile(r"</?(?:i|b|em|strong|u|span|a|code|mark|sub|sup|small|font|s|tt)\b[^<>]*>", re.I)
 MARKS = re.compile("[\u0300-\u036f]+")
@@ -120,8 +121,12 @@ class ItemIndex:
                 post.setdefault(w, []).append((k, v / theta))
         # term 0 is every word that no item holds
         self.term = {w: k for k, w in enumerate(sorted(post), 1)}
-        for item in self.items:
+        self.pair_items: dict[int, list[int]] = {}
+        for k, item in enumerate(self.items):
             item.number(self.term)
+            for pair in item.pairs:
+                self.pair_items.setdefault(pair, []).append(k)
+        self.pairs_least = min((i.pairs_least for i in self.items), default=1)
         # per block of items the largest impact of each term, and its postings as one small matrix, so that a block
         # under the threshold is skipped without touching them
         self.n_blocks = len(self.items) // POSTINGS_BLOCK + 1
@@ -169,14 +174,14 @@ class ItemIndex:
         return [(int(alive[b]) * POSTINGS_BLOCK + int(i), float(score[b, i])) for b, i in np.argwhere(score >= 1)]
 
 
-def overlap(item: Item, words: list[str], pairs: list[int], lo: int, hi: int) -> float:
-    """Largest share of the item's words found as one unbroken stretch that reaches into words[lo:hi], single mistyped
-    words and words split or run together by layout allowed. A stretch is grown from each pair of neighbouring words.
+def overlap(item: Item, words: list[str], pairs: list[int], at: list[int], lo: int, hi: int) -> float:
+    """Largest share of the item's words found as one unbroken stretch that reaches into words[lo:hi], where `at` are the
+    places of pairs that items hold, single mistyped words and words split or run together by layout allowed. A stretch is grown from each pair of neighbouring words.
 
     A stretch keeps the distance of its places in text and item but for words split or run together, so where no band
     of neighbouring distances holds the fewest pairs of half an item, nothing is grown."""
     w, n, best, seen = item.words, len(item.words), 0, set()
-    seeds = [(p, q) for p in range(lo, hi - 1) if pairs[p] in item.pairs for q in item.pairs[pairs[p]]]
+    seeds = [(p, q) for p in at for q in item.pairs.get(pairs[p], ())]
     if len(seeds) < item.pairs_least:
         return 0.0
     off = sorted(p - q for p, q in seeds)
@@ -225,19 +230,24 @@ def find_leaks(index: ItemIndex, words: list[str]) -> list[tuple[int, float, flo
     ends = np.minimum(n, starts + index.passage)
     some = total[ends] - total[starts] >= 1
     found: dict[int, tuple[float, float]] = {}
-    pairs: list[int] = []
+    if not some.any():
+        return []
+    pairs = (ids[:-1].astype(np.int64) << 32 | ids[1:]).tolist()
+    held = [p for p, x in enumerate(pairs) if x in index.pair_items]
     for lo, hi in zip(starts[some].tolist(), ends[some].tolist()):
+        at = held[bisect_left(held, lo) : bisect_left(held, hi - 1)]
+        if len(at) < index.pairs_least:
+            continue
         # a set is faster than sorting for so few terms
         hits = index.retrieve(np.fromiter(set(ids[lo:hi].tolist()), dtype=np.int64))
         if not hits:
             continue
-        pairs = pairs or (ids[:-1].astype(np.int64) << 32 | ids[1:]).tolist()
-        here = set(pairs[lo : hi - 1])
+        shared = Counter(k for x in {pairs[p] for p in at} for k in index.pair_items[x])
         for k, score in hits:
             item = index.items[k]
-            if found.get(item.id, (0.0, 0.0))[0] >= 1 or len(item.pairs.keys() & here) < item.pairs_least:
+            if shared[k] < item.pairs_least or found.get(item.id, (0.0, 0.0))[0] >= 1:
                 continue
-            share = overlap(item, words, pairs, lo, hi)
+            share = overlap(item, words, pairs, at, lo, hi)
             if share >= SHARE:
                 found[item.id] = max(found.get(item.id, (0.0, 0.0)), (share, score))
     return [(i, s, c) for i, (s, c) in sorted(found.items())]
