@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from grovekit.functions.text import let
 from grovekit.operators.forests import connected_components
 from grovekit.operators.graph import components, optimal_pairs
-from grovekit.operators.spatial import near_join, near_pairs
+from grovekit.operators.spatial import near_join, near_pairs, without_near
 from grovekit.session import cut
 
 c = F.col
@@ -119,6 +119,47 @@ def seed_allocation(cells: DataFrame, seeds: DataFrame, size: float, reach: Colu
     return q.groupBy(c("a_i").alias("i"), c("a_j").alias("j")).agg(F.min(F.struct("d", "b_id"))["b_id"].alias("seed"))
 
 
+def height_crowns(cells: DataFrame, seeds: DataFrame, size: float, factor: float = 0.6, exclusion: float = 0.3, most: float = 14.0) -> DataFrame:
+    """(i, j, h, seed): each cell to its nearest seed, kept if it lies within `factor` times the seed's height (at most
+    `most`) and reaches `exclusion` of it; ties to the smaller seed. cells (i, j, h), seeds (seed, x, y, h)."""
+    p = cells.select(F.concat_ws("_", "i", "j").alias("cid"), ((c("i") + 0.5) * size).alias("x"), ((c("j") + 0.5) * size).alias("y"), "i", "j", "h")
+    q = near_join(p, seeds, ("cid", "x", "y"), ("seed", "x", "y"), most, ("i", "j", "h"), ("h",))
+    g = q.groupBy(c("a_i").alias("i"), c("a_j").alias("j"), c("a_h").alias("h")).agg(F.min(F.struct("d", "b_id", "b_h")).alias("m"))
+    return g.where((c("m.d") <= c("m.b_h") * factor) & (c("h") >= c("m.b_h") * exclusion)).select("i", "j", "h", c("m.b_id").alias("seed"))
+
+
+def trim_heights(crowns: DataFrame, key: str, h: str = "h", share: float = 0.5, drop: float = 5.0, quantile: float = 0.25, bins: int = 32) -> DataFrame:
+    """(key, top, by_share, by_drop, by_quantile, by_otsu): the height under which each crown's cells are cut off, for
+    each way of trimming. by_otsu is the middle of the bin after which the crown's own heights part best; crowns of
+    fewer than eight cells or of one height take by_share."""
+    d = crowns.where(c(h).isNotNull()).select(c(key).alias("k"), c(h).alias("h"))
+    g = d.groupBy("k").agg(F.count("*").alias("n"), F.max("h").alias("top"), F.min("h").alias("low"), F.percentile("h", F.lit(quantile)).alias("by_quantile"))
+    wide = (c("top") - c("low")) / bins
+    b = d.join(g, "k").where((c("n") >= 8) & (c("top") - c("low") >= 1e-6))
+    b = b.groupBy("k", "n", "low", "top", F.least(F.floor((c("h") - c("low")) / wide), F.lit(bins - 1)).alias("b")).agg(F.count("*").alias("w"))
+    mid = c("low") + (c("b") + 0.5) * wide
+    run, whole = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("k")
+    b = b.select("k", "n", mid.alias("mid"), F.sum("w").over(run).alias("w0"), F.sum(c("w") * mid).over(run).alias("m0"), F.sum(c("w") * mid).over(whole).alias("m"))
+    w1 = c("n") - c("w0")
+    gap = c("m0") / c("w0") - (c("m") - c("m0")) / F.greatest(w1, F.lit(1))
+    o = b.groupBy("k").agg(F.max(F.struct((c("w0") * w1 * gap * gap).alias("v"), (-c("mid")).alias("m"))).alias("best"))
+    cut_ = c("top") * share
+    return g.join(o, "k", "left").select(c("k").alias(key), "top", cut_.alias("by_share"), (c("top") - drop).alias("by_drop"), "by_quantile", F.coalesce(-c("best.m"), cut_).alias("by_otsu"))
+
+
+def missed_trees(cells: DataFrame, size: float, known: DataFrame, cols: tuple[str, str, str], reach: float, least: float = 3.0, tall: float = 8.0) -> DataFrame:
+    """(i, j, h, tier): peaks of the heights without a known tree within `reach`; tier high where the peak has `tall`."""
+    p = local_peaks(cells, 1, least).select(F.concat_ws("_", "i", "j").alias("pid"), "i", "j", "h", ((c("i") + 0.5) * size).alias("x"), ((c("j") + 0.5) * size).alias("y"))
+    return without_near(p, ("pid", "x", "y"), known, cols, reach).select("i", "j", "h", F.when(c("h") >= tall, "high").otherwise("low").alias("tier"))
+
+
+def trusted_links(links: DataFrame, crown: str, genus: str, allowed: Column | None = None) -> DataFrame:
+    """Links of crowns on which one genus at most is recorded, with n_on_crown; links not allowed count nowhere."""
+    l = links.where(c(crown).isNotNull() & (F.coalesce(allowed, F.lit(True)) if allowed is not None else F.lit(True)))
+    g = l.groupBy(crown).agg(F.min(genus).alias("__lo"), F.max(genus).alias("__hi"), F.count("*").alias("n_on_crown"))
+    return l.join(g.where(c("__lo").isNull() | (c("__lo") == c("__hi"))).select(crown, "n_on_crown"), crown)
+
+
 def patches(cells: DataFrame, eight: bool = True, least: int = 1) -> DataFrame:
     """(i, j, patch): patches of neighbouring cells of at least `least` cells; the patch is its smallest cell."""
     key = lambda i, j: F.concat_ws("_", i, j)
@@ -220,15 +261,65 @@ def flood(h: dict[tuple[int, int], float], peaks: list[tuple[int, int]], share:
     return label
 
 
-def _segment(tile: int, reach: int, share: float, least: float):
+def spacing_grow(h: dict[tuple[int, int], float], spacing, least: float) -> dict[tuple[int, int], int]:
+    """Cells from the tallest down: to the tree of the nearest cell already given out within spacing(height) cells, else
+    a tree of its own if it has `least`. Equal heights and distances go by (i, j)."""
+    label: dict[tuple[int, int], int] = {}
+    n = 0
+    for (i, j), v in sorted(h.items(), key=lambda x: (-x[1], x[0])):
+        s = spacing(v)
+        k = int(math.ceil(s))
+        near = [(a * a + b * b, i + a, j + b) for a in range(-k, k + 1) for b in range(-k, k + 1) if a * a + b * b <= s * s and (i + a, j + b) in label]
+        if near:
+            label[(i, j)] = label[min(near)[1:]]
+        elif v >= least:
+            label[(i, j)] = n
+            n += 1
+    return label
+
+
+def mean_grow(h: dict[tuple[int, int], float], peaks: list[tuple[int, int]], share: float, crown_share: float, most: float) -> dict[tuple[int, int], int]:
+    """Crowns grow from their peaks ring by ring: a neighbouring cell joins if it has `share` of the peak's height and
+    crown_share of the crown's mean so far, is no higher than 1.05 of the peak, and lies within `most` cells of it."""
+    label = {p: k for k, p in enumerate(peaks)}
+    total, count, rim = [h[p] for p in peaks], [1] * len(peaks), list(peaks)
+    while rim:
+        mean, new = [t / n for t, n in zip(total, count)], []
+        for i, j in rim:
+            k = label[(i, j)]
+            p = peaks[k]
+            for q in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
+                v = h.get(q)
+                if v is not None and q not in label and share * h[p] < v <= 1.05 * h[p] and v > crown_share * mean[k] and math.dist(p, q) < most:
+                    label[q] = k
+                    total[k] += v
+                    count[k] += 1
+                    new.append(q)
+        rim = sorted(new)
+    return label
+
+
+def _segment(tile: int, reach: int, share: float, least: float, way: str, most: float):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         tx, ty = key
         h = {(int(i), int(j)): float(v) for i, j, v in zip(pdf["i"], pdf["j"], pdf["h"])}
-        peaks = [
-            p for p, v in sorted(h.items(), key=lambda x: (-x[1], x[0]))
-            if v >= least and all((-h.get((p[0] + a, p[1] + b), -1e9), p[0] + a, p[1] + b) >= (-v, *p) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1))
-        ]
-        label = flood(h, peaks, share, least)
+        if way == "seeded":
+            peaks = sorted((p for p, on in zip(zip(pdf["i"].astype(int), pdf["j"].astype(int)), pdf["seed"]) if on and h[p] >= least), key=lambda p: (-h[p], p))
+        elif way != "spacing":
+            peaks = [
+                p for p, v in sorted(h.items(), key=lambda x: (-x[1], x[0]))
+                if v >= least and all((-h.get((p[0] + a, p[1] + b), -1e9), p[0] + a, p[1] + b) >= (-v, *p) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1))
+            ]
+        if way == "spacing":
+            label = spacing_grow(h, lambda v: min(max(1.0 + v * share, 1.0), most), least)
+            first: dict[int, tuple[int, int]] = {}
+            for q, k in label.items():  # the tallest cell comes first
+                first.setdefault(k, q)
+            peaks = [first[k] for k in range(len(first))]
+        elif way == "mean":
+            label = mean_grow(h, peaks, share, min(1.0, share + 0.1), most)
+        else:
+            label = {q: k for q, k in flood(h, peaks, share, least).items() if way != "seeded" or math.dist(q, peaks[k]) <= most}
         area: dict[int, int] = {}
         for k in label.values():
             area[k] = area.get(k, 0) + 1
@@ -238,11 +329,31 @@ def _segment(tile: int, reach: int, share: float, least: float):
     return run
 
 
-def segment_crowns(cells: DataFrame, tile: int = 64, halo: int = 12, reach: int = 1, share: float = 0.5, least: float = 3.0) -> DataFrame:
-    """(i, j, h, n_cells) of each crown: peaks and marker watershed per tile of cells with a halo; a crown belongs to
-    the tile of its peak. A task sees at most (tile + 2 halo)^2 cells."""
+def segment_crowns(cells: DataFrame, tile: int = 64, halo: int = 12, reach: int = 1, share: float = 0.5, least: float = 3.0, way: str = "watershed", most: float = 12.0) -> DataFrame:
+    """(i, j, h, n_cells) of each crown, per tile of cells with a halo; a crown belongs to the tile of its peak. A task
+    sees at most (tile + 2 halo)^2 cells.
+
+    way: watershed (marker watershed from local peaks), mean (region growing against the crown's mean), spacing (cells
+    from the tallest down, by a spacing that grows with height by `share`), seeded (watershed from the cells whose
+    column seed is true, within `most` cells). `most` bounds the reach of a crown in cells, at most the halo.
+    """
+    if way not in ("watershed", "mean", "spacing", "seeded") or most > halo:
+        raise ValueError("unknown way, or a reach beyond the halo")
     t = with_halo(cells, "i", "j", tile, halo)
-    return t.groupBy("tx", "ty").applyInPandas(_segment(tile, reach, share, least), "i long, j long, h double, n_cells long")
+    return t.groupBy("tx", "ty").applyInPandas(_segment(tile, reach, share, least, way, most), "i long, j long, h double, n_cells long")
+
+
+def record_crowns(cells: DataFrame, crowns: DataFrame, records: DataFrame, cols: tuple[str, str, str], size: float, reach: float, share: float = 0.5, least: float = 3.0, most: float = 8.0) -> DataFrame:
+    """(id, i, j, h, n_cells): crowns grown for records without one, on cells that no crown (i, j) covers.
+
+    A record takes the highest free cell within `reach`, ties to the smaller (i, j), and its crown is flooded from
+    there over free cells that keep `share` of it, within `most` cells. Records that take one cell share its crown.
+    """
+    free = cells.join(crowns.select("i", "j").distinct(), ["i", "j"], "left_anti")
+    p = free.select(F.concat_ws("_", "i", "j").alias("cid"), ((c("i") + 0.5) * size).alias("x"), ((c("j") + 0.5) * size).alias("y"), F.struct((-c("h")).alias("n"), "i", "j").alias("k"))
+    top = near_join(records, p, cols, ("cid", "x", "y"), reach, (), ("k",)).groupBy(c("a_id").alias("id")).agg(F.min("b_k").alias("k")).select("id", "k.i", "k.j")
+    seeded = free.join(top.select("i", "j").distinct().withColumn("seed", F.lit(True)), ["i", "j"], "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
+    return top.join(segment_crowns(seeded, share=share, least=least, way="seeded", most=most), ["i", "j"]).select("id", "i", "j", "h", "n_cells")
 
 
 # repeated surveys

@@ -71,6 +71,48 @@ def seed_crowns(s, d):
     return a
 
 
+def _height_crowns(s, d):
+    seeds = _heights(s, d).where("h > 12").select(c("tree_id").alias("seed"), "x", "y", "h")
+    return op.height_crowns(_cells(s, d, 4.0), seeds, 4.0)
+
+
+def height_limited_crowns(s, d):
+    return _height_crowns(s, d).groupBy("seed").agg(F.count("*").alias("n_cells"), F.round(F.sum("h"), 6).alias("sum_h"))
+
+
+def trimmed_crowns(s, d):
+    """Cells of each growth setting's crown heights that each way of trimming leaves."""
+    a = table(s, d, "tree_assets_pilot").where("height_max_m is not null and growth_setting is not null").select(c("growth_setting").alias("k"), c("height_max_m").alias("h"))
+    t = op.trim_heights(a, "k")
+    n = [F.count(F.when(c("h") >= c(f"by_{w}"), 1)).alias(f"n_{w}") for w in ("share", "drop", "quantile", "otsu")]
+    return a.join(t, "k").groupBy("k").agg(*n)
+
+
+def missed_trees(s, d):
+    known = points(s, d).where("src not like 'lidar%'")
+    return op.missed_trees(_cells(s, d), 10.0, known, XY, 8.0)
+
+
+def trusted_links(s, d):
+    """Links of the last snapshot on crowns with one recorded genus at most."""
+    l = current(table(s, d, "tree_crown_lineage_v5")).select("new_seg_key", plain_id("old_tree_id").alias("tree_id")).where("tree_id is not null").distinct()
+    g = table(s, d, "trees").groupBy(plain_id("tree_id").alias("tree_id")).agg(F.min(F.lower(F.split(F.btrim("species_latin"), " ")[0])).alias("genus"))
+    return op.trusted_links(l.join(g, "tree_id", "left"), "new_seg_key", "genus").select("new_seg_key", "tree_id", "genus", "n_on_crown")
+
+
+def crown_segments_mean(s, d):
+    return op.segment_crowns(_cells(s, d, 2.0), way="mean")
+
+
+def crown_segments_spacing(s, d):
+    return op.segment_crowns(_cells(s, d, 2.0), way="spacing", share=0.1)
+
+
+def record_crowns(s, d):
+    p = points(s, d).where("src not like 'lidar%'")
+    return op.record_crowns(_cells(s, d, 4.0), _height_crowns(s, d), p, XY, 4.0, 8.0)
+
+
 def tall_patches(s, d):
     p = op.patches(_cells(s, d).where("h >= 10"), True, 3)
     return p.groupBy("patch").agg(F.count("*").alias("n")).select(c("patch.i").alias("i"), c("patch.j").alias("j"), "n")
@@ -225,6 +267,7 @@ QUERIES = {f.__name__: f for f in (
     pointcloud_verdict, foliage_histogram, rugosity, cell_maxima, closed_cells, cell_peaks, crown_segments, seed_crowns, tall_patches, strip_shapes, zonal_stats, growth_classes,
     sampled_heights, disc_evidence, canopy_cover_by_zone, low_canopy_scores, promoted_candidates, tile_halo_counts, hedge_points, trajectory_fates, removal_confidence,
     height_forecast, stitched_surveys, row_runs, aligned_runs, offset_evidence, choice_weights, holdout_scores, crown_radius_check,
+    height_limited_crowns, trimmed_crowns, missed_trees, trusted_links, crown_segments_mean, crown_segments_spacing, record_crowns,
 )}
 
 _EP = "ep as (select l_orderkey, max(l_quantity / 4) filter (where (l_linenumber - 1) % 3 = 0) h13, max(l_quantity / 3) filter (where (l_linenumber - 1) % 3 = 1) h16, max(l_quantity / 2) filter (where (l_linenumber - 1) % 3 = 2) h24, max(abs(l_discount)) gli from lineitem group by 1)"
@@ -238,6 +281,17 @@ select k, n, nv n_veg, nb n_building, round(nm / n, 6) multi_share, round(nfv /
     "cell_maxima": f"with {XY_SQL}, {HT}, {CELLS} select * from cell",
     "closed_cells": f"with {XY_SQL}, {HT}, {CELLS}, o as (select a::bigint a, b::bigint b from (select unnest([-1, 0, 1]) a), (select unnest([-1, 0, 1]) b)), w as (select i + a i, j + b j, max(h) h from cell, o group by 1, 2), n as (select i + a i, j + b j, min(h) h from w, o group by 1, 2) select n.* from n join cell using (i, j)",
     "cell_peaks": f"with {XY_SQL}, {HT}, {CELLS} select i, j, h from cell a where h >= 3 and not exists (select 1 from cell b where abs(a.i - b.i) <= 2 and abs(a.j - b.j) <= 2 and (b.h > a.h or (b.h = a.h and (b.i < a.i or (b.i = a.i and b.j < a.j)))))",
+    "height_limited_crowns": f"""with {XY_SQL}, {HT}, c4 as (select floor(x / 4)::bigint i, floor(y / 4)::bigint j, max(h) h from ht group by 1, 2),
+q as (select i, j, c4.h, tree_id seed, ht.h top, sqrt(((i + 0.5) * 4 - x) * ((i + 0.5) * 4 - x) + ((j + 0.5) * 4 - y) * ((j + 0.5) * 4 - y)) d from c4 join ht on ht.h > 12 and abs(i - floor(x / 4)) <= 4 and abs(j - floor(y / 4)) <= 4),
+n as (select * from q where d <= 14 qualify row_number() over (partition by i, j order by d, seed) = 1) select seed, count(*) n_cells, round(sum(h), 6) sum_h from n where d <= 0.6 * top and h >= 0.3 * top group by 1""",
+    "trimmed_crowns": """with a as (select growth_setting k, height_max_m h from tree_assets_pilot where height_max_m is not null and growth_setting is not null),
+g as (select k, count(*) n, max(h) top, min(h) low, quantile_cont(h, 0.25) q from a group by 1),
+b as (select k, least(floor((h - low) / ((top - low) / 32)), 31) b, count(*) w from a join g using (k) where n >= 8 and top - low >= 1e-6 group by 1, 2),
+m as (select k, low + (b + 0.5) * ((top - low) / 32) mid, sum(w) over r w0, sum(w * (low + (b + 0.5) * ((top - low) / 32))) over r m0, sum(w * (low + (b + 0.5) * ((top - low) / 32))) over (partition by k) m, n from b join g using (k) window r as (partition by k order by b)),
+o as (select k, mid from m qualify row_number() over (partition by k order by w0 * (n - w0) * pow(m0 / w0 - (m - m0) / greatest(n - w0, 1), 2) desc, mid) = 1)
+select a.k, count(*) filter (where h >= top * 0.5) n_share, count(*) filter (where h >= top - 5) n_drop, count(*) filter (where h >= q) n_quantile, count(*) filter (where h >= coalesce(mid, top * 0.5)) n_otsu from a join g using (k) left join o using (k) group by 1""",
+    "missed_trees": f"with {XY_SQL}, {HT}, {CELLS}, p as (select i, j, h from cell a where h >= 3 and not exists (select 1 from cell b where abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and (b.h > a.h or (b.h = a.h and (b.i < a.i or (b.i = a.i and b.j < a.j)))))) select i, j, h, case when h >= 8 then 'high' else 'low' end tier from p where not exists (select 1 from xy where not starts_with(src, 'lidar') and sqrt(((i + 0.5) * 10 - x) * ((i + 0.5) * 10 - x) + ((j + 0.5) * 10 - y) * ((j + 0.5) * 10 - y)) <= 8)",
+    "trusted_links": f"with l as (select distinct new_seg_key, {ID.replace('tree_id', 'old_tree_id')} t from tree_crown_lineage_v5 where snapshot_no = (select max(snapshot_no) from tree_crown_lineage_v5)), g as (select {ID} t, min(lower(split_part(trim(species_latin), ' ', 1))) genus from trees group by 1), j as (select l.new_seg_key, l.t, genus from l left join g on l.t = g.t where l.t is not null) select new_seg_key, t tree_id, genus, count(*) over (partition by new_seg_key) n_on_crown from j qualify count(distinct genus) over (partition by new_seg_key) <= 1",
     "seed_crowns": f"with {XY_SQL}, {HT}, {CELLS}, q as (select i, j, tree_id seed, sqrt(((i + 0.5) * 10 - x) * ((i + 0.5) * 10 - x) + ((j + 0.5) * 10 - y) * ((j + 0.5) * 10 - y)) d, least(greatest(0.65 * ht.h, 5), 14) r from cell, ht where ht.h > 12) select i, j, seed from q where d <= r qualify row_number() over (partition by i, j order by d, seed) = 1",
     "tall_patches": f"with recursive {XY_SQL}, {HT}, {CELLS}, t as (select i * 100000 + j k, i, j from cell where h >= 10), e as (select a.k u, b.k v from t a join t b on abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1), r(u, v) as (select k, k from t union select r.u, e.v from r join e on r.v = e.u), p as (select u, min(v) m from r group by 1) select m // 100000 i, m % 100000 j, count(*) n from p group by m having count(*) >= 3",
     "strip_shapes": f"with {XY_SQL}, g as (select floor(x / 150)::bigint gx, floor(y / 150)::bigint gy, count(*) n, var_pop(x) a, var_pop(y) b, covar_pop(x, y) k, (max(x) - min(x) + 1) * (max(y) - min(y) + 1) bx from xy group by 1, 2), m as (select *, (a + b) / 2 mid, sqrt(pow(a - b, 2) / 4 + k * k) rt from g where n >= 5) select gx, gy, n, round(4 * sqrt(mid + rt), 6) length, round(4 * sqrt(greatest(mid - rt, 0)), 6) width, round(sqrt((mid + rt) / greatest(mid - rt, 1e-6)), 6) elongation, round(n / bx, 6) fill from m",

@@ -359,3 +359,42 @@ def test_search_pairs_lose_nothing_that_scores(spark):
     assert got == want and {("xomere", 1), ("bxmere", 1), ("nuk", 2), ("zanuka", 2), ("otlmion", 3)} <= got
     best = publish.ranked_search(q, "typed", items.withColumn("g", F.lit("all")), "label", "g", "i", 3, 10, 45.0).where("query = 'anuka'").collect()
     assert [(r["rank"], r["item_id"]) for r in best] == [(1, 2), (2, 9)]
+
+
+def two_hills():
+    """Two hills of 20 and 12 m, eleven cells apart, on a plain of 1 m."""
+    return {(i, j): max(20 - 2.0 * math.dist((i, j), (8, 8)), 12 - 1.5 * math.dist((i, j), (19, 8)), 1.0) for i in range(30) for j in range(18)}
+
+
+def test_growers_part_two_hills(spark):
+    h = two_hills()
+    peaks = [(8, 8), (19, 8)]
+    grown = survey.mean_grow(h, peaks, 0.45, 0.55, 9.0)
+    assert all(h[q] > 0.45 * h[peaks[k]] for q, k in grown.items()) and set(grown.values()) == {0, 1}
+    assert all(h[q] <= 1.05 * h[peaks[k]] and math.dist(q, peaks[k]) < 9 for q, k in grown.items())
+    beside = lambda q: [(q[0] + a, q[1] + b) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]
+    assert all(q in peaks or any(grown.get(x) == k for x in beside(q)) for q, k in grown.items())
+    assert all(grown[(8 + a, 8)] == 0 and grown[(19 + b, 8)] == 1 for a in range(-3, 4) for b in range(-2, 3))
+    spaced = survey.spacing_grow(h, lambda v: 1.5, 3.0)
+    assert spaced[(8, 8)] != spaced[(19, 8)] and len({spaced[p] for p in peaks}) == 2
+    # against the rule itself: each cell follows its nearest taller one
+    for q, k in spaced.items():
+        higher = [p for p in spaced if (-h[p], p) < (-h[q], q) and math.dist(p, q) <= 1.5]
+        assert not higher or spaced[min(higher, key=lambda p: (math.dist(p, q), p))] == k
+    cells = spark.createDataFrame([(*q, v) for q, v in h.items()], "i long, j long, h double")
+    for way in ("watershed", "mean", "spacing"):
+        kw = {"share": 0.05} if way == "spacing" else {}
+        whole = {(r["i"], r["j"]): r["n_cells"] for r in survey.segment_crowns(cells, way=way, **kw).collect()}
+        assert set(peaks) <= set(whole) and whole[(8, 8)] > whole[(19, 8)]
+    with pytest.raises(ValueError):
+        survey.segment_crowns(cells, way="other")
+
+
+def test_record_crowns_use_free_cells_only(spark):
+    h = two_hills()
+    cells = spark.createDataFrame([(*q, v) for q, v in h.items()], "i long, j long, h double")
+    taken = cells.where("i < 13")
+    rec = spark.createDataFrame([("a", 19.4, 8.6), ("b", 18.7, 8.1), ("far", 5.0, 5.0), ("none", None, 1.0)], "id string, x double, y double")
+    got = {r["id"]: r for r in survey.record_crowns(cells, taken, rec, ("id", "x", "y"), 1.0, 2.0, most=4.0).collect()}
+    assert set(got) == {"a", "b"} and (got["a"]["i"], got["a"]["j"]) == (19, 8) and got["a"]["n_cells"] == got["b"]["n_cells"]
+    assert got["a"]["n_cells"] == sum(1 for q, v in h.items() if q[0] >= 13 and v >= 6 and math.dist(q, (19, 8)) <= 4)
