@@ -15,9 +15,19 @@ ALL = [(m, q) for m in MODULES for q in importlib.import_module(f"grovekit.plans
 @pytest.mark.parametrize("module,query", ALL)
 def test_query(spark, module, query):
     m = importlib.import_module(f"grovekit.plans.{module}")
-    n, _, why = compare(spark, views(FOLDER), query, m.QUERIES[query], m.SQL.get(query), FOLDER)
+    if query not in m.SQL:
+        pytest.skip("see test_query_without_sql")
+    _, _, why = compare(spark, views(FOLDER), query, m.QUERIES[query], m.SQL[query], FOLDER)
     assert not why, why
-    assert n >= 0
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+@pytest.mark.parametrize("module,query", [(m, q) for m, q in ALL if q not in importlib.import_module(f"grovekit.plans.{m}").SQL])
+def test_query_without_sql(spark, module, query):
+    """Rows come out and no row comes twice, beside the brute-force tests of the operators."""
+    got = importlib.import_module(f"grovekit.plans.{module}").QUERIES[query](spark, FOLDER).toPandas()
+    assert len(got) > 0 and len(got.columns) == len(set(got.columns))
+    assert not got.astype(str).duplicated().any()
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
