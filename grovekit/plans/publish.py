@@ -10,7 +10,7 @@ from grovekit.functions.geo import meant_position
 from grovekit.operators import publish as op
 from grovekit.operators import relational as rel
 from grovekit.operators import spatial as sp
-from grovekit.plans.scalars import ADDRESS_SQL, _address
+from grovekit.plans.scalars import ADDRESS_SQL, STREET_SQL, _address
 from grovekit.plans.spatial import CUST, ID, PIP, XY, XY_SQL, customers, points, regions
 from grovekit.session import bounded_collect, current, plain_id, table
 
@@ -56,6 +56,12 @@ def nearby_cells(s, d):
     return op.cell_index(p, "lon", "lat", ["tree_id"], 1000).select("cell", "n", F.element_at("members", 1)["tree_id"].alias("first"))
 
 
+def address_shards(s, d):
+    """Size of each prefix shard of the address index."""
+    a = op.address_index(_address(s, d), "street", "suburb", "number", "unit")
+    return a.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("street_norm").alias("n_streets"), F.min("street_norm").alias("first"))
+
+
 def address_search(s, d):
     a = op.address_index(_address(s, d), "street", "suburb", "number", "unit")
     # as typed: a beginning of the number and street, at times with a unit, and a suburb in part or of elsewhere
@@ -198,7 +204,7 @@ def street_nearby(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    filter_dsl_eval, filter_selection, sharded_details, shard_reconciliation, nearby_cells, address_search, universal_search, alias_resolve, species_maxima_badges,
+    filter_dsl_eval, filter_selection, sharded_details, shard_reconciliation, nearby_cells, address_search, address_shards, universal_search, alias_resolve, species_maxima_badges,
     comparison_board_class, parcel_summary, training_manifest, block_splits, genus_agreement, height_plausibility, release_gates, table_fingerprint, conflict_reasons, view_states,
     record_pages, feature_lines, unified_points, incremental_rebuild, street_nearby,
 )}
@@ -208,6 +214,7 @@ SQL = {
     "filter_dsl_eval": "select source_primary, owner_class, count(*) n from trees where source_primary in ('tree_register', 'park_survey', 'notable_overlay') and coalesce(species_confidence, 'unknown') <> 'guessed' and (coalesce(is_protected_notable = 1, false) or coalesce(lat, -90) >= -37.235) and coalesce(owner_class, '-') not in ('-', '?', 'unknown') and record_role in ('authoritative_inventory', 'public_observation') and retired_at is null group by 1, 2",
     "filter_selection": "select 0::bigint n_none, count(*) filter (where source_primary = 'tree_register') n_some, count(*) n_all from trees",
     "shard_reconciliation": f"select count(distinct {ID}) n, count(distinct {ID}) n_right from trees",
+    "address_shards": f"with {ADDRESS_SQL}, n as (select replace({STREET_SQL}, '$', '') s from addr) select substr(replace(s, ' ', ''), 1, 2) shard, count(*) n, count(distinct s) n_streets, min(s) as first from n group by 1",
     "nearby_cells": f"with m as (select {ID} tree_id, list_filter([{{'x': lon, 'y': lat}}, {{'x': lat, 'y': lon}}, {{'x': lon, 'y': -lat}}, {{'x': lat, 'y': -lon}}], lambda p: not isnan(p.x) and not isnan(p.y) and (p.x between 160 and 180 or p.x between -180 and -175) and p.y between -55 and -25)[1] p from trees), t as (select distinct tree_id, p.x lon, p.y lat from m where p is not null) select floor(lon * 1000)::bigint || '_' || floor(lat * 1000)::bigint cell, count(*) n, min(tree_id) as first from t group by 1",
     "alias_resolve": "with l as (select distinct old_seg_key o, new_seg_key n from tree_crown_lineage_v5 where snapshot_no = (select max(snapshot_no) from tree_crown_lineage_v5)), p as (select n, count(*) k from l group by 1), s as (select o, count(*) c, max(k) k from l join p using (n) group by 1), a as (select distinct old_seg_key o from tree_crown_lineage_v5 where snapshot_no = 1) select case when c is null then 'unknown' when c > 1 then 'split' when k > 1 then 'merged' else 'current' end status, count(*) n from a left join s using (o) group by 1",
     "species_maxima_badges": f"with a as (select {ID} tree_id, max(height_max_m) h, max(crown_volume_m3) v from tree_assets_pilot group by 1), t as (select {ID} tree_id, min(species_latin) species from trees where species_latin is not null group by 1), x as (select tree_id, species, 'height' measure, h val from t join a using (tree_id) where h is not null union all select tree_id, species, 'volume', v from t join a using (tree_id) where v is not null), r as (select *, row_number() over (partition by species, measure order by val desc, tree_id) i from x) select species, measure, max(tree_id) filter (where i = 1) leader, max(val) filter (where i = 1) as value, max(val) filter (where i = 2) as next, coalesce(max(val) filter (where i = 1) - max(val) filter (where i = 2) < 0.5, false) within_margin from r where i <= 2 group by 1, 2",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grovekit.operators import relational as op
 from grovekit.session import current, plain_id, table, union_all
+from grovekit.sources.io import read_tiles
 
 c = F.col
 ID = "nullif(lower(trim(tree_id, ' ' || chr(9))), '')"
@@ -365,6 +366,17 @@ def lineage_history(s, d):
     return g.select("new_seg_key", F.array_join(F.transform("h", lambda x: F.concat_ws(":", x["snapshot_no"].cast("string"), x["old_overlapping_crowns"].cast("string"))), ",").alias("history"))
 
 
+def first_delivery(s, d):
+    """The earliest delivery of each tree, of equal ones the first by source."""
+    t = table(s, d, "trees").select(plain_id("tree_id").alias("tree_id"), "loaded_at", "source_primary").where("tree_id is not null")
+    return op.first_per_key(t, ["tree_id"], [c("loaded_at").asc_nulls_last(), c("source_primary").asc_nulls_last()])
+
+
+def tile_rows(s, d):
+    """Tiles read as one table with each key once."""
+    return read_tiles(s, f"{d}/part.parquet", ["p_brand"], ["p_partkey"]).select("p_brand", "p_partkey", "p_name")
+
+
 QUERIES = {f.__name__: f for f in (
     valuation_star_join, inner_using, anti_without_assets, semi_in_subquery, not_in_with_nulls, duplicate_key_guard, reference_fallback_lookup, genus_rollup, history_pick,
     signature_reconcile, headline_totals, group_summary_median, species_top_n, quantile_table_103, keyed_counts_zero_filled, one_per_crown, crosstab_basis, dense_totals,
@@ -372,12 +384,14 @@ QUERIES = {f.__name__: f for f in (
     vector_percentiles, stratified_sample_rows, spaced_sample, five_number_summary, running_totals, bootstrap_interval, area_summary, primary_selection, winners_losers_rows,
     softmax_rank, gaps_islands_runs, group_transform, top_k_per_parcel, tallest_id, newest_first, next_leader_margin, modal_value, union_current_legacy, except_both_ways,
     upsert_replace, insert_ignore, replace_source_slice, concat_sources, difference_keys, cascade_delete_counts, bbox_filter, tile_owner, flag_reasons, rule_cascade,
-    evidence_tier, validated_population, lineage_history,
+    evidence_tier, validated_population, lineage_history, first_delivery, tile_rows,
 )}
 
 _P103 = "[" + ", ".join(str(x) for x in op.quantile_probabilities()) + "]"
 _Z = 1.959963984540054
 SQL = {
+    "first_delivery": "select nullif(lower(trim(tree_id, ' ' || chr(9))), '') tree_id, loaded_at, source_primary from trees where nullif(trim(tree_id, ' ' || chr(9)), '') is not null qualify row_number() over (partition by lower(trim(tree_id, ' ' || chr(9))) order by loaded_at nulls last, source_primary nulls last) = 1",
+    "tile_rows": "select p_brand, min(p_partkey) p_partkey, arg_min(p_name, p_partkey) p_name from part where p_brand is not null group by 1",
     "valuation_star_join": f"select t.tree_id, coalesce(a.height_max_m, g.lidar_height_m) height_m, r.dbh_cm from (select distinct {ID} tree_id from trees) t left join {_one_sql('tree_assets_pilot', ['height_max_m'])} a using (tree_id) left join {_one_sql('tree_root_zone_pilot', ['dbh_cm'])} r using (tree_id) left join {_one_sql('tree_species_attributes', ['lidar_height_m'])} g using (tree_id)",
     "inner_using": "select o_orderpriority, count(*) n, round(sum(l_quantity), 2) q from lineitem join orders on l_orderkey = o_orderkey group by 1",
     "anti_without_assets": f"select distinct {ID} tree_id from trees where {ID} not in (select {ID} from tree_assets_pilot where tree_id is not null)",
