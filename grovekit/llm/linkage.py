@@ -7,6 +7,7 @@ of position and name, expectation maximisation over the counts of level patterns
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -126,7 +127,7 @@ def em(counts: np.ndarray, levels: tuple[int, int], rounds_most: int = EM_ROUNDS
     """Posterior of a match per pattern of two levels, and the share of matches. counts: levels[0] x levels[1].
 
     Two-class mixture with conditional independence; the start favours near positions and like names as matches.
-    Runs until no posterior moves by more than EM_SETTLED; after rounds_most it raises.
+    Runs until no posterior moves by more than EM_SETTLED; after rounds_most it takes what it has and warns.
     """
     m = [np.linspace(2.0, 0.2, n) for n in levels]
     u = [np.linspace(0.5, 2.0, n) for n in levels]
@@ -142,7 +143,8 @@ def em(counts: np.ndarray, levels: tuple[int, int], rounds_most: int = EM_ROUNDS
         share = min(0.999, max(0.001, wm.sum() / total))
         m = [(wm.sum(axis=1 - i) + 0.5) / (wm.sum() + 0.5 * levels[i]) for i in range(2)]
         u = [(wu.sum(axis=1 - i) + 0.5) / (wu.sum() + 0.5 * levels[i]) for i in range(2)]
-    raise RuntimeError("the match probabilities did not settle")
+    warnings.warn(f"match probabilities still move after {rounds_most} rounds", stacklevel=2)
+    return post, share
 
 
 def link_classes(classes: DataFrame, reach_m: float = REACH_M, least_confidence: float = 0.0) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ the record that a stated precedence puts first (the posterior decides between re
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -148,7 +149,8 @@ def fuse(votes: DataFrame, rounds_most: int = ROUNDS_MOST) -> tuple[DataFrame, d
 
     A score hangs on the set of sources alone, so the rounds run over the distinct signatures (what sets vote for a
     field's values, and how often) instead of the votes, and only sums per pair of at most SOURCES_MOST sources reach
-    the driver. They end when no accuracy and no dependence moves by more than SETTLED; after rounds_most it raises.
+    the driver. They end when no accuracy and no dependence moves by more than SETTLED; after
+    rounds_most rounds it goes on with what it has and warns.
     """
     obj = ["group_tree_id", "field_name"]
     votes = cut(votes)
@@ -176,7 +178,8 @@ def fuse(votes: DataFrame, rounds_most: int = ROUNDS_MOST) -> tuple[DataFrame, d
             if moved <= SETTLED:
                 break
             if taken >= rounds_most:
-                raise RuntimeError("the accuracies did not settle")
+                warnings.warn(f"accuracies still move by {moved:.3f} after {taken} rounds", stacklevel=2)
+                break
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

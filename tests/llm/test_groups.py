@@ -131,5 +131,7 @@ def test_fusion_edges(spark):
     many = [("g", "f", "v" if i % 3 else "w", f"s{i:03d}") for i in range(150)]
     r = fuse(votes(spark, many))[0].first()
     assert r["value"] == "v" and r["n_sources"] == 100 and 0 < r["posterior"] <= 1
-    with pytest.raises(RuntimeError):
-        fuse(votes(spark, [("g", "f", "a", "x"), ("g", "f", "b", "y")]), rounds_most=0)
+    # rounds that do not settle are told, and the records stand all the same
+    with pytest.warns(UserWarning, match="still move"):
+        out, _, _, rounds = fuse(votes(spark, [("g", "f", "a", "x"), ("g", "f", "a", "y"), ("h", "f", "b", "y")]), rounds_most=1)
+    assert rounds == 1 and {(r["group_tree_id"], r["tree_id"]) for r in out.collect()} == {("g", "g"), ("h", "h")}
