@@ -90,9 +90,10 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
 class Sparse:
     """Rows to columns at least cost over edges only: a column takes up to `slots` rows, the k-th at k * penalty more,
     and a row without a column costs `out`. Rows enter one by one along shortest augmenting paths, so the result is
-    optimal at every size; u and v are its prices, by which each row has its cheapest choice."""
+    optimal at every size; u and v are its prices, by which each row has its cheapest choice. `settled` takes over a
+    solution made before: the column (-1 where out) and price of each row, and the price of each column."""
 
-    def __init__(self, rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, slots: int, penalty: float, out: float):
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, slots: int, penalty: float, out: float, settled: tuple[list[int], list[float], list[float]] | None = None):
         n, m = int(rows.max()) + 1, int(cols.max()) + 1
         self.adj: list[list[tuple[int, float]]] = [[] for _ in range(n)]
         for i, j, x in zip(rows.tolist(), cols.tolist(), cost.tolist()):
@@ -100,6 +101,12 @@ class Sparse:
         self.slots, self.penalty, self.out = slots, float(penalty), float(out)
         self.v, self.u, self.at, self.paid = [0.0] * m, [self.out] * n, [-1] * n, [self.out] * n
         self.held: list[set[int]] = [set() for _ in range(m)]
+        if settled is not None:
+            self.at, self.u, self.v = settled
+            for i, j in enumerate(self.at):
+                if j >= 0:
+                    self.held[j].add(i)
+            return
         for i in range(n):
             self._enter(i)
 
@@ -156,9 +163,10 @@ class Sparse:
                 return
             last = before
 
-    def margins(self) -> list[float]:
+    def margins(self, entry: list[float] | None = None) -> list[float]:
         """What the best solution without its choice costs more, of each row: the shortest way in the residual graph
-        from the row back to its column, either over a place that becomes free elsewhere or by an exchange."""
+        from the row back to its column, either over a place that becomes free elsewhere or by an exchange. `entry` is
+        what it costs over the prices that some row beyond those given, being out, comes into each column."""
         n, m, inf = len(self.adj), len(self.v), np.inf
         out, free, back = [inf] * n, [inf] * m, [[] for _ in range(m)]
         for i, edges in enumerate(self.adj):
@@ -183,9 +191,11 @@ class Sparse:
                     out[i] = d + r
                     if self.at[i] >= 0:
                         heapq.heappush(heap, (d + r, self.at[i]))
+        self.full = full
         # free: from any end to a column, by a place given up there or by rows that move
         heap = [(max(self.v[j] - self.penalty * (len(h) - 1), 0.0), j) for j, h in enumerate(self.held) if h]
         heap += [(max(x + self.v[j] - self.u[i], 0.0), j) for i in range(n) if self.at[i] < 0 for j, x in self.adj[i]]
+        heap += [(max(d, 0.0), j) for j, d in enumerate(entry or ()) if d < inf]
         heapq.heapify(heap)
         while heap:
             d, j = heapq.heappop(heap)

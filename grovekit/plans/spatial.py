@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovekit.functions import geo, growth
-from grovekit.operators import graph, spatial
+from grovekit.operators import assignment, graph, spatial
 from grovekit.operators import relational as rel
 from grovekit.session import current, plain_id, table
 
@@ -214,8 +214,8 @@ def optimal_links(s, d):
 
 
 def capacity_links(s, d):
-    p = spatial.near_join(customers(s, d), suppliers(s, d), ("k", "x", "y"), ("k", "x", "y"), 80.0)
-    return graph.capacity_pairs(p, "a_id", "b_id", "d", slots=3, penalty=5.0, null=70.0).select("l", "r", F.round("margin", 6).alias("margin"))
+    p = assignment.capacity_near(customers(s, d), suppliers(s, d), ("k", "x", "y"), ("k", "x", "y"), 80.0, slots=3, penalty=5.0, null=70.0)
+    return p.select("l", "r", F.round("margin", 6).alias("margin"))
 
 
 def identity_map(s, d):
