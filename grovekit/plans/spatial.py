@@ -209,8 +209,8 @@ def duplicate_inflation(s, d):
 
 
 def optimal_links(s, d):
-    p = spatial.near_join(customers(s, d), suppliers(s, d), ("k", "x", "y"), ("k", "x", "y"), 120.0)
-    return graph.optimal_pairs(p, "a_id", "b_id", "d").select("l", "r", F.round("cost", 6).alias("cost"), "exact")
+    p = assignment.optimal_near(customers(s, d), suppliers(s, d), ("k", "x", "y"), ("k", "x", "y"), 120.0)
+    return p.select("l", "r", F.round("cost", 6).alias("cost"), "exact")
 
 
 def capacity_links(s, d):

@@ -35,3 +35,13 @@ def test_capacity_near(spark, short_first):
     got = {r["l"]: r for r in assignment.capacity_near(a, b, COLS, COLS, radius, slots=2, penalty=2.0, null=35.0).collect()}
     want = graph.capacity_pairs(spatial.near_join(a, b, COLS, COLS, radius), "a_id", "b_id", "d", slots=2, penalty=2.0, null=35.0).collect()
     assert len(got) == len(want) and all(got[r["l"]]["r"] == r["r"] and math.isclose(got[r["l"]]["margin"], r["margin"], abs_tol=1e-6) for r in want)
+
+
+def test_optimal_near(spark, short_first):
+    n, m = 120, 40
+    rnd = np.random.default_rng(m)
+    a, b = points(spark, rnd, n, 150.0), points(spark, rnd, m, 150.0)
+    got = assignment.optimal_near(a, b, COLS, COLS, 40.0).collect()
+    want = graph.optimal_pairs(spatial.near_join(a, b, COLS, COLS, 40.0), "a_id", "b_id", "d").collect()
+    assert len(got) == len(want) == len({r["l"] for r in got}) == len({r["r"] for r in got})
+    assert {(r["l"], r["r"]) for r in got} == {(r["l"], r["r"]) for r in want} and math.isclose(sum(r["cost"] for r in got), sum(r["cost"] for r in want))
